@@ -128,7 +128,7 @@ GROUP BY c.person HAVING sum(s.n - 1) > 0""",
     "scan_csv_infer": """SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
 FROM customer""",
     "scan_csv_clean": """SELECT CAST(s_suppkey AS INTEGER) AS row_index, s_name || ', Ltd' AS name,
-       CAST(s_nationkey AS VARCHAR) AS nation, s_acctbal AS acctbal, CAST(s_suppkey AS INTEGER) AS id
+       'N' || s_nationkey AS nation, s_acctbal AS acctbal, CAST(s_suppkey AS INTEGER) AS id
 FROM supplier""",
     "scan_json_nested": """SELECT event_id, user_id, event_type AS type, CAST(NULL AS VARCHAR) AS subtype,
        value AS geoX, CAST(user_id AS DOUBLE) AS geoY, CAST(NULL AS DOUBLE) AS geoZ FROM events""",
@@ -154,7 +154,7 @@ FROM customer""",
 FROM embeddings""",
     "union_by_name": _PARTIES,
     "union_by_name_count": f"SELECT county, count(*) AS n_rows FROM ({_PARTIES}) GROUP BY county",
-    "union_replicate": f"""SELECT s_suppkey, lcl, ucl, copy, {_midpoint_cols()}
+    "union_replicate": f"""SELECT s_suppkey, copy, {_midpoint_cols()}
 FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl,
              CAST(unnest(range(0, {REPLICAS})) AS INTEGER) AS copy FROM supplier)""",
     "set_difference": f"""SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)}

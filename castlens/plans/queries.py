@@ -150,7 +150,7 @@ def scan_csv_clean(spark, sf_dir):
     dirty = s.select(
         F.col("s_suppkey").alias(""),
         F.concat(F.col("s_name"), F.lit(", Ltd ")).alias("name"),
-        F.concat(F.lit(" "), F.col("s_nationkey").cast("string")).alias("nation"),
+        F.concat(F.lit(" N"), F.col("s_nationkey").cast("string")).alias("nation"),
         F.col("s_acctbal").alias("acctbal"),
         F.col("s_suppkey").alias("id"),
     )
