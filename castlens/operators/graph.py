@@ -124,62 +124,56 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     ``edges`` holds (title, person). Returns (person, distance) for every person
     reached within ``max_depth`` hops (all reachable persons when None). The
     source is always in the result with distance 0, even when absent from the
-    data. Each level:
-
-    1. titles of the frontier persons, minus titles already expanded;
-    2. persons of those titles, minus persons already visited → next frontier.
-
-    Both sets are checkpointed to the shared folder (a lost executor costs one
-    level, not the whole search) and counted; a set is broadcast only when that
-    count is under ``broadcast_max_rows``, otherwise the join shuffles and AQE
-    splits skewed partitions. Only the counts reach the driver. The visited and
-    expanded sets are unions of per-level checkpoints, compacted into one
-    checkpoint every ``compact_every`` levels to bound plan size.
+    data. One level is one job:
+
+        next = persons of (titles of frontier) − visited
+
+    * The frontier is checkpointed to the shared folder (a lost executor costs
+      at most one level, not the whole search) and counted. It is broadcast only
+      when that count is under ``broadcast_max_rows``; the visited set likewise
+      (its size is the running sum of the level counts).
+    * The title set between the two hops is not materialized: the planner
+      broadcasts it only when its measured size is under Spark's broadcast
+      threshold (AQE re-plans at run time), and otherwise shuffle-joins, with
+      AQE splitting a partition that holds a huge title.
+    * A title is expanded at the level of its nearest member and at most once
+      more (its other members are exactly one level farther), so skipping a
+      separate "expanded titles" set costs at most 2× title rows.
+    * Only counts reach the driver. ``visited`` is a union of per-level
+      checkpoints, compacted into one checkpoint every ``compact_every`` levels.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
     e, _ = materialize(edges.select("title", "person").distinct())
 
-    seed = spark.range(1).select(F.lit(source).cast(ptype).alias("person"))
-    seed, _ = materialize(seed)
+    seed, _ = materialize(spark.range(1).select(F.lit(source).cast(ptype).alias("person")))
     levels = [seed.select("person", F.lit(0).alias("distance"))]
     frontier, n_frontier = seed, 1
     visited_parts, n_visited = [seed], 1
-    expanded_parts: list[DataFrame] = []
-    n_expanded = 0
     depth = 0
 
-    def union_all(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
     while n_frontier > 0 and (max_depth is None or depth < max_depth):
-        f = broadcast_if_small(frontier, n_frontier, broadcast_max_rows)
-        titles = e.join(f, "person", "left_semi").select("title").distinct()
-        if expanded_parts:
-            ex = broadcast_if_small(union_all(expanded_parts), n_expanded, broadcast_max_rows)
-            titles = titles.join(ex, "title", "left_anti")
-        titles, n_titles = materialize(titles)
-        if n_titles == 0:
-            break
-        t = broadcast_if_small(titles, n_titles, broadcast_max_rows)
-        reached = e.join(t, "title", "left_semi").select("person").distinct()
-        vis = broadcast_if_small(union_all(visited_parts), n_visited, broadcast_max_rows)
-        frontier, n_frontier = materialize(reached.join(vis, "person", "left_anti"))
+        titles = e.join(broadcast_if_small(frontier, n_frontier, broadcast_max_rows),
+                        "person", "left_semi").select("title")
+        reached = e.join(titles, "title", "left_semi").select("person").distinct()
+        visited = broadcast_if_small(_union_all(visited_parts), n_visited, broadcast_max_rows)
+        frontier, n_frontier = materialize(reached.join(visited, "person", "left_anti"))
         depth += 1
         if n_frontier:
             levels.append(frontier.select("person", F.lit(depth).alias("distance")))
-        visited_parts.append(frontier)
-        expanded_parts.append(titles)
-        n_visited += n_frontier
-        n_expanded += n_titles
+            visited_parts.append(frontier)
+            n_visited += n_frontier
         if len(visited_parts) > compact_every:
-            visited_parts = [materialize(union_all(visited_parts))[0]]
-            expanded_parts = [materialize(union_all(expanded_parts))[0]]
-    return union_all(levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
+            visited_parts = [materialize(_union_all(visited_parts))[0]]
+    return _union_all(levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bfs_distances_capped(credit_rows: DataFrame, source, max_depth: int = 6,
