@@ -21,3 +21,16 @@ def partition_skew_report(df: DataFrame) -> DataFrame:
     """
     return (df.select(F.spark_partition_id().alias("partition_id"))
             .groupBy("partition_id").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def spread_small_input(df: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Round-robin a small input over all cores; leave a big one alone.
+
+    A scan with no more splits than the default parallelism holds at most about
+    parallelism × ``spark.sql.files.maxPartitionBytes`` bytes, so the extra
+    shuffle is bounded; it pays off when each row is CPU-heavy (tokenising text)
+    and the files have fewer row groups than there are cores. A big input
+    already has more splits than cores and is returned unchanged (no shuffle).
+    """
+    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() <= target else df

@@ -50,6 +50,14 @@ def with_midpoint(df: DataFrame, low: str, high: str, out: str = "avg",
     return df.withColumns(cols)
 
 
+def with_sql_columns(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
+    """Add columns given as SQL expressions, e.g. ``{"avg": "(lcl + ucl) / 2"}``.
+
+    Parsed by Spark into ordinary expressions (same plan as the Column API).
+    """
+    return df.withColumns({name: F.expr(e) for name, e in exprs.items()})
+
+
 def align_types(dfs: Sequence[DataFrame], to_string: Sequence[str] = ()) -> list[DataFrame]:
     """Cast ``to_string`` columns to string in every input so a union cannot
     widen them to a number (a zip such as ``27701-12`` would then fail)."""

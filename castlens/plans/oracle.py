@@ -88,6 +88,11 @@ ORACLE: dict[str, str] = {
     "avg_metric_single_role": _avg(f"WHERE l.l_returnflag || l.l_linestatus = '{SINGLE_ROLE}'"),
     "avg_metric_all_roles": _avg("", dedupe=True),
     "avg_metric_role_filter": _avg("WHERE l.l_returnflag || l.l_linestatus IN ('AO', 'RO')"),
+    "avg_metric_text_side_file": """
+SELECT CAST(l.l_partkey AS VARCHAR) AS nconst,
+       CAST(SUM(CAST(ROUND(o.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / COUNT(o.o_totalprice) / 100 AS avgRating
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY l.l_partkey""",
     "cast_list_per_title": f"""
 WITH c AS ({_credits(ACTING_ROLES)}),
 s AS (SELECT title, count(*) AS n FROM c GROUP BY title)
@@ -157,6 +162,11 @@ FROM embeddings""",
     "union_replicate": f"""SELECT s_suppkey, copy, {_midpoint_cols()}
 FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl,
              CAST(unnest(range(0, {REPLICAS})) AS INTEGER) AS copy FROM supplier)""",
+    "union_positional": """SELECT s_suppkey, lcl, ucl, (lcl + ucl) / 2 AS avg, lcl AS lcl2, ucl AS ucl2
+FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl FROM supplier
+      UNION ALL
+      SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl FROM supplier)""",
+    "stream_stage_to_parquet": PRINCIPALS_SQL,
     "set_difference": f"""SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)}
 EXCEPT
 SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus = '{SINGLE_ROLE}'""",

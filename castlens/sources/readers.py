@@ -116,15 +116,22 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 def read_text_positional(spark: SparkSession, path: str | Sequence[str], fields: dict[str, int],
                          sep: str = "\t", header_field: str | None = None,
-                         header_value: str | None = None) -> DataFrame:
+                         header_value: str | None = None, header_prefix: str | None = None,
+                         strip: bool = False) -> DataFrame:
     """Schema-less lines split on ``sep``; named fields taken by position.
 
     ``fields`` maps an output name to a 0-based position. A position past the
     end of a short line gives null. Lines whose ``header_field`` equals
-    ``header_value`` are header rows and are dropped wherever they occur.
+    ``header_value`` are header rows and are dropped wherever they occur; with
+    ``header_prefix`` any line starting with that text is dropped instead.
+    ``strip`` trims surrounding whitespace of the line before splitting.
     """
-    parts = F.split(F.col("value"), sep, -1)
-    df = spark.read.text(path).select(*[F.get(parts, i).alias(name) for name, i in fields.items()])
+    line = F.trim(F.col("value")) if strip else F.col("value")
+    raw = spark.read.text(path)
+    if header_prefix is not None:
+        raw = raw.where(~F.col("value").startswith(header_prefix))
+    parts = F.split(line, sep, -1)
+    df = raw.select(*[F.get(parts, i).alias(name) for name, i in fields.items()])
     if header_field is not None:
         df = df.where(F.col(header_field).isNull() | (F.col(header_field) != F.lit(header_value)))
     return df
