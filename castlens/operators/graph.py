@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 from pyspark.sql.types import IntegerType
 
 from castlens.functions.columns import stable_bucket
@@ -117,8 +118,7 @@ def graph_nodes(credit_rows: DataFrame) -> DataFrame:
 
 
 def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
-                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                  compact_every: int = 6) -> DataFrame:
+                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Single-source breadth-first distances on the bipartite graph.
 
     ``edges`` holds (title, person). Returns (person, distance) for every person
@@ -126,46 +126,50 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     source is always in the result with distance 0, even when absent from the
     data. One level is one job:
 
-        next = persons of (titles of frontier) − visited
+        F[k+1] = persons of (titles of F[k]) − F[k] − F[k-1]
 
-    * The frontier is checkpointed to the shared folder (a lost executor costs
-      at most one level, not the whole search) and counted. It is broadcast only
-      when that count is under ``broadcast_max_rows``; the visited set likewise
-      (its size is the running sum of the level counts).
+    * Two persons sharing a title are at most one level apart, so everything
+      reached from level k lies at level k-1, k or k+1: subtracting the last two
+      frontiers is exact, and no visited set grows with the search.
+    * Each frontier is checkpointed to the shared folder (the level chain's
+      lineage is cut; a lost executor costs at most one level) and counted. A
+      frontier is broadcast only when that count is under
+      ``broadcast_max_rows``; otherwise the join shuffles.
     * The title set between the two hops is not materialized: the planner
       broadcasts it only when its measured size is under Spark's broadcast
       threshold (AQE re-plans at run time), and otherwise shuffle-joins, with
       AQE splitting a partition that holds a huge title.
     * A title is expanded at the level of its nearest member and at most once
-      more (its other members are exactly one level farther), so skipping a
-      separate "expanded titles" set costs at most 2× title rows.
-    * Only counts reach the driver. ``visited`` is a union of per-level
-      checkpoints, compacted into one checkpoint every ``compact_every`` levels.
+      more (its other members are one level farther), so title work is at most
+      2× the title rows, even for a title holding a third of all credits.
+    * The edge table is deduplicated once and cached (its lineage is one scan
+      and one aggregation, so a lost block is cheap to rebuild). Only counts
+      reach the driver.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
-    e, _ = materialize(edges.select("title", "person").distinct())
-
-    seed, _ = materialize(spark.range(1).select(F.lit(source).cast(ptype).alias("person")))
-    levels = [seed.select("person", F.lit(0).alias("distance"))]
-    frontier, n_frontier = seed, 1
-    visited_parts, n_visited = [seed], 1
-    depth = 0
-
-    while n_frontier > 0 and (max_depth is None or depth < max_depth):
-        titles = e.join(broadcast_if_small(frontier, n_frontier, broadcast_max_rows),
-                        "person", "left_semi").select("title")
-        reached = e.join(titles, "title", "left_semi").select("person").distinct()
-        visited = broadcast_if_small(_union_all(visited_parts), n_visited, broadcast_max_rows)
-        frontier, n_frontier = materialize(reached.join(visited, "person", "left_anti"))
-        depth += 1
-        if n_frontier:
-            levels.append(frontier.select("person", F.lit(depth).alias("distance")))
-            visited_parts.append(frontier)
-            n_visited += n_frontier
-        if len(visited_parts) > compact_every:
-            visited_parts = [materialize(_union_all(visited_parts))[0]]
+    e = edges.select("title", "person").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        seed = spark.range(1).select(F.lit(source).cast(ptype).alias("person"))
+        levels = [seed.select("person", F.lit(0).alias("distance"))]
+        frontier, n_frontier = seed, 1
+        previous, n_previous = None, 0
+        depth = 0
+        while n_frontier > 0 and (max_depth is None or depth < max_depth):
+            titles = e.join(broadcast_if_small(frontier, n_frontier, broadcast_max_rows),
+                            "person", "left_semi").select("title")
+            reached = e.join(titles, "title", "left_semi").select("person")
+            seen = frontier if previous is None else frontier.unionByName(previous)
+            seen = broadcast_if_small(seen, n_frontier + n_previous, broadcast_max_rows)
+            nxt, n_next = materialize(reached.join(seen, "person", "left_anti").distinct())
+            depth += 1
+            if n_next:
+                levels.append(nxt.select("person", F.lit(depth).alias("distance")))
+            previous, n_previous = frontier, n_frontier
+            frontier, n_frontier = nxt, n_next
+    finally:
+        e.unpersist()
     return _union_all(levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
 
 
