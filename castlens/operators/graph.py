@@ -57,9 +57,10 @@ def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000,
     sizes = title_sizes(credit_rows)
     big = sizes.where(F.col("n_credits") > F.lit(chunk_size)).select(
         "title", F.ceil(F.col("n_credits") / F.lit(chunk_size)).cast("bigint").alias("n_chunks"))
-    big, n_big = materialize(big)
+    n_big = big.count()      # bounded by total credits / chunk_size
     rows = credit_rows
     if n_big:
+        big, n_big = materialize(big)
         rows = rows.join(broadcast_if_small(big, n_big, broadcast_max_rows), "title", "left")
         chunk = F.when(F.col("n_chunks").isNull(), F.lit(0).cast("bigint")).otherwise(
             stable_bucket("person", F.col("n_chunks")))
