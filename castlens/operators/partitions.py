@@ -32,5 +32,9 @@ def spread_small_input(df: DataFrame, parallelism: int | None = None) -> DataFra
     and the files have fewer row groups than there are cores. A big input
     already has more splits than cores and is returned unchanged (no shuffle).
     """
-    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() <= target else df
+    try:
+        target = parallelism or df.sparkSession.sparkContext.defaultParallelism
+        n_splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the input as is
+        return df
+    return df.repartition(target) if n_splits <= target else df

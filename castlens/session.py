@@ -41,13 +41,25 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    sc = _context(spark)
+    master = sc.master if sc is not None else (spark.conf.get("spark.master", "") or "")
+    return master.startswith("local")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -58,17 +70,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     the setting is an error, because a machine-local folder would not survive
     the loss of the executor that wrote it.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/…) for cluster runs")
         conf_dir = tempfile.mkdtemp(prefix="castlens-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    spark.conf.set("spark.checkpoint.dir", conf_dir)
+    return conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
