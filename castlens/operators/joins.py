@@ -3,7 +3,7 @@ planner shuffle (AQE splits skewed partitions of a shuffled join at run time).""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # A broadcast side is held in every executor's memory; 2M keys of ~16 bytes is
@@ -12,14 +12,17 @@ DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint ``df`` to the shared checkpoint folder and count it.
+    """Checkpoint ``df`` to the shared checkpoint folder and count it, in one job.
 
     The checkpoint cuts the lineage (a lost executor re-reads the checkpoint
     files instead of replaying every earlier step) and the count is the proven
-    size used by :func:`broadcast_if_small`.
+    size used by :func:`broadcast_if_small`. The count is an observed metric of
+    the checkpoint job itself (collected in its result stage, where each
+    partition's update is applied once), so no second job scans the result.
     """
-    cp = df.checkpoint(eager=True)
-    return cp, cp.count()
+    obs = Observation()
+    cp = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return cp, int(obs.get["n"])
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
