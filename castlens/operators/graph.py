@@ -94,7 +94,7 @@ def title_pair_stats(credit_rows: DataFrame) -> DataFrame:
 
 
 def neighbour_slots(credit_rows: DataFrame, source) -> DataFrame:
-    """Initial BFS state per person: (person, distance, n_neighbours, n_titles).
+    """Initial BFS state per person: (person, distance, n_neighbours).
 
     ``n_neighbours`` is the length of the person's adjacency bag — for each of
     the person's credits, the other credits of that title — so duplicates count.
@@ -103,13 +103,11 @@ def neighbour_slots(credit_rows: DataFrame, source) -> DataFrame:
     """
     sizes = title_sizes(credit_rows)
     j = credit_rows.join(sizes, "title", "inner")
-    out = j.groupBy("person").agg(
-        F.sum(F.col("n_credits") - 1).alias("n_neighbours"),
-        F.countDistinct("title").alias("n_titles"),
-    ).where(F.col("n_neighbours") > 0)
+    out = j.groupBy("person").agg(F.sum(F.col("n_credits") - 1).alias("n_neighbours")) \
+        .where(F.col("n_neighbours") > 0)
     src = F.lit(source).cast(credit_rows.schema["person"].dataType)
     dist = F.when(F.col("person") == src, F.lit(0)).otherwise(F.lit(UNREACHED)).cast(IntegerType())
-    return out.select("person", dist.alias("distance"), "n_neighbours", "n_titles")
+    return out.select("person", dist.alias("distance"), "n_neighbours")
 
 
 def graph_nodes(credit_rows: DataFrame) -> DataFrame:

@@ -114,8 +114,7 @@ WITH c AS ({_credits()}),
 s AS (SELECT title, count(*) AS n FROM c GROUP BY title)
 SELECT c.person,
        CAST(CASE WHEN c.person = {BFS_SOURCE} THEN 0 ELSE 10000 END AS INTEGER) AS distance,
-       CAST(sum(s.n - 1) AS BIGINT) AS n_neighbours,
-       count(DISTINCT c.title) AS n_titles
+       CAST(sum(s.n - 1) AS BIGINT) AS n_neighbours
 FROM c JOIN s ON c.title = s.title
 GROUP BY c.person HAVING sum(s.n - 1) > 0""",
     "bfs_distance_full": _bfs_full(GRAPH_ROLES),
