@@ -4,7 +4,7 @@ The graph is kept in its bipartite form — one row per (title, person) credit 
 and never expanded into person pairs. Two persons are neighbours when they
 share a title, so person → title → person is one hop; distances are the same
 as on the pair graph, but every step costs rows touched instead of cast size
-squared, and a title with a huge cast is expanded once, as a plain scan.
+squared, and a title with a huge cast is expanded at most twice, as a plain scan.
 """
 
 from __future__ import annotations
