@@ -157,6 +157,7 @@ FROM customer""",
     "array_get_item": """SELECT vec_id, embedding[1] AS x0, embedding[2] AS x1, CAST(NULL AS FLOAT) AS past_end
 FROM embeddings""",
     "union_by_name": _PARTIES,
+    "union_csv_json": _PARTIES,
     "union_by_name_count": f"SELECT county, count(*) AS n_rows FROM ({_PARTIES}) GROUP BY county",
     "union_replicate": f"""SELECT s_suppkey, copy, {_midpoint_cols()}
 FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl,

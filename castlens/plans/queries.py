@@ -294,6 +294,31 @@ def union_by_name_q(spark, sf_dir):
     return _common_parties(spark, sf_dir)
 
 
+def union_csv_json(spark, sf_dir):
+    """Two differently shaped sources brought to common columns and unioned by
+    name: parties from an inferred-type CSV and from nested JSON records."""
+    csv_path = scratch_path(spark, "customers_csv")
+    table(spark, sf_dir, "customer").write.mode("overwrite").option("header", "true").csv(csv_path)
+    json_path = scratch_path(spark, "suppliers_json")
+    s = table(spark, sf_dir, "supplier")
+    s.select(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("premise_name"),
+                      F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")).alias("fields"),
+             F.col("s_suppkey").cast("string").alias("recordid")) \
+        .write.mode("overwrite").json(json_path)
+    cust = rename_add_drop(
+        read_csv_inferred(spark, csv_path),
+        renames={"c_custkey": "datasetId", "c_name": "name", "c_nationkey": "nation", "c_acctbal": "balance"},
+        constants={"county": "customers"}, null_columns={"dateEnd": "string"}, drop=["c_mktsegment"])
+    cust = repartition(cust, 4)
+    j = read_json(spark, json_path)
+    supp = j.select(
+        F.col("fields.id").alias("datasetId"), F.col("fields.premise_name").alias("name"),
+        F.col("fields.nation").cast("int").alias("nation"), F.col("fields.balance").alias("balance"),
+        F.lit("suppliers").alias("county"), F.lit(None).cast("string").alias("dateEnd"))
+    u = union_by_name([cust, supp], to_string=["datasetId"])
+    return u.withColumn("id", concat_key("county", F.lit("_"), "datasetId"))
+
+
 def union_by_name_count(spark, sf_dir):
     return _common_parties(spark, sf_dir).groupBy("county").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -369,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "array_get_item": array_get_item,
     "union_by_name": union_by_name_q,
     "union_by_name_count": union_by_name_count,
+    "union_csv_json": union_csv_json,
     "union_replicate": union_replicate,
     "union_positional": union_positional,
     "stream_stage_to_parquet": stream_stage_to_parquet,
