@@ -116,8 +116,42 @@ def graph_nodes(credit_rows: DataFrame) -> DataFrame:
     return credit_rows.join(sizes, "title", "left_semi").select("person").distinct()
 
 
+def _salted_copy(e: DataFrame, key: str, other: str, n_parts: int, hot_rows: int):
+    """``e`` hash-partitioned for lookups by ``key`` and cached, plus its hot keys.
+
+    A key with more than ``hot_rows`` rows gets ``ceil(n / hot_rows)`` salts
+    (at most ``n_parts``) chosen by a hash of the other column, and the copy is
+    partitioned on (key, salt), so a hot key's rows are spread over that many
+    partitions instead of sitting in one. Without hot keys the copy is simply
+    partitioned on ``key``. The hot-key table has at most |e| / ``hot_rows``
+    rows, which the caller keeps under the broadcast limit.
+    """
+    counts = e.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n_salts = F.least(F.ceil(F.col("n") / F.lit(hot_rows)), F.lit(n_parts)).cast("int")
+    hot, n_hot = materialize(counts.where(F.col("n") > F.lit(hot_rows)).select(key, n_salts.alias("n_salts")))
+    if not n_hot:
+        return e.repartition(n_parts, key).persist(StorageLevel.MEMORY_AND_DISK), None
+    j = e.join(F.broadcast(hot), key, "left")
+    salt = F.when(F.col("n_salts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(other), F.col("n_salts").cast("bigint"))).cast("int")
+    out = j.select("title", "person", salt.alias("salt")).repartition(n_parts, key, "salt")
+    return out.persist(StorageLevel.MEMORY_AND_DISK), hot
+
+
+def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot) -> DataFrame:
+    """Rows of a :func:`_salted_copy` whose key is in ``keys`` (a semi join that
+    shuffles only ``keys``: each key is repeated once per salt of a hot key)."""
+    if hot is None:
+        return copy.join(keys.select(key), key, "left_semi")
+    j = keys.select(key).join(F.broadcast(hot), key, "left")
+    salts = F.when(F.col("n_salts").isNull(), F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(0), F.col("n_salts") - 1))
+    return copy.join(j.select(key, F.explode(salts).alias("salt")), [key, "salt"], "left_semi")
+
+
 def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
-                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                  index_min_rows: int = 5_000_000, hot_rows: int = 1_000_000) -> DataFrame:
     """Single-source breadth-first distances on the bipartite graph.
 
     ``edges`` holds (title, person). Returns (person, distance) for every person
@@ -131,24 +165,54 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
       reached from level k lies at level k-1, k or k+1: subtracting the last two
       frontiers is exact, and no visited set grows with the search.
     * Each frontier is checkpointed to the shared folder (the level chain's
-      lineage is cut; a lost executor costs at most one level) and counted. A
-      frontier is broadcast only when that count is under
-      ``broadcast_max_rows``; otherwise the join shuffles.
+      lineage is cut; a lost executor costs at most one level) and counted in
+      the same job. A frontier is broadcast only when that count is under
+      ``broadcast_max_rows``.
+    * The deduplicated edge table is checkpointed once. A graph with fewer than
+      ``index_min_rows`` edges is cached as is: every level then scans it and
+      joins broadcast or shuffled sets against it. A bigger graph is cached
+      twice, hash-partitioned on (person, salt) and on (title, salt), so a
+      level whose sets are too big to broadcast shuffles only those sets —
+      never the edge table. Keys with more than ``hot_rows`` edges (raised to
+      |E| / ``broadcast_max_rows`` when larger, so the hot-key table is always
+      broadcastable) are salted over several partitions and the lookup side is
+      repeated once per salt, so a title or person holding a third of all
+      credits is split over many tasks instead of one.
     * The title set between the two hops is not materialized: the planner
       broadcasts it only when its measured size is under Spark's broadcast
-      threshold (AQE re-plans at run time), and otherwise shuffle-joins, with
-      AQE splitting a partition that holds a huge title.
+      threshold (AQE re-plans at run time), and shuffles it otherwise.
     * A title is expanded at the level of its nearest member and at most once
       more (its other members are one level farther), so title work is at most
-      2× the title rows, even for a title holding a third of all credits.
-    * The edge table is deduplicated once and cached (its lineage is one scan
-      and one aggregation, so a lost block is cheap to rebuild). Only counts
-      reach the driver.
+      2× the title rows. Only counts reach the driver.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
-    e = edges.select("title", "person").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    e, n_edges = materialize(edges.select("title", "person").distinct())
+    salted = n_edges >= index_min_rows
+    if salted:
+        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # bound the hot-key tables so they are always broadcastable
+        hot_rows = max(hot_rows, -(-n_edges // DEFAULT_BROADCAST_MAX_ROWS))
+        by_person, hot_p = _salted_copy(e, "person", "title", n_parts, hot_rows)
+        by_title, hot_t = _salted_copy(e, "title", "person", n_parts, hot_rows)
+        cached = [by_person, by_title]
+    else:
+        by_person = by_title = e.persist(StorageLevel.MEMORY_AND_DISK)
+        hot_p = hot_t = None
+        cached = [e]
+
+    def person_hop(frontier: DataFrame, n_frontier: int) -> DataFrame:
+        if n_frontier <= broadcast_max_rows or not salted:
+            f = broadcast_if_small(frontier, n_frontier, broadcast_max_rows)
+            return by_person.join(f, "person", "left_semi").select("title")
+        return _lookup(by_person, frontier, "person", hot_p).select("title")
+
+    def title_hop(titles: DataFrame) -> DataFrame:
+        if not salted:
+            return by_title.join(titles, "title", "left_semi").select("person")
+        return _lookup(by_title, titles, "title", hot_t).select("person")
+
     try:
         seed = spark.range(1).select(F.lit(source).cast(ptype).alias("person"))
         levels = [seed.select("person", F.lit(0).alias("distance"))]
@@ -156,9 +220,7 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
         previous, n_previous = None, 0
         depth = 0
         while n_frontier > 0 and (max_depth is None or depth < max_depth):
-            titles = e.join(broadcast_if_small(frontier, n_frontier, broadcast_max_rows),
-                            "person", "left_semi").select("title")
-            reached = e.join(titles, "title", "left_semi").select("person")
+            reached = title_hop(person_hop(frontier, n_frontier))
             seen = frontier if previous is None else frontier.unionByName(previous)
             seen = broadcast_if_small(seen, n_frontier + n_previous, broadcast_max_rows)
             nxt, n_next = materialize(reached.join(seen, "person", "left_anti").distinct())
@@ -168,7 +230,8 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
             previous, n_previous = frontier, n_frontier
             frontier, n_frontier = nxt, n_next
     finally:
-        e.unpersist()
+        for c in cached:
+            c.unpersist()
     return _union_all(levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
 
 

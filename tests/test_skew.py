@@ -88,3 +88,35 @@ def test_bfs_exact_without_broadcasts_and_hot_title(spark):
         got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(e), 0, broadcast_max_rows=0).collect()}
     assert got == _python_bfs(pairs, 0)
     assert max(got.values()) > 5
+
+
+def test_salted_index_bfs_shuffles_only_the_lookup_side(spark, monkeypatch):
+    import re
+
+    from castlens.operators import joins as J
+
+    cr, _ = _skewed(spark, 3000)
+    chain = spark.range(1, 10).select((F.col("id") + 100000).alias("tconst"),
+                                      (F.col("id") + 7000).alias("nconst"), F.lit("actor").alias("category"))
+    link = spark.range(1, 10).select((F.col("id") + 100000).alias("tconst"),
+                                     (F.col("id") + 6999).alias("nconst"), F.lit("actor").alias("category"))
+    start = spark.createDataFrame([(100001, 0)], "tconst long, nconst long").withColumn("category", F.lit("actor"))
+    e = G.credits(cr.unionByName(chain).unionByName(link).unionByName(start))
+    pairs = [(r.title, r.person) for r in e.collect()]
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return J.materialize(df)
+
+    monkeypatch.setattr(G, "materialize", spy)
+    with conf(spark, SKEW_CONF):
+        got = {r.person: r.distance for r in G.bfs_distances(
+            G.bipartite_edges(e), 0, broadcast_max_rows=0, index_min_rows=0, hot_rows=50).collect()}
+    assert got == _python_bfs(pairs, 0)
+    level = plans[-2]   # a level job (the last plan is the empty final level)
+    # the hot title (1000 credits) is salted; only the looked-up titles are shuffled to the
+    # cached copy's (title, salt) partitioning — the edge copy itself is not re-shuffled
+    lookups = re.findall(r"Exchange hashpartitioning\(title#\d+L, salt#\d+, \d+\), ENSURE_REQUIREMENTS", level)
+    assert len(lookups) == 1
+    assert "SortMergeJoin [title#" in level and "InMemoryTableScan" in level
