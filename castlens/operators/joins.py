@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from castlens.session import _context
+
 # A broadcast side is held in every executor's memory; 2M keys of ~16 bytes is
 # ~32 MB. Above this the join stays a shuffled (sort-merge) join.
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
@@ -20,6 +22,9 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     the checkpoint job itself (collected in its result stage, where each
     partition's update is applied once), so no second job scans the result.
     """
+    if _context(df.sparkSession) is None:   # no observed metrics for commands: count separately
+        cp = df.checkpoint(eager=True)
+        return cp, cp.count()
     obs = Observation()
     cp = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     return cp, int(obs.get["n"])

@@ -33,6 +33,9 @@ def latest_per_key(df: DataFrame, key: str, value: str, order_by: str) -> DataFr
     Stands in for "the last line of the file wins" when loading a lookup table;
     ties on ``order_by`` are broken by the larger value so the pick is stable.
     """
+    # max over a struct has no fixed-width buffer, so Spark plans a (partial +
+    # final) sort-based aggregate: one shuffle, spill-safe at any size, and the
+    # tie-break on the value keeps the result deterministic.
     last = F.max(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v")))
     return df.groupBy(key).agg(last.getField("v").alias(value))
 
