@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
+
 
 def role_filter(col: str, roles: str | Sequence[str] | None) -> Column | None:
     """``col = role`` for one role, ``col IN (...)`` for several, None for all roles."""
@@ -46,6 +48,7 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
                               ratings_title: str | None = None, metric: str = "averageRating",
                               out_col: str = "avgRating", dedupe_order_by: str | None = None,
                               exact_scale: int | None = None, broadcast_ratings: bool = False,
+                              broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                               sort: bool = True) -> DataFrame:
     """Mean of ``metric`` over every (credit, rating) match, per person.
 
@@ -57,9 +60,10 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
     * ``exact_scale`` — metric values carry at most that many decimals; the sum
       is then taken over exact integers (``round(x·10^s)``) so the result does
       not depend on summation order (same bits on every engine and run).
-    * ``broadcast_ratings`` — ship the ratings side to every task (map-side
-      join). Only for a ratings table known to be small; otherwise leave it to
-      the planner, which broadcasts by measured size (AQE) or shuffles.
+    * ``broadcast_ratings`` — a map-side lookup join: the (deduplicated)
+      ratings are checkpointed and counted, and shipped to every task only when
+      that count is at most ``broadcast_max_rows``; above it the join shuffles.
+      Without it the planner decides by estimated/measured size (AQE).
     * ``sort`` — order by the average descending, then person (stable ties).
     """
     rt = ratings_title or title
@@ -71,7 +75,8 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
         r = latest_per_key(r, rt, metric, dedupe_order_by)
     r = r.select(F.col(rt).alias("_t"), F.col(metric).alias("_m"))
     if broadcast_ratings:
-        r = F.broadcast(r)
+        r, n_ratings = materialize(r)
+        r = broadcast_if_small(r, n_ratings, broadcast_max_rows)
     j = c.join(r, "_t", "inner")
     if exact_scale is None:
         agg = F.avg("_m")

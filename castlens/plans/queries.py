@@ -53,7 +53,7 @@ def avg_metric_all_roles(spark, sf_dir):
     # every role; one rating per title (the last by rated_at), as a lookup join
     return average_metric_per_person(
         principals(spark, sf_dir), ratings(spark, sf_dir), roles=None,
-        dedupe_order_by="rated_at", exact_scale=MONEY_SCALE)
+        dedupe_order_by="rated_at", exact_scale=MONEY_SCALE, broadcast_ratings=True)
 
 
 def avg_metric_role_filter(spark, sf_dir):
