@@ -140,10 +140,12 @@ def _salted_copy(e: DataFrame, key: str, other: str, n_parts: int, hot_rows: int
 
 def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot) -> DataFrame:
     """Rows of a :func:`_salted_copy` whose key is in ``keys`` (a semi join that
-    shuffles only ``keys``: each key is repeated once per salt of a hot key)."""
+    shuffles only ``keys``). Keys are deduplicated first (map-side partial
+    distinct), then a hot key is repeated once per salt — so a hot title
+    reached through many frontier persons still fans out only n_salts times."""
     if hot is None:
         return copy.join(keys.select(key), key, "left_semi")
-    j = keys.select(key).join(F.broadcast(hot), key, "left")
+    j = keys.select(key).distinct().join(F.broadcast(hot), key, "left")
     salts = F.when(F.col("n_salts").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("n_salts") - 1))
     return copy.join(j.select(key, F.explode(salts).alias("salt")), [key, "salt"], "left_semi")
