@@ -52,3 +52,18 @@ def test_cheap_queries_match_oracle_on_smoke(spark):
         exp = sorted(repr(tuple(list(r[i]) if isinstance(r[i], list) else r[i] for i in idx)) for r in rel.fetchall())
         assert sorted(rel.columns) == cols, name
         assert got == exp, name
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_alphabet = st.sampled_from(list("ab \t\n\r\fé,.x"))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(alphabet=_alphabet, max_size=40), min_size=1, max_size=8))
+def test_word_count_random_texts(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    exp = Counter(w for t in texts for w in re.split(r"[ \t\n\r\f]+", t) if w)
+    got = {r.word: r["count"] for r in word_count(df, "text").collect()}
+    assert got == dict(exp)
