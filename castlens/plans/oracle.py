@@ -120,6 +120,7 @@ GROUP BY c.person HAVING sum(s.n - 1) > 0""",
     "bfs_distance_full": _bfs_full(GRAPH_ROLES),
     "bfs_distance_full_all_roles": _bfs_full(None),
     "bfs_distance_capped": _bfs_capped_body(GRAPH_ROLES) + "\nSELECT person, distance FROM capped",
+    "bfs_distance_capped_all_roles": _bfs_capped_body(None) + "\nSELECT person, distance FROM capped",
     "bfs_level_histogram": f"WITH RECURSIVE {_bfs(GRAPH_ROLES, None)}\n"
                            "SELECT CAST(distance AS INTEGER) AS distance, count(*) AS n_nodes FROM r GROUP BY distance",
     "bfs_distance_gathered": _bfs_capped_body(GRAPH_ROLES)

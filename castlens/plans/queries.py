@@ -111,6 +111,11 @@ def bfs_distance_capped(spark, sf_dir):
     return G.bfs_distances_capped(_credits(spark, sf_dir, GRAPH_ROLES), BFS_SOURCE, max_depth=BFS_DEPTH)
 
 
+def bfs_distance_capped_all_roles(spark, sf_dir):
+    # every role, depth-limited, sentinel for the rest: the line-oriented job's exact form
+    return G.bfs_distances_capped(_credits(spark, sf_dir), BFS_SOURCE, max_depth=BFS_DEPTH)
+
+
 def bfs_level_histogram(spark, sf_dir):
     return bfs_distance_full(spark, sf_dir).transform(G.level_histogram)
 
@@ -374,6 +379,7 @@ QUERIES: dict[str, Query] = {
     "bfs_distance_full": bfs_distance_full,
     "bfs_distance_full_all_roles": bfs_distance_full_all_roles,
     "bfs_distance_capped": bfs_distance_capped,
+    "bfs_distance_capped_all_roles": bfs_distance_capped_all_roles,
     "bfs_level_histogram": bfs_level_histogram,
     "bfs_distance_gathered": bfs_distance_gathered,
     "word_count": word_count_documents,
