@@ -12,8 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from castlens.functions.columns import array_get, concat_key, safe_double, split_get
 from castlens.operators import graph as G

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from castlens.functions import concat_key, midpoint, safe_double, split_get
+from castlens.functions import concat_key, safe_double, split_get
 from castlens.operators.partitions import partition_skew_report, repartition
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
                                         union_by_name, with_key, with_midpoint)
