@@ -62,6 +62,20 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.col("tconst").isNull() | (F.col("tconst") != F.lit("tconst")))
 
 
+def with_line_order(df: DataFrame, name: str = "line_order") -> DataFrame:
+    """Add a column that orders rows as they appear in the input files.
+
+    (file path, block start, row id): a block is read by one task in file
+    order and the row id increases within a task, so the struct sorts rows in
+    file order — "the last line wins" becomes ``max`` of this column. Works on
+    a DataFrame that still reads straight from files (``_metadata`` columns).
+    """
+    order = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, order)
+
+
 def read_csv_inferred(spark: SparkSession, path: str | Sequence[str], sampling_ratio: float = 1.0,
                       **options) -> DataFrame:
     """CSV with a header row and inferred column types.
