@@ -28,10 +28,15 @@ UNREACHED = 10000
 
 def credits(principals: DataFrame, *, title: str = "tconst", person: str = "nconst",
             role: str = "category", roles: str | Sequence[str] | None = None) -> DataFrame:
-    """(title, person) credit rows of the chosen roles; duplicates are kept (bag)."""
-    cond = role_filter(role, roles)
-    df = principals if cond is None else principals.where(cond)
-    return df.select(F.col(title).alias("title"), F.col(person).alias("person"))
+    """(title, person) credit rows of the chosen roles; duplicates are kept (bag).
+
+    A row without a title or without a person links nobody and is dropped.
+    """
+    cond = F.col(title).isNotNull() & F.col(person).isNotNull()
+    rc = role_filter(role, roles)
+    if rc is not None:
+        cond = cond & rc
+    return principals.where(cond).select(F.col(title).alias("title"), F.col(person).alias("person"))
 
 
 def bipartite_edges(credit_rows: DataFrame) -> DataFrame:

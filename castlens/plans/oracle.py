@@ -18,7 +18,9 @@ def _in(roles) -> str:
 
 
 def _credits(roles=None) -> str:
-    where = "" if roles is None else f" WHERE l_returnflag || l_linestatus IN {_in(roles)}"
+    where = " WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL"
+    if roles is not None:
+        where += f" AND l_returnflag || l_linestatus IN {_in(roles)}"
     return f"SELECT l_orderkey AS title, l_partkey AS person FROM lineitem{where}"
 
 

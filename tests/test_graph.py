@@ -6,6 +6,8 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict, deque
 
+from pyspark.sql import functions as F
+
 from castlens.operators import graph as G
 from castlens.plans.queries import _credits
 from castlens.plans.tables import GRAPH_ROLES
@@ -174,3 +176,12 @@ def test_bfs_plan_has_no_cartesian_or_python(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
     assert "ArrowEvalPython" not in plan
+
+
+def test_null_keys_link_nobody(spark):
+    df = spark.createDataFrame([("t1", "a"), ("t1", None), ("t1", "b"), (None, "a"), (None, "c")],
+                               "tconst string, nconst string").withColumn("category", F.lit("actor"))
+    c = G.credits(df)
+    assert c.count() == 2
+    got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), "a").collect()}
+    assert got == {"a": 0, "b": 1}
