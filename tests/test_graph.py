@@ -185,3 +185,26 @@ def test_null_keys_link_nobody(spark):
     assert c.count() == 2
     got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), "a").collect()}
     assert got == {"a": 0, "b": 1}
+
+
+def test_bipartite_form_equals_pair_form(spark):
+    """Distances on the bipartite graph equal distances on the co-appearance pair graph
+    (pairs built here by brute force, 2-combinations of every cast list)."""
+    c = _credits(spark, SF_SMOKE, GRAPH_ROLES)
+    by_title = defaultdict(list)
+    for r in c.collect():
+        by_title[r.title].append(r.person)
+    adj = defaultdict(set)
+    for cast in by_title.values():
+        for a, b in itertools.combinations(cast, 2):
+            adj[a].add(b)
+            adj[b].add(a)
+    dist, q = {0: 0}, deque([0])
+    while q:
+        u = q.popleft()
+        for v in adj[u]:
+            if v not in dist:
+                dist[v] = dist[u] + 1
+                q.append(v)
+    got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), 0).collect()}
+    assert got == dist
