@@ -49,7 +49,7 @@ def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode
         v = F.to_json(v)
     (df.select(F.col(key).cast("string").alias("k"), v.cast("string").alias("v"))
        .write.mode(mode).option("sep", "\t").option("quote", "").option("nullValue", "\\N")
-       .option("header", "false").csv(path))
+       .option("emptyValue", "").option("header", "false").csv(path))
 
 
 def read_keyvalue(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
