@@ -24,7 +24,9 @@ def stage_stream(spark: SparkSession, landing_dir: str, schema: StructType | str
     """Ingest all not-yet-staged files of ``landing_dir`` into Parquet at ``out_dir``.
 
     Runs one ``availableNow`` trigger (split into micro-batches of at most
-    ``max_files_per_trigger`` files) and returns the staged table.
+    ``max_files_per_trigger`` files) and returns the staged table. Pass the
+    same ``checkpoint_location`` (a shared folder) on every run to make the
+    runs incremental; the default, a fresh folder, makes a one-off run.
     """
     opts = dict(TSV_OPTIONS) if sep == "\t" else {"sep": sep, "mode": "PERMISSIVE"}
     opts["header"] = "true" if header else "false"
