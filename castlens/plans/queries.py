@@ -102,6 +102,11 @@ def bfs_distance_full(spark, sf_dir):
             .transform(G.bfs_distances, BFS_SOURCE))
 
 
+def bfs_distance_full_acting_roles(spark, sf_dir):
+    # the acting role set, to exhaustion: the DataFrame search's exact form
+    return _credits(spark, sf_dir, ACTING_ROLES).transform(G.bipartite_edges).transform(G.bfs_distances, BFS_SOURCE)
+
+
 def bfs_distance_full_all_roles(spark, sf_dir):
     return _credits(spark, sf_dir).transform(G.bipartite_edges).transform(G.bfs_distances, BFS_SOURCE)
 
@@ -376,6 +381,7 @@ QUERIES: dict[str, Query] = {
     "title_pair_stats": title_pair_stats,
     "neighbour_slots": neighbour_slots,
     "bfs_distance_full": bfs_distance_full,
+    "bfs_distance_full_acting_roles": bfs_distance_full_acting_roles,
     "bfs_distance_full_all_roles": bfs_distance_full_all_roles,
     "bfs_distance_capped": bfs_distance_capped,
     "bfs_distance_capped_all_roles": bfs_distance_capped_all_roles,
