@@ -19,6 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from castlens.constants import ACTING_ROLES, DEFAULT_SOURCE
 from castlens.operators import graph as G
 from castlens.operators.ratings import average_metric_per_person
 from castlens.operators.text import word_count
@@ -40,7 +41,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     a = sub.add_parser("avg-rating", help="average title rating per person")
     a.add_argument("--principals", required=True)
     a.add_argument("--ratings", required=True)
-    a.add_argument("--roles", default="actor,actress")
+    a.add_argument("--roles", default=",".join(ACTING_ROLES))
     a.add_argument("--all-roles", action="store_true")
     a.add_argument("--last-rating-wins", action="store_true",
                    help="one rating per title: the one on the last line of the ratings file(s)")
@@ -48,7 +49,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
 
     b = sub.add_parser("bfs", help="degrees of separation from one person")
     b.add_argument("--principals", required=True)
-    b.add_argument("--source", default="nm0000102")
+    b.add_argument("--source", default=DEFAULT_SOURCE)
     b.add_argument("--depth", type=int, default=None, help="depth limit; unreached persons get 10000")
     b.add_argument("--roles", default=None, help="comma-separated roles (default: all)")
     b.add_argument("--keyvalue", action="store_true")

@@ -6,9 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the token separators of the classic word-count example
-# (java.util.StringTokenizer defaults: space, tab, newline, carriage return, form feed).
-WORD_SEPARATORS = "[ \t\n\r\f]+"
+from castlens.constants import WORD_SEPARATORS  # re-exported
 
 
 def _c(x: str | Column) -> Column:

@@ -21,9 +21,7 @@ from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_sm
 from castlens.operators.ratings import role_filter
 from castlens.session import checkpoint_dir
 
-# Fixed value: distance reported for a node that was not reached within the
-# depth limit (the capped variant's "infinity").
-UNREACHED = 10000
+from castlens.constants import UNREACHED  # re-exported
 
 
 def credits(principals: DataFrame, *, title: str = "tconst", person: str = "nconst",

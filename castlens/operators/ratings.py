@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from castlens.constants import ACTING_ROLES
 from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 
@@ -44,7 +45,7 @@ def latest_per_key(df: DataFrame, key: str, value: str, order_by: str) -> DataFr
 
 def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title: str = "tconst",
                               person: str = "nconst", role: str = "category",
-                              roles: str | Sequence[str] | None = ("actor", "actress"),
+                              roles: str | Sequence[str] | None = ACTING_ROLES,
                               ratings_title: str | None = None, metric: str = "averageRating",
                               out_col: str = "avgRating", dedupe_order_by: str | None = None,
                               exact_scale: int | None = None, broadcast_ratings: bool = False,

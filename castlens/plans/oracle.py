@@ -7,6 +7,7 @@ each step only admits persons not yet in the keyed result.
 
 from __future__ import annotations
 
+from castlens.constants import UNREACHED
 from castlens.plans.tables import (ACTING_ROLES, BFS_DEPTH, BFS_SOURCE, CHUNK_SIZE, GRAPH_ROLES,
                                    REPLICAS, SINGLE_ROLE)
 
@@ -59,7 +60,7 @@ def _bfs_capped_body(roles) -> str:
 multi AS (SELECT title FROM c GROUP BY title HAVING count(*) >= 2),
 nodes AS (SELECT DISTINCT person FROM c WHERE title IN (SELECT title FROM multi)),
 {_bfs(roles, BFS_DEPTH)},
-capped AS (SELECT n.person, CAST(coalesce(r.distance, 10000) AS INTEGER) AS distance
+capped AS (SELECT n.person, CAST(coalesce(r.distance, {UNREACHED}) AS INTEGER) AS distance
            FROM nodes n LEFT JOIN r ON n.person = r.person)"""
 
 
@@ -115,7 +116,7 @@ FROM per GROUP BY title""",
 WITH c AS ({_credits()}),
 s AS (SELECT title, count(*) AS n FROM c GROUP BY title)
 SELECT c.person,
-       CAST(CASE WHEN c.person = {BFS_SOURCE} THEN 0 ELSE 10000 END AS INTEGER) AS distance,
+       CAST(CASE WHEN c.person = {BFS_SOURCE} THEN 0 ELSE {UNREACHED} END AS INTEGER) AS distance,
        CAST(sum(s.n - 1) AS BIGINT) AS n_neighbours
 FROM c JOIN s ON c.title = s.title
 GROUP BY c.person HAVING sum(s.n - 1) > 0""",

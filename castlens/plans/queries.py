@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from castlens.constants import HEADER_KEY
 from castlens.functions.columns import array_get, concat_key, safe_double, split_get
 from castlens.operators import graph as G
 from castlens.operators.partitions import partition_skew_report, repartition, spread_small_input
@@ -71,9 +72,9 @@ def avg_metric_text_side_file(spark, sf_dir):
     ratings_path = scratch_path(spark, "ratings_lines")
     write_delimited(ratings(spark, sf_dir).select("tconst", "averageRating"), ratings_path)
     cr = read_text_positional(spark, credits_path, {"tconst": 0, "nconst": 2},
-                              header_field="tconst", header_value="tconst")
+                              header_field="tconst", header_value=HEADER_KEY)
     rt = read_text_positional(spark, ratings_path, {"tconst": 0, "rating": 1},
-                              header_prefix="tconst", strip=True)
+                              header_prefix=HEADER_KEY, strip=True)
     rt = rt.select("tconst", safe_double("rating").alias("averageRating"))
     return average_metric_per_person(cr, rt, roles=None, exact_scale=MONEY_SCALE)
 
@@ -161,7 +162,7 @@ def scan_text_positional(spark, sf_dir):
     path = scratch_path(spark, "principals_lines")
     write_delimited(principals(spark, sf_dir), path)   # one header line per part file
     df = read_text_positional(spark, path, {"tconst": 0, "ordering": 1, "nconst": 2},
-                              header_field="tconst", header_value="tconst")
+                              header_field="tconst", header_value=HEADER_KEY)
     return df.select("tconst", "nconst", F.col("ordering").try_cast("int").alias("ordering"))
 
 

@@ -17,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Role codes standing in for the reference's role names.
+from castlens.constants import DEFAULT_DEPTH, REPLICAS  # noqa: F401  (REPLICAS re-exported)
+
+# This repository's mapping of the credit model onto the driver tables.
 ACTING_ROLES = ("AF", "RF")     # the "actor / actress" role set
 SINGLE_ROLE = "NO"              # the "producer" role
 GRAPH_ROLES = ("RF",)           # roles whose credits form the BFS graph
 BFS_SOURCE = 0                  # the search origin (smallest connected person key)
-BFS_DEPTH = 6                   # depth limit of the capped search
+BFS_DEPTH = DEFAULT_DEPTH       # depth limit of the capped search
 CHUNK_SIZE = 100_000            # max persons per cast-list row
-REPLICAS = 61                   # copies made by the replication step (1 + 60 unions)
 MONEY_SCALE = 2                 # o_totalprice has cents: sums are taken in exact cents
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
                                StructType)
 
-# The published credit-table layouts.
+from castlens.constants import HEADER_KEY, NULL_MARKER
+
+# The credit-table layouts of the dumps.
 PRINCIPALS_SCHEMA = StructType([
     StructField("tconst", StringType(), True),
     StructField("ordering", IntegerType(), True),
@@ -29,8 +31,8 @@ RATINGS_SCHEMA = StructType([
     StructField("numVotes", IntegerType(), True),
 ])
 
-# The dump marks nulls with a backslash-N and never quotes fields.
-TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": "", "nullValue": "\\N",
+# The dumps mark nulls with NULL_MARKER and never quote fields.
+TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": "", "nullValue": NULL_MARKER,
                "mode": "PERMISSIVE"}
 
 
@@ -53,13 +55,13 @@ def read_principals(spark: SparkSession, path: str) -> DataFrame:
     """principals(tconst, ordering, nconst, category, job, characters)."""
     df = read_delimited(spark, path, PRINCIPALS_SCHEMA)
     # A header line repeated inside the data (concatenated dumps) is not a credit.
-    return df.where(F.col("tconst").isNull() | (F.col("tconst") != F.lit("tconst")))
+    return df.where(F.col("tconst").isNull() | (F.col("tconst") != F.lit(HEADER_KEY)))
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """ratings(tconst, averageRating, numVotes)."""
     df = read_delimited(spark, path, RATINGS_SCHEMA)
-    return df.where(F.col("tconst").isNull() | (F.col("tconst") != F.lit("tconst")))
+    return df.where(F.col("tconst").isNull() | (F.col("tconst") != F.lit(HEADER_KEY)))
 
 
 def with_line_order(df: DataFrame, name: str = "line_order") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from castlens.constants import LIST_ROW, NULL_MARKER, TUPLE_ROW
 from castlens.sources.readers import read_delimited
 
 
@@ -34,11 +35,11 @@ def write_text_rows(df: DataFrame, path: str, cols: Sequence[str] | None = None,
     files concatenated in name order hold the global order.
     """
     cols = list(cols or df.columns)
-    o, c = ("[", "]") if style == "list" else ("(", ")")
+    o, sep, c = LIST_ROW if style == "list" else TUPLE_ROW
     out = df
     if sort_by is not None:
         out = out.orderBy(*sort_by)
-    out.select(row_text(cols, o, c).alias("value")).write.mode(mode).text(path)
+    out.select(row_text(cols, o, c, sep).alias("value")).write.mode(mode).text(path)
 
 
 def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode: str = "overwrite",
@@ -48,7 +49,7 @@ def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode
     if json_value:
         v = F.to_json(v)
     (df.select(F.col(key).cast("string").alias("k"), v.cast("string").alias("v"))
-       .write.mode(mode).option("sep", "\t").option("quote", "").option("nullValue", "\\N")
+       .write.mode(mode).option("sep", "\t").option("quote", "").option("nullValue", NULL_MARKER)
        .option("emptyValue", "").option("header", "false").csv(path))
 
 
@@ -61,7 +62,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = Tr
     """Delimited text in the dump's own layout (``\\N`` nulls, no quoting for TSV)."""
     w = df.write.mode(mode).option("sep", sep).option("header", "true" if header else "false")
     if sep == "\t":
-        w = w.option("quote", "").option("nullValue", "\\N").option("emptyValue", "")
+        w = w.option("quote", "").option("nullValue", NULL_MARKER).option("emptyValue", "")
     for k, v in options.items():
         w = w.option(k, str(v))
     w.csv(path)
