@@ -112,3 +112,16 @@ def test_stage_to_parquet(spark, tmp_dir):
     assert staged.collect() == df.collect()
     again = stage_to_parquet(spark, raw, PRINCIPALS_SCHEMA, os.path.join(tmp_dir, "pq"))   # overwrite
     assert again.count() == 1
+
+
+def test_line_order_last_line_wins_across_files(spark, tmp_dir):
+    from castlens.operators.ratings import latest_per_key
+    from castlens.sources import read_ratings, with_line_order
+    d = os.path.join(tmp_dir, "ratings")
+    os.makedirs(d)
+    hdr = "tconst\taverageRating\tnumVotes"
+    write_text(os.path.join(d, "part-a.tsv"), [hdr, "tt1\t1.0\t1", "tt2\t2.0\t1", "tt1\t3.0\t1"])
+    write_text(os.path.join(d, "part-b.tsv"), [hdr, "tt2\t4.0\t1", "tt3\t5.0\t1"])
+    r = with_line_order(read_ratings(spark, d))
+    got = {x.tconst: x.averageRating for x in latest_per_key(r, "tconst", "averageRating", "line_order").collect()}
+    assert got == {"tt1": 3.0, "tt2": 4.0, "tt3": 5.0}
