@@ -156,7 +156,7 @@ def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot) -> DataFrame:
 
 def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
                   broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                  index_min_rows: int = 5_000_000, hot_rows: int = 1_000_000) -> DataFrame:
+                  index_min_rows: int | None = None, hot_rows: int = 1_000_000) -> DataFrame:
     """Single-source breadth-first distances on the bipartite graph.
 
     ``edges`` holds (title, person). Returns (person, distance) for every person
@@ -173,19 +173,21 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
       lineage is cut; a lost executor costs at most one level) and counted in
       the same job. A frontier is broadcast only when that count is under
       ``broadcast_max_rows``.
-    * The deduplicated edge table is checkpointed once. A graph with fewer than
-      ``index_min_rows`` edges is cached as is: every level then scans it and
-      joins broadcast or shuffled sets against it. A bigger graph is cached
-      twice, hash-partitioned on (person, salt) and on (title, salt), so a
-      level whose sets are too big to broadcast shuffles only those sets —
-      never the edge table. Keys with more than ``hot_rows`` edges (raised to
-      |E| / ``broadcast_max_rows`` when larger, so the hot-key table is always
+    * The deduplicated edge table is checkpointed once and counted. A graph of
+      at most ``index_min_rows`` edges (default ``broadcast_max_rows``) is
+      cached hash-partitioned on person. Every set a level derives from it has
+      at most |E| rows — a proven bound — so all of them are broadcast, and the
+      persons reached come out already partitioned by person: a level is one
+      stage with no shuffle at all.
+    * A bigger graph is cached twice, hash-partitioned on (person, salt) and on
+      (title, salt), so a level whose sets are too big to broadcast shuffles
+      only those sets — never the edge table. Keys with more than ``hot_rows``
+      edges (raised to |E| / 2M when larger, so the hot-key table is always
       broadcastable) are salted over several partitions and the lookup side is
       repeated once per salt, so a title or person holding a third of all
-      credits is split over many tasks instead of one.
-    * The title set between the two hops is not materialized: the planner
-      broadcasts it only when its measured size is under Spark's broadcast
-      threshold (AQE re-plans at run time), and shuffles it otherwise.
+      credits is split over many tasks instead of one. There the title set
+      between the two hops is broadcast by the planner only when its measured
+      size is under Spark's threshold (AQE), and shuffled otherwise.
     * A title is expanded at the level of its nearest member and at most once
       more (its other members are one level farther), so title work is at most
       2× the title rows. Only counts reach the driver.
@@ -194,7 +196,11 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
     e, n_edges = materialize(edges.select("title", "person").distinct())
-    salted = n_edges >= index_min_rows
+    if index_min_rows is None:
+        index_min_rows = broadcast_max_rows
+    salted = n_edges > index_min_rows
+    # every set derived from the edge table has at most n_edges rows
+    sets_fit = n_edges <= broadcast_max_rows
     if salted:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # bound the hot-key tables so they are always broadcastable
@@ -203,9 +209,11 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
         by_title, hot_t = _salted_copy(e, "title", "person", n_parts, hot_rows)
         cached = [by_person, by_title]
     else:
-        by_person = by_title = e.persist(StorageLevel.MEMORY_AND_DISK)
+        n_parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             spark.sparkContext.defaultParallelism))
+        by_person = by_title = e.repartition(n_parts, "person").persist(StorageLevel.MEMORY_AND_DISK)
         hot_p = hot_t = None
-        cached = [e]
+        cached = [by_person]
 
     def person_hop(frontier: DataFrame, n_frontier: int) -> DataFrame:
         if n_frontier <= broadcast_max_rows or not salted:
@@ -215,7 +223,8 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
 
     def title_hop(titles: DataFrame) -> DataFrame:
         if not salted:
-            return by_title.join(titles, "title", "left_semi").select("person")
+            t = F.broadcast(titles) if sets_fit else titles
+            return by_title.join(t, "title", "left_semi").select("person")
         return _lookup(by_title, titles, "title", hot_t).select("person")
 
     try:

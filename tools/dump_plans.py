@@ -41,7 +41,7 @@ def bfs_level_plans(spark, sf_dir):
 
     G.materialize = spy
     edges = G.bipartite_edges(_credits(spark, sf_dir, GRAPH_ROLES))
-    out = ["## BFS level job (default: edge table cached as is, sets broadcast after a count)", ""]
+    out = ["## BFS level job (graph up to 2M edges: edges cached by person, every set broadcast, no shuffle)", ""]
     G.bfs_distances(edges, BFS_SOURCE, max_depth=3)
     out += ["```", _trim(captured[-1]), "```", ""]
     captured.clear()
