@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType
 from castlens.functions.columns import stable_bucket
 from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 from castlens.operators.ratings import role_filter
-from castlens.session import checkpoint_dir
+from castlens.session import _context, checkpoint_dir
 
 from castlens.constants import UNREACHED  # re-exported
 
@@ -209,8 +209,10 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
         by_title, hot_t = _salted_copy(e, "title", "person", n_parts, hot_rows)
         cached = [by_person, by_title]
     else:
-        n_parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             spark.sparkContext.defaultParallelism))
+        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sc = _context(spark)
+        if sc is not None:   # a small graph needs no more partitions than cores
+            n_parts = max(1, min(n_parts, sc.defaultParallelism))
         by_person = by_title = e.repartition(n_parts, "person").persist(StorageLevel.MEMORY_AND_DISK)
         hot_p = hot_t = None
         cached = [by_person]
