@@ -156,7 +156,8 @@ def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot) -> DataFrame:
 
 def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
                   broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                  index_min_rows: int | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+                  index_min_rows: int | None = None, hot_rows: int = 1_000_000,
+                  n_distinct_edges: int | None = None) -> DataFrame:
     """Single-source breadth-first distances on the bipartite graph.
 
     ``edges`` holds (title, person). Returns (person, distance) for every person
@@ -191,11 +192,17 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     * A title is expanded at the level of its nearest member and at most once
       more (its other members are one level farther), so title work is at most
       2× the title rows. Only counts reach the driver.
+
+    ``n_distinct_edges``: pass the row count when ``edges`` is already a
+    deduplicated, checkpointed table, to skip deduplicating it again.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
-    e, n_edges = materialize(edges.select("title", "person").distinct())
+    if n_distinct_edges is None:
+        e, n_edges = materialize(edges.select("title", "person").distinct())
+    else:
+        e, n_edges = edges.select("title", "person"), n_distinct_edges
     if index_min_rows is None:
         index_min_rows = broadcast_max_rows
     salted = n_edges > index_min_rows
@@ -266,8 +273,12 @@ def bfs_distances_capped(credit_rows: DataFrame, source, max_depth: int = 6,
     get ``unreached``. Persons without any co-credit are absent; so is the
     source when it has none (then every listed person is ``unreached``).
     """
-    nodes = graph_nodes(credit_rows)
-    dist = bfs_distances(bipartite_edges(credit_rows), source, max_depth=max_depth, **kw)
+    # one aggregation gives both the distinct edges and, through the credit
+    # counts, the titles with two or more credit rows (whose persons are nodes)
+    per_pair, n_pairs = materialize(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
+    multi = per_pair.groupBy("title").agg(F.sum("c").alias("n")).where(F.col("n") >= 2).select("title")
+    nodes = per_pair.join(multi, "title", "left_semi").select("person").distinct()
+    dist = bfs_distances(per_pair, source, max_depth=max_depth, n_distinct_edges=n_pairs, **kw)
     return (nodes.join(dist, "person", "left")
             .select("person", F.coalesce(F.col("distance"), F.lit(unreached)).cast(IntegerType()).alias("distance")))
 
