@@ -80,3 +80,14 @@ def test_partition_skew_report(spark):
     df = repartition(spark.range(1000).withColumnRenamed("id", "k"), 4, ["k"])
     rows = partition_skew_report(df).collect()
     assert sum(r.n_rows for r in rows) == 1000 and len(rows) <= 4
+
+
+def test_added_then_dropped_columns_are_pruned(spark):
+    """Derived columns added and then dropped never reach the physical plan
+    (Catalyst collapses the projections), even over a replicated input."""
+    df = spark.createDataFrame([(1.0, 2.0)], "lcl double, ucl double")
+    full = with_midpoint(replicate(df, 61), "lcl", "ucl", copies={"lcl2": "lcl", "ucl2": "ucl"}) \
+        .drop("avg", "lcl2", "ucl2")
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "avg" not in plan and "lcl2" not in plan
+    assert full.count() == 61
