@@ -8,6 +8,7 @@ Each query is fully computed with the ``noop`` sink (every row produced, none
 collected). Before timing, every query runs once, untimed, on the small
 warm-up tables ($BENCH_WARMUP_DIR, default /root/testdata/sf0.001) so the
 timings are steady-state (JIT-compiled code paths), not JVM start-up.
+With BENCH_EVENT_LOG=1 a Spark event log is written to a fresh /tmp folder.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -46,7 +48,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in sys.argv[1:]] or HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus), app_name="castlens-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):   # stage/task times for later inspection (the UI stays off)
+        log_dir = tempfile.mkdtemp(prefix="castlens-eventlog-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        print(f"event log: {log_dir}", file=sys.stderr)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus), app_name="castlens-bench",
+                          extra=extra)
     warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):   # fresh scratch/checkpoint folders per run: nothing is reused
         for name in only:
