@@ -51,7 +51,8 @@ def main() -> None:
     extra = {}
     if os.environ.get("BENCH_EVENT_LOG"):   # stage/task times for later inspection (the UI stays off)
         log_dir = tempfile.mkdtemp(prefix="castlens-eventlog-")
-        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                 "spark.eventLog.compress": "false"}
         print(f"event log: {log_dir}", file=sys.stderr)
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus), app_name="castlens-bench",
                           extra=extra)
