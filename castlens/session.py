@@ -92,3 +92,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{uuid.uuid4().hex}/{name}"
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run over ``input_bytes`` of input.
+
+    * Shuffle partitions: enough that each holds about ``target_partition_bytes``
+      of shuffled data (assuming a shuffle as large as the input), and at least
+      three waves of tasks. AQE coalesces them at run time when a shuffle turns
+      out smaller, so the count is an upper bound, not a cost.
+    * Input splits of ``target_partition_bytes``; AQE's advisory size and the
+      skew thresholds at the same size, so a partition several times the median
+      and above that size is split.
+    For 100 TB on 8,000 cores: ~400k shuffle partitions, 256 MB splits.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.checkpoint.compress": "true",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    }
