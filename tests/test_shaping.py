@@ -96,7 +96,9 @@ def test_added_then_dropped_columns_are_pruned(spark):
 def test_cluster_conf_sizes_partitions():
     from castlens.session import cluster_conf
     big = cluster_conf(100 * 10**12, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000       # capped: fetches grow as maps × reduces
+    mid = cluster_conf(10 * 10**12, 2000)
+    assert int(mid["spark.sql.shuffle.partitions"]) == -(-10 * 10**12 // (256 << 20))
     small = cluster_conf(10**9, 64)
     assert int(small["spark.sql.shuffle.partitions"]) == 192      # three waves of tasks
     assert small["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
