@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from castlens.functions.columns import stable_bucket
 from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
@@ -141,17 +141,21 @@ def _salted_copy(e: DataFrame, key: str, other: str, n_parts: int, hot_rows: int
     return out.persist(StorageLevel.MEMORY_AND_DISK), hot
 
 
-def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot) -> DataFrame:
+def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot, n_parts: int) -> DataFrame:
     """Rows of a :func:`_salted_copy` whose key is in ``keys`` (a semi join that
     shuffles only ``keys``). Keys are deduplicated first (map-side partial
     distinct), then a hot key is repeated once per salt — so a hot title
-    reached through many frontier persons still fans out only n_salts times."""
+    reached through many frontier persons still fans out only n_salts times.
+    The keys are repartitioned exactly like the copy (same columns, same
+    count), so the join never re-shuffles the cached copy, whatever
+    partitioning the keys arrive with."""
     if hot is None:
-        return copy.join(keys.select(key), key, "left_semi")
+        return copy.join(keys.select(key).repartition(n_parts, key), key, "left_semi")
     j = keys.select(key).distinct().join(F.broadcast(hot), key, "left")
     salts = F.when(F.col("n_salts").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("n_salts") - 1))
-    return copy.join(j.select(key, F.explode(salts).alias("salt")), [key, "salt"], "left_semi")
+    salted = j.select(key, F.explode(salts).alias("salt")).repartition(n_parts, key, "salt")
+    return copy.join(salted, [key, "salt"], "left_semi")
 
 
 def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
@@ -186,9 +190,9 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
       edges (raised to |E| / 2M when larger, so the hot-key table is always
       broadcastable) are salted over several partitions and the lookup side is
       repeated once per salt, so a title or person holding a third of all
-      credits is split over many tasks instead of one. There the title set
-      between the two hops is broadcast by the planner only when its measured
-      size is under Spark's threshold (AQE), and shuffled otherwise.
+      credits is split over many tasks instead of one. There the distinct
+      title set between the two hops is checkpointed and counted too (a second
+      job per level), and broadcast only under ``broadcast_max_rows``.
     * A title is expanded at the level of its nearest member and at most once
       more (its other members are one level farther), so title work is at most
       2× the title rows. Only counts reach the driver.
@@ -223,21 +227,32 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
         by_person = by_title = e.repartition(n_parts, "person").persist(StorageLevel.MEMORY_AND_DISK)
         hot_p = hot_t = None
         cached = [by_person]
+    # Build the caches before the first level: only a materialized cache reports
+    # its hash partitioning to the planner (an unbuilt one would be re-shuffled).
+    for c in cached:
+        c.count()
 
     def person_hop(frontier: DataFrame, n_frontier: int) -> DataFrame:
         if n_frontier <= broadcast_max_rows or not salted:
             f = broadcast_if_small(frontier, n_frontier, broadcast_max_rows)
             return by_person.join(f, "person", "left_semi").select("title")
-        return _lookup(by_person, frontier, "person", hot_p).select("title")
+        return _lookup(by_person, frontier, "person", hot_p, n_parts).select("title")
 
     def title_hop(titles: DataFrame) -> DataFrame:
         if not salted:
             t = F.broadcast(titles) if sets_fit else titles
             return by_title.join(t, "title", "left_semi").select("person")
-        return _lookup(by_title, titles, "title", hot_t).select("person")
+        # big graph: the distinct title set is checkpointed and counted, then
+        # broadcast under a proven bound or looked up through the salted copy
+        t, n_t = materialize(titles.distinct())
+        if n_t <= broadcast_max_rows:
+            return by_title.join(F.broadcast(t), "title", "left_semi").select("person")
+        return _lookup(by_title, t, "title", hot_t, n_parts).select("person")
 
     try:
-        seed = spark.range(1).select(F.lit(source).cast(ptype).alias("person"))
+        # a one-row local relation, not a literal projection: Catalyst would fold a
+        # literal key into a filter and leave a condition-less (nested-loop) semi join
+        seed = spark.createDataFrame([(source,)], StructType([StructField("person", ptype, True)]))
         levels = [seed.select("person", F.lit(0).alias("distance"))]
         frontier, n_frontier = seed, 1
         previous, n_previous = None, 0

@@ -4,6 +4,7 @@ be broadcast."""
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict, deque
 from contextlib import contextmanager
 
@@ -114,9 +115,35 @@ def test_salted_index_bfs_shuffles_only_the_lookup_side(spark, monkeypatch):
         got = {r.person: r.distance for r in G.bfs_distances(
             G.bipartite_edges(e), 0, broadcast_max_rows=0, index_min_rows=0, hot_rows=50).collect()}
     assert got == _python_bfs(pairs, 0)
-    level = plans[-2]   # a level job (the last plan is the empty final level)
-    # the hot title (1000 credits) is salted; only the looked-up titles are shuffled to the
-    # cached copy's (title, salt) partitioning — the edge copy itself is not re-shuffled
-    lookups = re.findall(r"Exchange hashpartitioning\(title#\d+L, salt#\d+, \d+\), ENSURE_REQUIREMENTS", level)
-    assert len(lookups) == 1
-    assert "SortMergeJoin [title#" in level and "InMemoryTableScan" in level
+    # the hot title (1000 credits) is salted; the looked-up titles are repartitioned to the
+    # cached copy's (title, salt) partitioning and the edge copy itself is never re-shuffled
+    lookups = [p for p in plans if re.search(r"SortMergeJoin \[title#\d+L, salt#\d+\]", p)]
+    assert lookups
+    for plan in plans:
+        assert _exchanges_above_cache(plan) == 0, plan
+        assert "NestedLoopJoin" not in plan, plan
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" :+-"))
+
+
+def _exchanges_above_cache(plan: str) -> int:
+    """Number of Exchange nodes fed straight from a cached-table scan (only
+    filters/projections in between): that would re-shuffle the cached copy."""
+    lines = plan.splitlines()
+    bad = 0
+    for i, line in enumerate(lines):
+        if "Exchange " not in line or "BroadcastExchange" in line:
+            continue
+        ind = _indent(line)
+        for below in lines[i + 1:]:
+            if _indent(below) <= ind:
+                break
+            node = re.sub(r"^\*\(\d+\) ", "", below.lstrip(" :+-"))
+            if node.startswith(("Filter", "Project", "Sort [", "ColumnarToRow", "InputAdapter")):
+                continue
+            if node.startswith("InMemoryTableScan"):
+                bad += 1
+            break
+    return bad
