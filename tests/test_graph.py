@@ -208,3 +208,25 @@ def test_bipartite_form_equals_pair_form(spark):
                 q.append(v)
     got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), 0).collect()}
     assert got == dist
+
+
+def test_small_graph_levels_have_no_shuffle(spark, monkeypatch):
+    """Up to the broadcast limit every level job is broadcast joins over the cached,
+    person-partitioned edges: no exchange at all, no nested-loop join."""
+    from castlens.operators import joins as J
+
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return J.materialize(df)
+
+    monkeypatch.setattr(G, "materialize", spy)
+    c = _credits(spark, SF_SMOKE, GRAPH_ROLES)
+    G.bfs_distances(G.bipartite_edges(c), 0).count()
+    levels = plans[1:]          # plans[0] builds the edge table
+    assert len(levels) >= 5
+    for plan in levels:
+        assert "NestedLoopJoin" not in plan, plan
+        shuffles = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "ENSURE_REQUIREMENTS" in l]
+        assert shuffles == [], plan
