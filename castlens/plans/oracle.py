@@ -123,6 +123,7 @@ GROUP BY c.person HAVING sum(s.n - 1) > 0""",
     "bfs_distance_full": _bfs_full(GRAPH_ROLES),
     "bfs_distance_full_acting_roles": _bfs_full(ACTING_ROLES),
     "bfs_distance_full_all_roles": _bfs_full(None),
+    "bfs_distance_full_indexed": _bfs_full(None),
     "bfs_distance_capped": _bfs_capped_body(GRAPH_ROLES) + "\nSELECT person, distance FROM capped",
     "bfs_distance_capped_all_roles": _bfs_capped_body(None) + "\nSELECT person, distance FROM capped",
     "bfs_level_histogram": f"WITH RECURSIVE {_bfs(GRAPH_ROLES, None)}\n"
