@@ -8,7 +8,8 @@
 Paths may be any Hadoop-FS URI. Output is written with overwrite, one text
 line per row: ``[nconst,avgRating]`` sorted by average for ratings,
 ``(nconst,distance)`` for the search (or ``nconst<TAB>distance`` with
-``--keyvalue``), ``word<TAB>count`` for word count.
+``--keyvalue``, or ``"nconst"<TAB>[distance]`` with ``--gathered``),
+``word<TAB>count`` for word count.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     b.add_argument("--depth", type=int, default=None, help="depth limit; unreached persons get 10000")
     b.add_argument("--roles", default=None, help="comma-separated roles (default: all)")
     b.add_argument("--keyvalue", action="store_true")
+    b.add_argument("--gathered", action="store_true",
+                   help='JSON key-value lines with the distances gathered in a list: "nm…"<TAB>[d]')
     b.add_argument("--out", required=True)
 
     w = sub.add_parser("word-count", help="token counts of text files")
@@ -78,7 +81,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
             res = G.bfs_distances(G.bipartite_edges(cr), args.source)
         else:
             res = G.bfs_distances_capped(cr, args.source, max_depth=args.depth)
-        if args.keyvalue:
+        if args.gathered:
+            write_keyvalue(G.gather_distances(res), args.out, "person", "distances", json=True)
+        elif args.keyvalue:
             write_keyvalue(res, args.out, "person", "distance")
         else:
             write_text_rows(res, args.out, ["person", "distance"], style="tuple")

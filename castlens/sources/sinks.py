@@ -42,13 +42,26 @@ def write_text_rows(df: DataFrame, path: str, cols: Sequence[str] | None = None,
     out.select(row_text(cols, o, c, sep).alias("value")).write.mode(mode).text(path)
 
 
+def json_text(col: Column) -> Column:
+    """The JSON text of any value (string → quoted, number, array, struct)."""
+    return F.regexp_extract(F.to_json(F.array(col)), r"^\[(.*)\]$", 1)
+
+
 def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode: str = "overwrite",
-                   json_value: bool = False) -> None:
-    """``key<TAB>value`` lines; a struct/array/map value can be JSON-encoded."""
+                   json_value: bool = False, json: bool = False) -> None:
+    """``key<TAB>value`` lines.
+
+    ``json_value`` JSON-encodes a struct/array/map value; ``json`` encodes both
+    key and value as JSON text (``"nm0000001"<TAB>[3]``), the layout of
+    line-oriented job output.
+    """
     v = value if isinstance(value, Column) else F.col(value)
-    if json_value:
+    k = F.col(key)
+    if json:
+        k, v = json_text(k), json_text(v)
+    elif json_value:
         v = F.to_json(v)
-    (df.select(F.col(key).cast("string").alias("k"), v.cast("string").alias("v"))
+    (df.select(k.cast("string").alias("k"), v.cast("string").alias("v"))
        .write.mode(mode).option("sep", "\t").option("quote", "").option("nullValue", NULL_MARKER)
        .option("emptyValue", "").option("header", "false").csv(path))
 

@@ -39,6 +39,9 @@ def test_bfs_cli(spark, tmp_dir):
     run(["bfs", "--principals", chain, "--source", "nm0000102", "--roles", "actor,actress", "--out", out],
         spark=spark)
     assert "(nm0000013,5)" in _lines(out) and len(_lines(out)) == 16
+    run(["bfs", "--principals", chain, "--depth", "3", "--gathered", "--out", out], spark=spark)
+    lines = _lines(out)
+    assert '"nm0000102"\t[0]' in lines and '"nm0000015"\t[10000]' in lines and len(lines) == 16
 
 
 def test_word_count_cli(spark, tmp_dir):
