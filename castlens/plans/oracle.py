@@ -147,6 +147,8 @@ FROM supplier""",
     "sink_tuple_rows": _bfs_capped_body(GRAPH_ROLES)
                        + "\nSELECT '(' || person || ',' || distance || ')' AS value FROM capped",
     "sink_keyvalue_overwrite": WORD_COUNT_SQL,
+    "sink_json_keyvalue": _bfs_capped_body(GRAPH_ROLES)
+                          + "\nSELECT person || chr(9) || '[' || distance || ']' AS value FROM capped",
     "subset_first_n": """SELECT l_orderkey AS tconst, l_linenumber AS ordering, l_partkey AS nconst,
        l_returnflag || l_linestatus AS category
 FROM lineitem ORDER BY 1, 2, 3, 4 LIMIT 20""",

@@ -244,6 +244,13 @@ def sink_keyvalue_overwrite(spark, sf_dir):
     return kv.select("word", F.col("count").cast("bigint").alias("count"))
 
 
+def sink_json_keyvalue(spark, sf_dir):
+    """Gathered capped distances as JSON key-value lines (``0<TAB>[3]``), read back as text."""
+    path = scratch_path(spark, "bfs_json_kv")
+    write_keyvalue(bfs_distance_gathered(spark, sf_dir), path, "person", "distances", json=True)
+    return spark.read.text(path)
+
+
 def subset_first_n(spark, sf_dir):
     p = principals(spark, sf_dir).select("tconst", "ordering", "nconst", "category")
     return first_n(p, 20, ["tconst", "ordering", "nconst", "category"])
@@ -409,6 +416,7 @@ QUERIES: dict[str, Query] = {
     "sink_text_rows": sink_text_rows,
     "sink_tuple_rows": sink_tuple_rows,
     "sink_keyvalue_overwrite": sink_keyvalue_overwrite,
+    "sink_json_keyvalue": sink_json_keyvalue,
     "subset_first_n": subset_first_n,
     "partition_skew_report": partition_skew_report_q,
     "concat_key": concat_key_q,
