@@ -92,5 +92,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
         write_keyvalue(res, args.out, "word", "count")
 
 
-if __name__ == "__main__":
+def main() -> None:
     run(sys.argv[1:])
+
+
+if __name__ == "__main__":
+    main()
