@@ -12,8 +12,22 @@ sys.path.insert(0, ".")
 from castlens.plans.queries import QUERIES  # noqa: E402
 from castlens.session import build_session  # noqa: E402
 
-NAMES = ["avg_metric_role_set", "avg_metric_all_roles", "title_pair_stats", "neighbour_slots",
-         "cast_list_per_title", "word_count", "bfs_distance_capped", "union_replicate"]
+NOTES = {
+    "avg_metric_role_set": "role filter in PushedFilters; 4 of 11 lineitem columns read; ratings broadcast by "
+                           "size; partial → final average per person; range-partitioned sort.",
+    "avg_metric_all_roles": "one rating per title via a partial + final (sort-based) max; the deduplicated "
+                            "ratings are checkpointed, counted and only then broadcast.",
+    "title_pair_stats": "two partial + final aggregations: (title, person) then title — a huge title ships "
+                        "one partial row per task.",
+    "neighbour_slots": "title sizes joined back to credits (broadcast by size here; shuffled with AQE skew "
+                       "split at scale), then a partial + final sum per person.",
+    "cast_list_per_title": "one collect per (title, chunk); chunks bound every list.",
+    "word_count": "small input spread over the cores; tokens exploded and counted partial → final.",
+    "bfs_distance_capped": "the result is a union of per-level checkpoints left-joined to the node set; the "
+                           "level jobs are shown at the end.",
+    "union_replicate": "one scan and a Generate, no union tree and no join.",
+}
+NAMES = list(NOTES)
 
 
 def _trim(plan: str) -> str:
@@ -77,7 +91,7 @@ def main():
                                 "Functions", "Keys", "Left keys", "Right keys", "Batched", "Location")):
                 continue
             keep.append(line)
-        out += [f"## {name}", "", "```", "\n".join(keep).strip(), "```", ""]
+        out += [f"## {name}", "", NOTES[name], "", "```", "\n".join(keep).strip(), "```", ""]
     out += bfs_level_plans(spark, sf_dir)
     with open("PLANS.md", "w") as f:
         f.write("\n".join(out))
