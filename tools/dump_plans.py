@@ -15,8 +15,9 @@ from castlens.session import build_session  # noqa: E402
 NOTES = {
     "avg_metric_role_set": "role filter in PushedFilters; 4 of 11 lineitem columns read; ratings broadcast by "
                            "size; partial → final average per person; range-partitioned sort.",
-    "avg_metric_all_roles": "one rating per title via a partial + final (sort-based) max; the deduplicated "
-                            "ratings are checkpointed, counted and only then broadcast.",
+    "avg_metric_all_roles": "one rating per title via a partial + final (sort-based) max, run in an earlier "
+                            "checkpoint job that also counts it; the plan below reads that checkpoint "
+                            "(Scan ExistingRDD) and broadcasts it because the count is under the limit.",
     "title_pair_stats": "two partial + final aggregations: (title, person) then title — a huge title ships "
                         "one partial row per task.",
     "neighbour_slots": "title sizes joined back to credits (broadcast by size here; shuffled with AQE skew "
