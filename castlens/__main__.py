@@ -46,6 +46,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     a.add_argument("--all-roles", action="store_true")
     a.add_argument("--last-rating-wins", action="store_true",
                    help="one rating per title: the one on the last line of the ratings file(s)")
+    a.add_argument("--exact-scale", type=int, default=None,
+                   help="ratings have at most this many decimals: sum them exactly (e.g. 1 for x.y ratings)")
     a.add_argument("--out", required=True)
 
     b = sub.add_parser("bfs", help="degrees of separation from one person")
@@ -72,7 +74,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
             ratings = with_line_order(ratings)
         res = average_metric_per_person(
             read_principals(spark, args.principals), ratings, roles=_roles(args),
-            dedupe_order_by="line_order" if args.last_rating_wins else None, sort=False)
+            dedupe_order_by="line_order" if args.last_rating_wins else None,
+            exact_scale=args.exact_scale, sort=False)
         write_text_rows(res, args.out, ["nconst", "avgRating"], style="list",
                         sort_by=[F.col("avgRating").desc_nulls_last(), F.col("nconst")])
     elif args.cmd == "bfs":

@@ -51,3 +51,12 @@ def test_word_count_cli(spark, tmp_dir):
     out = os.path.join(tmp_dir, "wc")
     run(["word-count", "--input", src, "--out", out], spark=spark)
     assert sorted(_lines(out)) == ["a\t2", "b\t2", "c\t1"]
+
+
+def test_avg_rating_exact_scale(spark, tmp_dir):
+    p = write_text(os.path.join(tmp_dir, "p.tsv"), dirty_principals_rows())
+    r = write_text(os.path.join(tmp_dir, "r.tsv"), ratings_rows())
+    out = os.path.join(tmp_dir, "avg")
+    run(["avg-rating", "--principals", p, "--ratings", r, "--all-roles", "--exact-scale", "1", "--out", out],
+        spark=spark)
+    assert "[nm0000004,6.666666666666667]" in _lines(out)     # (8.0 + 5.0 + 7.0) / 3 from exact tenths
