@@ -24,6 +24,10 @@ from castlens.session import _context, checkpoint_dir
 from castlens.constants import UNREACHED  # re-exported
 
 
+# exact integer type for counts that can exceed 64 bits (pairs, adjacency slots)
+_COUNT = "decimal(38,0)"
+
+
 def credits(principals: DataFrame, *, title: str = "tconst", person: str = "nconst",
             role: str = "category", roles: str | Sequence[str] | None = None) -> DataFrame:
     """(title, person) credit rows of the chosen roles; duplicates are kept (bag).
@@ -85,14 +89,18 @@ def title_pair_stats(credit_rows: DataFrame) -> DataFrame:
       n_credits · (n_credits − 1): the bag of directed edges the title emits.
     """
     per = credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c"))
+    # pair counts grow with the square of a title's size: a title holding a third
+    # of 10^12 credits has ~10^23 pairs, beyond bigint, so they are exact decimals
+    n = F.col("n_credits").cast(_COUNT)
+    d = F.col("n_persons").cast(_COUNT)
     return per.groupBy("title").agg(
         F.sum("c").alias("n_credits"),
         F.count(F.lit(1)).alias("n_persons"),
         F.sum(F.when(F.col("c") >= 2, 1).otherwise(0)).alias("n_repeated"),
     ).select(
         "title", "n_credits", "n_persons",
-        (F.col("n_persons") * (F.col("n_persons") - 1) / 2 + F.col("n_repeated")).cast("bigint").alias("combo_pairs"),
-        (F.col("n_credits") * (F.col("n_credits") - 1)).alias("directed_pairs"),
+        (d * (d - 1) / 2 + F.col("n_repeated")).cast(_COUNT).alias("combo_pairs"),
+        (n * (n - 1)).cast(_COUNT).alias("directed_pairs"),
     )
 
 
@@ -106,7 +114,9 @@ def neighbour_slots(credit_rows: DataFrame, source) -> DataFrame:
     """
     sizes = title_sizes(credit_rows)
     j = credit_rows.join(sizes, "title", "inner")
-    out = j.groupBy("person").agg(F.sum(F.col("n_credits") - 1).alias("n_neighbours")) \
+    # exact decimal: one credit duplicated a third of all rows in a huge title
+    # would give ~10^23 neighbour slots, beyond bigint
+    out = j.groupBy("person").agg(F.sum((F.col("n_credits") - 1).cast(_COUNT)).cast(_COUNT).alias("n_neighbours")) \
         .where(F.col("n_neighbours") > 0)
     src = F.lit(source).cast(credit_rows.schema["person"].dataType)
     dist = F.when(F.col("person") == src, F.lit(0)).otherwise(F.lit(UNREACHED)).cast(IntegerType())

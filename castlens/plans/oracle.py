@@ -109,15 +109,16 @@ GROUP BY 1, 2""",
     "title_pair_stats": f"""
 WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(ACTING_ROLES)}) GROUP BY title, person)
 SELECT title, CAST(sum(c) AS BIGINT) AS n_credits, count(*) AS n_persons,
-       CAST(count(*) * (count(*) - 1) / 2 + sum(CASE WHEN c >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS combo_pairs,
-       CAST(sum(c) * (sum(c) - 1) AS BIGINT) AS directed_pairs
+       CAST(CAST(count(*) AS DECIMAL(38,0)) * (count(*) - 1) / 2 + sum(CASE WHEN c >= 2 THEN 1 ELSE 0 END)
+            AS DECIMAL(38,0)) AS combo_pairs,
+       CAST(CAST(sum(c) AS DECIMAL(38,0)) * (sum(c) - 1) AS DECIMAL(38,0)) AS directed_pairs
 FROM per GROUP BY title""",
     "neighbour_slots": f"""
 WITH c AS ({_credits()}),
 s AS (SELECT title, count(*) AS n FROM c GROUP BY title)
 SELECT c.person,
        CAST(CASE WHEN c.person = {BFS_SOURCE} THEN 0 ELSE {UNREACHED} END AS INTEGER) AS distance,
-       CAST(sum(s.n - 1) AS BIGINT) AS n_neighbours
+       CAST(sum(CAST(s.n - 1 AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS n_neighbours
 FROM c JOIN s ON c.title = s.title
 GROUP BY c.person HAVING sum(s.n - 1) > 0""",
     "bfs_distance_full": _bfs_full(GRAPH_ROLES),

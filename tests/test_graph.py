@@ -230,3 +230,15 @@ def test_small_graph_levels_have_no_shuffle(spark, monkeypatch):
         assert "NestedLoopJoin" not in plan, plan
         shuffles = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "ENSURE_REQUIREMENTS" in l]
         assert shuffles == [], plan
+
+
+def test_pair_counts_are_exact_wide_integers(spark):
+    """Pair counts are decimal(38,0): a title with 10^11 credits has ~10^22 pairs."""
+    df = spark.createDataFrame([("t", "a"), ("t", "b")], "title string, person string")
+    types = dict(G.title_pair_stats(df).dtypes)
+    assert types["combo_pairs"] == "decimal(38,0)" and types["directed_pairs"] == "decimal(38,0)"
+    assert dict(G.neighbour_slots(df, "a").dtypes)["n_neighbours"] == "decimal(38,0)"
+    n = 10**11
+    big = spark.range(1).select(F.lit(n).alias("n")).select(
+        (F.col("n").cast("decimal(38,0)") * (F.col("n").cast("decimal(38,0)") - 1)).cast("decimal(38,0)").alias("p"))
+    assert int(big.first().p) == n * (n - 1)
