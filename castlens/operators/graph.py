@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 from castlens.functions.columns import stable_bucket
 from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
@@ -262,7 +262,8 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     try:
         # a one-row local relation, not a literal projection: Catalyst would fold a
         # literal key into a filter and leave a condition-less (nested-loop) semi join
-        seed = spark.createDataFrame([(source,)], StructType([StructField("person", ptype, True)]))
+        seed = spark.createDataFrame([(None if source is None else str(source),)], "person string") \
+            .select(F.col("person").cast(ptype).alias("person"))
         levels = [seed.select("person", F.lit(0).alias("distance"))]
         frontier, n_frontier = seed, 1
         previous, n_previous = None, 0

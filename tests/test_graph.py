@@ -242,3 +242,10 @@ def test_pair_counts_are_exact_wide_integers(spark):
     big = spark.range(1).select(F.lit(n).alias("n")).select(
         (F.col("n").cast("decimal(38,0)") * (F.col("n").cast("decimal(38,0)") - 1)).cast("decimal(38,0)").alias("p"))
     assert int(big.first().p) == n * (n - 1)
+
+
+def test_source_given_as_text_for_numeric_keys(spark):
+    c = _credits(spark, SF_SMOKE, GRAPH_ROLES)
+    a = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), 0).collect()}
+    b = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(c), "0").collect()}
+    assert a == b and len(a) > 1
