@@ -102,3 +102,14 @@ def test_cluster_conf_sizes_partitions():
     small = cluster_conf(10**9, 64)
     assert int(small["spark.sql.shuffle.partitions"]) == 192      # three waves of tasks
     assert small["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_spread_small_input_only_when_few_splits(spark):
+    from castlens.operators.partitions import spread_small_input
+    from tests.conftest import SF_SMOKE
+    docs = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").select("text")
+    n = docs.rdd.getNumPartitions()
+    spread = spread_small_input(docs, parallelism=n + 3)
+    assert spread.rdd.getNumPartitions() == n + 3 and spread.count() == docs.count()
+    same = spread_small_input(docs, parallelism=max(1, n - 1)) if n > 1 else docs
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
