@@ -125,3 +125,17 @@ def test_line_order_last_line_wins_across_files(spark, tmp_dir):
     r = with_line_order(read_ratings(spark, d))
     got = {x.tconst: x.averageRating for x in latest_per_key(r, "tconst", "averageRating", "line_order").collect()}
     assert got == {"tt1": 3.0, "tt2": 4.0, "tt3": 5.0}
+
+
+def test_stage_gzip_dump_into_many_files(spark, tmp_dir):
+    import gzip
+    raw = os.path.join(tmp_dir, "gz")
+    os.makedirs(raw)
+    rows = ["tconst\tordering\tnconst\tcategory\tjob\tcharacters"] + \
+        [f"tt{i:07d}\t1\tnm{i % 50:07d}\tactor\t\\N\t\\N" for i in range(500)]
+    with gzip.open(os.path.join(raw, "p.tsv.gz"), "wt", encoding="utf-8") as f:
+        f.write("\n".join(rows) + "\n")
+    out = os.path.join(tmp_dir, "staged")
+    staged = stage_to_parquet(spark, raw, PRINCIPALS_SCHEMA, out, num_files=4)
+    assert staged.count() == 500
+    assert len(glob.glob(os.path.join(out, "part-*.parquet"))) == 4
