@@ -64,7 +64,8 @@ from hypothesis import strategies as st  # noqa: E402
 _alphabet = st.sampled_from(list("ab \t\n\r\fé,.x"))
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=st.lists(st.text(alphabet=_alphabet, max_size=40), min_size=1, max_size=8))
 def test_word_count_random_texts(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
