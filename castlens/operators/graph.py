@@ -51,19 +51,23 @@ def title_sizes(credit_rows: DataFrame) -> DataFrame:
 
 def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000,
                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Sorted list of persons per title: (title, chunk, persons).
-
-    A title with at most ``chunk_size`` credits has one row (chunk 0) holding
-    its whole list. A bigger title is split into ``ceil(n / chunk_size)``
-    chunks by a stable hash of the person, so no single task ever has to hold
-    a list of unbounded length; concatenating a title's chunks gives its list.
-    Duplicates (a person credited twice) are kept.
+    """Persons of each title: (title, chunk, persons, counts).
+
+    ``persons`` is sorted and distinct; ``counts[i]`` is how many credit rows
+    ``persons[i]`` has on the title, so repeating each person by its count gives
+    the title's full credit list (a bag). Credits are first counted per
+    (title, person) with a map-side partial count, so copies of one credit — even
+    a third of all rows — collapse into one entry instead of one list slot each.
+    A title with at most ``chunk_size`` distinct persons has one row (chunk 0).
+    A bigger title is split into ``ceil(n / chunk_size)`` chunks by a stable
+    hash of the person, so no single task holds an unbounded list.
     """
-    sizes = title_sizes(credit_rows)
-    big = sizes.where(F.col("n_credits") > F.lit(chunk_size)).select(
-        "title", F.ceil(F.col("n_credits") / F.lit(chunk_size)).cast("bigint").alias("n_chunks"))
-    n_big = big.count()      # bounded by total credits / chunk_size
-    rows = credit_rows
+    per, _ = materialize(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
+    sizes = per.groupBy("title").agg(F.count(F.lit(1)).alias("n_persons"))
+    big = sizes.where(F.col("n_persons") > F.lit(chunk_size)).select(
+        "title", F.ceil(F.col("n_persons") / F.lit(chunk_size)).cast("bigint").alias("n_chunks"))
+    n_big = big.count()      # bounded by the number of distinct credits / chunk_size
+    rows = per
     if n_big:
         big, n_big = materialize(big)
         rows = rows.join(broadcast_if_small(big, n_big, broadcast_max_rows), "title", "left")
@@ -71,9 +75,10 @@ def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000,
             stable_bucket("person", F.col("n_chunks")))
     else:
         chunk = F.lit(0).cast("bigint")
-    return (rows.select("title", chunk.alias("chunk"), "person")
-            .groupBy("title", "chunk")
-            .agg(F.array_sort(F.collect_list("person")).alias("persons")))
+    grouped = (rows.select("title", chunk.alias("chunk"), F.struct("person", "c").alias("pc"))
+               .groupBy("title", "chunk")
+               .agg(F.array_sort(F.collect_list("pc")).alias("pcs")))
+    return grouped.select("title", "chunk", F.col("pcs.person").alias("persons"), F.col("pcs.c").alias("counts"))
 
 
 def title_pair_stats(credit_rows: DataFrame) -> DataFrame:

@@ -97,14 +97,15 @@ SELECT CAST(l.l_partkey AS VARCHAR) AS nconst,
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 GROUP BY l.l_partkey""",
     "cast_list_per_title": f"""
-WITH c AS ({_credits(ACTING_ROLES)}),
-s AS (SELECT title, count(*) AS n FROM c GROUP BY title)
-SELECT c.title,
+WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(ACTING_ROLES)}) GROUP BY title, person),
+s AS (SELECT title, count(*) AS n FROM per GROUP BY title)
+SELECT per.title,
        CAST(CASE WHEN s.n <= {CHUNK_SIZE} THEN 0
-            ELSE CAST(('0x' || substr(md5(CAST(c.person AS VARCHAR)), 1, 8)) AS BIGINT)
+            ELSE CAST(('0x' || substr(md5(CAST(per.person AS VARCHAR)), 1, 8)) AS BIGINT)
                  % CAST(ceil(s.n / {CHUNK_SIZE}) AS BIGINT) END AS BIGINT) AS chunk,
-       list_sort(list(c.person)) AS persons
-FROM c JOIN s ON c.title = s.title
+       list(per.person ORDER BY per.person) AS persons,
+       list(per.c ORDER BY per.person) AS counts
+FROM per JOIN s ON per.title = s.title
 GROUP BY 1, 2""",
     "title_pair_stats": f"""
 WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(ACTING_ROLES)}) GROUP BY title, person)

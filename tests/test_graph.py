@@ -4,7 +4,7 @@ checks of the pair statistics and of BFS on a driver table."""
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 from pyspark.sql import functions as F
 
@@ -100,19 +100,30 @@ def test_cast_lists_chunking(spark):
     exp = defaultdict(list)
     for t, p in rows:
         exp[t].append(p)
-    # chunk_size 2 forces the split path for every title with 3+ credits
+    # chunk_size 2 forces the split path for every title with 3+ distinct persons
     got = defaultdict(list)
-    sizes = defaultdict(int)
     for r in G.cast_lists(c, chunk_size=2).collect():
-        got[r.title].extend(r.persons)
-        sizes[(r.title, r.chunk)] = len(r.persons)
+        assert r.persons == sorted(r.persons) and len(r.persons) == len(r.counts)
+        n_distinct = len(set(exp[r.title]))
+        assert 0 <= r.chunk < max(1, -(-n_distinct // 2))
+        for person, k in zip(r.persons, r.counts):
+            got[r.title].extend([person] * k)
     assert {t: sorted(v) for t, v in got.items()} == {t: sorted(v) for t, v in exp.items()}
-    for (t, ch), _ in sizes.items():
-        n = len(exp[t])
-        assert 0 <= ch < max(1, -(-n // 2))
-    # the plain form: one sorted list per title
-    one = {r.title: r.persons for r in G.cast_lists(c, chunk_size=1000).collect()}
-    assert one == {t: sorted(v) for t, v in exp.items()}
+    # the plain form: one row per title, its distinct persons sorted, with multiplicities
+    one = {r.title: list(zip(r.persons, r.counts)) for r in G.cast_lists(c, chunk_size=1000).collect()}
+    assert one == {t: sorted(Counter(v).items()) for t, v in exp.items()}
+
+
+def test_cast_lists_collapse_copies(spark):
+    """A credit copied many times is one entry with its count, not a list slot per copy."""
+    rows = [("t", "a")] * 500 + [("t", "b"), ("u", "a")]
+    df = spark.createDataFrame(rows, "title string, person string")
+    got = {r.title: (r.persons, r.counts) for r in G.cast_lists(df, chunk_size=1).collect()
+           if r.title == "u" or len(r.persons)}
+    assert got["u"] == (["a"], [1])
+    t_rows = [(r.persons, r.counts) for r in G.cast_lists(df, chunk_size=1).collect() if r.title == "t"]
+    assert sorted(p for ps, _ in t_rows for p in ps) == ["a", "b"]
+    assert sum(k for _, ks in t_rows for k in ks) == 501
 
 
 def _python_bfs(pairs, source):

@@ -22,7 +22,8 @@ NOTES = {
                         "one partial row per task.",
     "neighbour_slots": "title sizes joined back to credits (broadcast by size here; shuffled with AQE skew "
                        "split at scale), then a partial + final sum per person.",
-    "cast_list_per_title": "one collect per (title, chunk); chunks bound every list.",
+    "cast_list_per_title": "credits counted per (title, person) first (copies collapse map-side, in an earlier "
+                           "checkpoint job); one collect of (person, count) per (title, chunk); chunks bound every list.",
     "word_count": "small input spread over the cores; tokens exploded and counted partial → final.",
     "bfs_distance_capped": "the result is a union of per-level checkpoints left-joined to the node set; the "
                            "level jobs are shown at the end.",
