@@ -115,11 +115,15 @@ def neighbour_slots(credit_rows: DataFrame, source) -> DataFrame:
     Persons without any co-credit have no adjacency and are left out.
     ``distance`` is 0 for ``source`` and ``UNREACHED`` otherwise.
     """
-    sizes = title_sizes(credit_rows)
-    j = credit_rows.join(sizes, "title", "inner")
+    # credits counted per (title, person) first: copies of one credit collapse
+    # map-side before any shuffle; a person's slots are sum(c · (n_title − 1))
+    per = credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per.groupBy("title").agg(F.sum("c").alias("n_credits"))
+    j = per.join(sizes, "title", "inner")
     # exact decimal: one credit duplicated a third of all rows in a huge title
     # would give ~10^23 neighbour slots, beyond bigint
-    out = j.groupBy("person").agg(F.sum((F.col("n_credits") - 1).cast(_COUNT)).cast(_COUNT).alias("n_neighbours")) \
+    slots = F.col("c").cast(_COUNT) * (F.col("n_credits") - 1).cast(_COUNT)
+    out = j.groupBy("person").agg(F.sum(slots).cast(_COUNT).alias("n_neighbours")) \
         .where(F.col("n_neighbours") > 0)
     src = F.lit(source).cast(credit_rows.schema["person"].dataType)
     dist = F.when(F.col("person") == src, F.lit(0)).otherwise(F.lit(UNREACHED)).cast(IntegerType())
