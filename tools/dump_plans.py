@@ -20,8 +20,9 @@ NOTES = {
                             "(Scan ExistingRDD) and broadcasts it because the count is under the limit.",
     "title_pair_stats": "two partial + final aggregations: (title, person) then title — a huge title ships "
                         "one partial row per task.",
-    "neighbour_slots": "title sizes joined back to credits (broadcast by size here; shuffled with AQE skew "
-                       "split at scale), then a partial + final sum per person.",
+    "neighbour_slots": "credits counted per (title, person) first (copies collapse map-side); title sizes "
+                       "joined back (broadcast by size here; shuffled with AQE skew split at scale); partial + "
+                       "final exact sum per person.",
     "cast_list_per_title": "credits counted per (title, person) first (copies collapse map-side, in an earlier "
                            "checkpoint job); one collect of (person, count) per (title, chunk); chunks bound every list.",
     "word_count": "small input spread over the cores; tokens exploded and counted partial → final.",
