@@ -184,7 +184,7 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
     ``edges`` holds (title, person). Returns (person, distance) for every person
     reached within ``max_depth`` hops (all reachable persons when None). The
     source is always in the result with distance 0, even when absent from the
-    data. One level is one job:
+    data. One level is one job (two on big graphs, see below):
 
         F[k+1] = persons of (titles of F[k]) − F[k] − F[k-1]
 
