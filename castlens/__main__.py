@@ -4,6 +4,7 @@
     python -m castlens avg-rating --principals P.tsv --ratings R.tsv --all-roles --last-rating-wins --out DIR
     python -m castlens bfs --principals P.tsv --source nm0000102 [--depth 6] [--roles actor,actress] --out DIR
     python -m castlens word-count --input TEXT_DIR --out DIR
+    python -m castlens stage --input RAW.tsv.gz --table principals|ratings [--num-files N] --out DIR
 
 Paths may be any Hadoop-FS URI. Output is written with overwrite, one text
 line per row: ``[nconst,avgRating]`` sorted by average for ratings,
@@ -20,13 +21,14 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from castlens.constants import ACTING_ROLES, DEFAULT_SOURCE
+from castlens.constants import ACTING_ROLES, DEFAULT_SOURCE, HEADER_KEY
 from castlens.operators import graph as G
 from castlens.operators.ratings import average_metric_per_person
 from castlens.operators.text import word_count
 from castlens.session import checkpoint_dir
-from castlens.sources.readers import read_principals, read_ratings, with_line_order
-from castlens.sources.sinks import write_keyvalue, write_text_rows
+from castlens.sources.readers import (PRINCIPALS_SCHEMA, RATINGS_SCHEMA, read_principals, read_ratings,
+                                      with_line_order)
+from castlens.sources.sinks import stage_to_parquet, write_keyvalue, write_text_rows
 
 
 def _roles(args):
@@ -60,6 +62,13 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
                    help='JSON key-value lines with the distances gathered in a list: "nm…"<TAB>[d]')
     b.add_argument("--out", required=True)
 
+    g = sub.add_parser("stage", help="raw credit or ratings dump → typed Parquet")
+    g.add_argument("--input", required=True)
+    g.add_argument("--table", choices=["principals", "ratings"], required=True)
+    g.add_argument("--num-files", type=int, default=None,
+                   help="spread the rows over this many files (for unsplittable .gz dumps)")
+    g.add_argument("--out", required=True)
+
     w = sub.add_parser("word-count", help="token counts of text files")
     w.add_argument("--input", required=True)
     w.add_argument("--out", required=True)
@@ -90,6 +99,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
             write_keyvalue(res, args.out, "person", "distance")
         else:
             write_text_rows(res, args.out, ["person", "distance"], style="tuple")
+    elif args.cmd == "stage":
+        schema = PRINCIPALS_SCHEMA if args.table == "principals" else RATINGS_SCHEMA
+        stage_to_parquet(spark, args.input, schema, args.out, num_files=args.num_files, header_key=HEADER_KEY)
     elif args.cmd == "word-count":
         res = word_count(spark.read.text(args.input), "value")
         write_keyvalue(res, args.out, "word", "count")

@@ -83,15 +83,21 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = Tr
 
 def stage_to_parquet(spark: SparkSession, raw_path: str, schema: StructType | str, out_path: str,
                      mode: str = "overwrite", partition_by: Sequence[str] | None = None,
-                     num_files: int | None = None, **read_options) -> DataFrame:
+                     num_files: int | None = None, header_key: str | None = None,
+                     **read_options) -> DataFrame:
     """Ingest step: raw delimited dump → typed Parquet, then read the Parquet back.
 
     Later jobs then get column pruning and predicate pushdown from Parquet
     instead of re-parsing text. A gzip-compressed dump is not splittable (one
     task reads a whole file); ``num_files`` round-robins the rows into that
-    many output files so every later read is spread over the cluster.
+    many output files so every later read is spread over the cluster. With
+    ``header_key``, header lines repeated inside the dump (first field equal to
+    it) are dropped wherever they occur.
     """
     df = read_delimited(spark, raw_path, schema, **read_options)
+    if header_key is not None:
+        first = F.col(df.columns[0])
+        df = df.where(first.isNull() | (first.cast("string") != F.lit(header_key)))
     if num_files:
         df = df.repartition(num_files)
     w = df.write.mode(mode)

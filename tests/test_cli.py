@@ -60,3 +60,12 @@ def test_avg_rating_exact_scale(spark, tmp_dir):
     run(["avg-rating", "--principals", p, "--ratings", r, "--all-roles", "--exact-scale", "1", "--out", out],
         spark=spark)
     assert "[nm0000004,6.666666666666667]" in _lines(out)     # (8.0 + 5.0 + 7.0) / 3 from exact tenths
+
+
+def test_stage_cli(spark, tmp_dir):
+    p = write_text(os.path.join(tmp_dir, "p.tsv"), dirty_principals_rows())
+    out = os.path.join(tmp_dir, "staged")
+    run(["stage", "--input", p, "--table", "principals", "--num-files", "2", "--out", out], spark=spark)
+    staged = spark.read.parquet(out)
+    assert staged.count() == 10 and staged.columns[:3] == ["tconst", "ordering", "nconst"]   # header row dropped
+    assert len(glob.glob(os.path.join(out, "part-*.parquet"))) == 2
