@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castlens.llm.frames import table
+from castlens.llm.frames import fold, table
 from castlens.llm.linededup import dedup_lines
+from castlens.llm.toxicity import score_toxicity
 
 
 def sha(col):
     return F.sha2(F.coalesce(col, F.lit("")), 256)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_toxicity(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity.score").alias("score"),
+                      (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+                      F.col("toxicity.offending").alias("offending"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
+    op3_toxicity,
     op10_line_dedup,
 )}
