@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from castlens.llm.frames import fold, table
 from castlens.llm.linededup import dedup_lines
+from castlens.llm.ngramjoin import jaccard_links
 from castlens.llm.toxicity import score_toxicity
 
 
@@ -22,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("toxicity.offending").alias("offending"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
@@ -29,5 +34,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op3_toxicity,
+    op8_ngram_jaccard_join,
     op10_line_dedup,
 )}

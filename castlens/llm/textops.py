@@ -195,3 +195,72 @@ def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches, keys: list[str], rows: int = 4000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of a stream in which each group's rows stand together, and where groups begin.
+
+    Tables hold ``rows`` rows or more (but for the last), so small groups are worked on many at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        change = np.ones(t.num_rows, dtype=bool)
+        change[1:] = False
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(change), t.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = cuts(t)
+            if len(at) > 2:
+                yield t.slice(0, int(at[-2])), at[:-1]
+                held = t.slice(int(at[-2])).to_batches()
+                count = t.num_rows - int(at[-2])
+            else:
+                held = t.to_batches()
+    if count:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, cuts(t)
+
+
+def fixed(col: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column that holds packed numbers, one row after another, and the offsets in values."""
+    arr = pa.chunked_array(col).combine_chunks() if not isinstance(col, pa.ChunkedArray) else col.combine_chunks()
+    if isinstance(arr, pa.ChunkedArray):
+        arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], pa.large_binary())
+    arr = arr.cast(pa.large_binary())
+    size = np.dtype(dtype).itemsize
+    off = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
+    raw = arr.buffers()[2] if len(arr) else None
+    data = np.frombuffer(raw, dtype=np.uint8)[off[0]:off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return data.view(dtype), (off - off[0]) // size
+
+
+def pack(values: np.ndarray, before: np.ndarray) -> pa.Array:
+    """The reverse of ``fixed``: one binary value of packed numbers for each range of values."""
+    size = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(before) - 1,
+                                 [None, pa.py_buffer((before * size).astype(np.int64).tobytes()),
+                                  pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index reachable from each of n nodes over the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == was).all():
+            return label
