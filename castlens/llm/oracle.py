@@ -1,6 +1,40 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 ORACLE = {
+    "op7_mix_sources": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+         md5(coalesce(text, '')) AS tk FROM documents),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+sh AS (SELECT source, tokens, tokens / CAST((SELECT sum(tokens) FROM s) AS DOUBLE) AS share FROM s WHERE tokens > 0),
+c AS (SELECT count(*) AS k, min(share) AS least FROM sh),
+be(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT i, lo, hi, mid, ln(sum(pow(share, mid))) - mid * sum(pow(share, mid) * ln(share)) / sum(pow(share, mid))
+             <= 0.95 * ln(max(k)) + 1e-12 AS ok
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid FROM be WHERE i < 46), sh, c GROUP BY i, lo, hi, mid)),
+br(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT i, lo, hi, mid, pow(max(least), mid - 1) / sum(pow(share, mid)) <= 4.0 + 1e-12 AS ok
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid FROM br WHERE i < 46), sh, c GROUP BY i, lo, hi, mid)),
+x AS (SELECT round(greatest((SELECT hi FROM be ORDER BY i DESC LIMIT 1), (SELECT hi FROM br ORDER BY i DESC LIMIT 1)), 9) AS x),
+w AS (SELECT source, tokens, pow(share, (SELECT x FROM x)) / (SELECT sum(pow(share, x)) FROM sh, x) AS weight FROM sh),
+g AS (SELECT source, tokens, weight, CAST(floor(round(weight * (SELECT sum(tokens) FROM s), 3)) AS BIGINT) AS goal FROM w),
+r AS (
+  SELECT d.doc_id, d.source, d.n_tokens, g.tokens, g.weight, g.goal, p.pass,
+         md5('mix-1|' || p.pass || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.tk) AS key
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  JOIN (SELECT CAST(unnest(range(0, 100)) AS INTEGER) AS pass) p ON p.pass < ceil(g.goal / CAST(g.tokens AS DOUBLE))),
+t AS (
+  SELECT *, pass * tokens + coalesce(sum(n_tokens) OVER (
+    PARTITION BY source, pass ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT doc_id, source, n_tokens, pass, CAST(floor(round(before / (weight * 1000000.0), 6)) AS BIGINT) AS block
+FROM t WHERE before < goal
+""",
     "op10_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from castlens.llm.frames import fold, table
 from castlens.llm.linededup import dedup_lines
+from castlens.llm.mixing import plan
 from castlens.llm.ngramjoin import jaccard_links
 from castlens.llm.toxicity import score_toxicity
 
@@ -23,6 +24,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("toxicity.offending").alias("offending"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    got = plan(docs, entropy=0.95, max_repeats=4.0, budget="tokens", whole=False)
+    return got.select(F.col("id").alias("doc_id"), "source", "n_tokens", "pass", "block")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op3_toxicity,
+    op7_mix_sources,
     op8_ngram_jaccard_join,
     op10_line_dedup,
 )}
