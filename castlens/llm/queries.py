@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castlens.llm.bpe import decode, encode, load_ranks
 from castlens.llm.frames import fold, table
 from castlens.llm.linededup import dedup_lines
 from castlens.llm.mixing import plan
@@ -24,6 +26,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("toxicity.offending").alias("offending"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     got = plan(docs, entropy=0.95, max_repeats=4.0, budget="tokens", whole=False)
@@ -41,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op3_toxicity,
+    op6_bpe,
     op7_mix_sources,
     op8_ngram_jaccard_join,
     op10_line_dedup,
