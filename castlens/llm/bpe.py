@@ -184,7 +184,7 @@ def _strangers(tables):
             count[i + 1:j + 1] = np.bincount(doc, minlength=j - i)
         words = pa.concat_arrays(words) if words else pa.array([], pa.string())
         return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), words)
-    return F.arrow_udf(run, "array<string>")
+    return F.arrow_udf(run, "array<string>").asNondeterministic()   # evaluated once, where it stands
 
 
 def _layout(tables):
@@ -221,7 +221,7 @@ def _layout(tables):
             count[i + 1:j + 1] = np.diff(total[before])
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(ids, pa.int32()))
-    return F.arrow_udf(run, "array<int>")
+    return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
