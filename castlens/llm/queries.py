@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from castlens.llm.bpe import decode, encode, load_ranks
 from castlens.llm.frames import fold, table
+from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
 from castlens.llm.mixing import plan
 from castlens.llm.ngramjoin import jaccard_links
+from castlens.llm.quality import score_quality
 from castlens.llm.toxicity import score_toxicity
 
 
@@ -18,6 +20,13 @@ def sha(col):
     return F.sha2(F.coalesce(col, F.lit("")), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_quality(docs, table(spark, sf_dir, "labels"), fold("id", 3) != 1)
+    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("quality").alias("score"),
+                      (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = score_toxicity(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
@@ -26,6 +35,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("toxicity.offending").alias("offending"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = identify(docs.select("doc_id", "text"), docs.where(fold("doc_id", 5) != 0).select("text", "lang"))
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                      F.col("language.score").alias("score"), F.col("language.languages").alias("languages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -50,7 +66,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_quality,
     op3_toxicity,
+    op4_language,
     op6_bpe,
     op7_mix_sources,
     op8_ngram_jaccard_join,
