@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castlens.llm.bpe import decode, encode, load_ranks
+from castlens.llm.fingerprint import chain
 from castlens.llm.frames import fold, table
 from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
@@ -60,6 +61,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
@@ -72,5 +77,6 @@ QUERIES = {f.__name__: f for f in (
     op6_bpe,
     op7_mix_sources,
     op8_ngram_jaccard_join,
+    op9_fingerprints,
     op10_line_dedup,
 )}
