@@ -12,6 +12,7 @@ from castlens.llm.frames import fold, table
 from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
 from castlens.llm.mixing import plan
+from castlens.llm.neardup import near_duplicates
 from castlens.llm.ngramjoin import jaccard_links
 from castlens.llm.quality import score_quality
 from castlens.llm.toxicity import score_toxicity
@@ -28,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("quality") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = score_toxicity(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
@@ -72,6 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality,
+    op2_embedding_neardup,
     op3_toxicity,
     op4_language,
     op6_bpe,
