@@ -15,6 +15,7 @@ from castlens.llm.mixing import plan
 from castlens.llm.neardup import near_duplicates
 from castlens.llm.ngramjoin import jaccard_links
 from castlens.llm.quality import score_quality
+from castlens.llm.substring import dedup_substrings
 from castlens.llm.toxicity import score_toxicity
 
 
@@ -48,6 +49,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("language.score").alias("score"), F.col("language.languages").alias("languages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", sha(F.col("text")).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -80,6 +86,7 @@ QUERIES = {f.__name__: f for f in (
     op2_embedding_neardup,
     op3_toxicity,
     op4_language,
+    op5_substring_dedup,
     op6_bpe,
     op7_mix_sources,
     op8_ngram_jaccard_join,
