@@ -2,8 +2,8 @@ from castlens.operators.graph import (UNREACHED, bfs_distances, bfs_distances_ca
                                      bipartite_edges, cast_lists, credits, gather_distances,
                                      graph_nodes, level_histogram, neighbour_slots,
                                      title_pair_stats, title_sizes)
-from castlens.operators.joins import broadcast_if_small, materialize
-from castlens.operators.partitions import partition_skew_report, repartition, spread_small_input
+from castlens.operators.joins import materialize
+from castlens.operators.partitions import partition_report, partition_summary, repartition
 from castlens.operators.ratings import average_metric_per_person, latest_per_key, role_filter
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
                                         union_all, union_by_name, with_key, with_midpoint,
@@ -13,8 +13,8 @@ from castlens.operators.text import word_count
 __all__ = [
     "UNREACHED", "bfs_distances", "bfs_distances_capped", "bipartite_edges", "cast_lists", "credits",
     "gather_distances", "graph_nodes", "level_histogram", "neighbour_slots", "title_pair_stats",
-    "title_sizes", "broadcast_if_small", "materialize", "partition_skew_report", "repartition",
-    "spread_small_input", "with_sql_columns",
+    "title_sizes", "materialize", "partition_report", "partition_summary", "repartition",
+    "with_sql_columns",
     "average_metric_per_person", "latest_per_key", "role_filter", "first_n", "rename_add_drop",
     "replicate", "set_difference", "union_all", "union_by_name", "with_key", "with_midpoint",
     "word_count",

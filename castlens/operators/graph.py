@@ -3,8 +3,8 @@
 The graph is kept in its bipartite form — one row per (title, person) credit —
 and never expanded into person pairs. Two persons are neighbours when they
 share a title, so person → title → person is one hop; distances are the same
-as on the pair graph, but every step costs rows touched instead of cast size
-squared, and a title with a huge cast is expanded at most twice, as a plain scan.
+as on the pair graph, but a step scans edges instead of listing pairs, which
+grow with the square of a cast, and a title is expanded once.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql.types import IntegerType
 
 from castlens.constants import UNREACHED  # re-exported
 from castlens.functions.columns import stable_bucket
-from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
+from castlens.operators.joins import materialize, materialize_sum
 from castlens.operators.ratings import role_filter
-from castlens.session import _context, checkpoint_dir
+from castlens.session import checkpoint_dir
 
 # exact integer type for counts that can exceed 64 bits (pairs, adjacency slots)
 _COUNT = "decimal(38,0)"
@@ -49,8 +49,7 @@ def title_sizes(credit_rows: DataFrame) -> DataFrame:
     return credit_rows.groupBy("title").agg(F.count(F.lit(1)).alias("n_credits"))
 
 
-def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000,
-               broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000) -> DataFrame:
     """Persons of each title: (title, chunk, persons, counts).
 
     ``persons`` is sorted and distinct; ``counts[i]`` is how many credit rows
@@ -58,26 +57,17 @@ def cast_lists(credit_rows: DataFrame, chunk_size: int = 100_000,
     the title's full credit list (a bag). Credits are first counted per
     (title, person) with a map-side partial count, so copies of one credit — even
     a third of all rows — collapse into one entry instead of one list slot each.
-    A title with at most ``chunk_size`` distinct persons has one row (chunk 0).
-    A bigger title is split into ``ceil(n / chunk_size)`` chunks by a stable
-    hash of the person, so no single task holds an unbounded list.
+
+    ``chunk_size`` is part of the output's form: every title has
+    ``ceil(n_persons / chunk_size)`` chunks, to which a stable hash of the person
+    deals its persons, so no task holds an unbounded list. A title of at most
+    ``chunk_size`` persons has the one chunk 0.
     """
-    per, _ = materialize(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
-    sizes = per.groupBy("title").agg(F.count(F.lit(1)).alias("n_persons"))
-    big = sizes.where(F.col("n_persons") > F.lit(chunk_size)).select(
-        "title", F.ceil(F.col("n_persons") / F.lit(chunk_size)).cast("bigint").alias("n_chunks"))
-    n_big = big.count()      # bounded by the number of distinct credits / chunk_size
-    rows = per
-    if n_big:
-        big, n_big = materialize(big)
-        rows = rows.join(broadcast_if_small(big, n_big, broadcast_max_rows), "title", "left")
-        chunk = F.when(F.col("n_chunks").isNull(), F.lit(0).cast("bigint")).otherwise(
-            stable_bucket("person", F.col("n_chunks")))
-    else:
-        chunk = F.lit(0).cast("bigint")
-    grouped = (rows.select("title", chunk.alias("chunk"), F.struct("person", "c").alias("pc"))
-               .groupBy("title", "chunk")
-               .agg(F.array_sort(F.collect_list("pc")).alias("pcs")))
+    per = credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per.groupBy("title").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_size)).cast("bigint").alias("n_chunks"))
+    rows = per.join(sizes, "title").select(
+        "title", stable_bucket("person", F.col("n_chunks")).alias("chunk"), F.struct("person", "c").alias("pc"))
+    grouped = rows.groupBy("title", "chunk").agg(F.array_sort(F.collect_list("pc")).alias("pcs"))
     return grouped.select("title", "chunk", F.col("pcs.person").alias("persons"), F.col("pcs.c").alias("counts"))
 
 
@@ -136,159 +126,113 @@ def graph_nodes(credit_rows: DataFrame) -> DataFrame:
     return credit_rows.join(sizes, "title", "left_semi").select("person").distinct()
 
 
-def _salted_copy(e: DataFrame, key: str, other: str, n_parts: int, hot_rows: int):
-    """``e`` hash-partitioned for lookups by ``key`` and cached, plus its hot keys.
+def _salts(e: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """(key, <key>_salts): one salt for every ``hot_rows`` edges of a key, so one for an ordinary key."""
+    return e.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias(f"{key}_salts"))
+
 
-    A key with more than ``hot_rows`` rows gets ``ceil(n / hot_rows)`` salts
-    (at most ``n_parts``) chosen by a hash of the other column, and the copy is
-    partitioned on (key, salt), so a hot key's rows are spread over that many
-    partitions instead of sitting in one. Without hot keys the copy is simply
-    partitioned on ``key``. The hot-key table has at most |e| / ``hot_rows``
-    rows, which the caller keeps under the broadcast limit.
+def _indexed(e: DataFrame, key: str, other: str, n_parts: int) -> DataFrame:
+    """``e`` cached for look-ups by ``key``: hash-partitioned on (key, salt) and sorted within partitions.
+
+    The salt is a hash of the other column, so a key holding a third of all edges is spread over as many
+    partitions as it has salts. Built before it is used: only a built cache tells the planner its layout.
     """
-    counts = e.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    n_salts = F.least(F.ceil(F.col("n") / F.lit(hot_rows)), F.lit(n_parts)).cast("int")
-    hot, n_hot = materialize(counts.where(F.col("n") > F.lit(hot_rows)).select(key, n_salts.alias("n_salts")))
-    if not n_hot:
-        return e.repartition(n_parts, key).persist(StorageLevel.MEMORY_AND_DISK), None
-    j = e.join(F.broadcast(hot), key, "left")
-    salt = F.when(F.col("n_salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(other), F.col("n_salts").cast("bigint"))).cast("int")
-    out = j.select("title", "person", salt.alias("salt")).repartition(n_parts, key, "salt")
-    return out.persist(StorageLevel.MEMORY_AND_DISK), hot
-
-
-def _lookup(copy: DataFrame, keys: DataFrame, key: str, hot, n_parts: int) -> DataFrame:
-    """Rows of a :func:`_salted_copy` whose key is in ``keys`` (a semi join that
-    shuffles only ``keys``). Keys are deduplicated first (map-side partial
-    distinct), then a hot key is repeated once per salt — so a hot title
-    reached through many frontier persons still fans out only n_salts times.
-    The keys are repartitioned exactly like the copy (same columns, same
-    count), so the join never re-shuffles the cached copy, whatever
-    partitioning the keys arrive with."""
-    if hot is None:
-        return copy.join(keys.select(key).repartition(n_parts, key), key, "left_semi")
-    j = keys.select(key).distinct().join(F.broadcast(hot), key, "left")
-    salts = F.when(F.col("n_salts").isNull(), F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.col("n_salts") - 1))
-    salted = j.select(key, F.explode(salts).alias("salt")).repartition(n_parts, key, "salt")
+    copy = (e.withColumn("salt", F.pmod(F.xxhash64(other), F.col(f"{key}_salts")).cast("int"))
+            .repartition(n_parts, key, "salt").sortWithinPartitions(key, "salt")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    copy.count()
+    return copy
+
+
+def _lookup(copy: DataFrame, keys: DataFrame, key: str, n_parts: int) -> DataFrame:
+    """Rows of an :func:`_indexed` copy whose key is in ``keys`` (key, <key>_salts; distinct).
+
+    Only ``keys`` move: each is repeated once per salt and laid out like the copy, so the copy is neither
+    shuffled nor sorted again. Whether the keys are broadcast instead is left to AQE's measured bytes.
+    """
+    salted = (keys.select(key, F.explode(F.sequence(F.lit(0), F.col(f"{key}_salts") - 1)).alias("salt"))
+              .repartition(n_parts, key, "salt"))
     return copy.join(salted, [key, "salt"], "left_semi")
 
 
-def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None,
-                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                  index_min_rows: int | None = None, hot_rows: int = 1_000_000,
-                  n_distinct_edges: int | None = None) -> DataFrame:
+def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None, hot_rows: int = 1_000_000,
+                  compact_levels: int = 32, distinct_edges: bool = False) -> DataFrame:
     """Single-source breadth-first distances on the bipartite graph.
 
     ``edges`` holds (title, person). Returns (person, distance) for every person
     reached within ``max_depth`` hops (all reachable persons when None). The
     source is always in the result with distance 0, even when absent from the
-    data. One level is one job (two on big graphs, see below):
-
-        F[k+1] = persons of (titles of F[k]) − F[k] − F[k-1]
-
-    * Two persons sharing a title are at most one level apart, so everything
-      reached from level k lies at level k-1, k or k+1: subtracting the last two
-      frontiers is exact, and no visited set grows with the search.
-    * Each frontier is checkpointed to the shared folder (the level chain's
-      lineage is cut; a lost executor costs at most one level) and counted in
-      the same job. A frontier is broadcast only when that count is under
-      ``broadcast_max_rows``.
-    * The deduplicated edge table is checkpointed once and counted. A graph of
-      at most ``index_min_rows`` edges (default ``broadcast_max_rows``) is
-      cached hash-partitioned on person. Every set a level derives from it has
-      at most |E| rows — a proven bound — so all of them are broadcast, and the
-      persons reached come out already partitioned by person: a level is one
-      stage with no shuffle at all.
-    * A bigger graph is cached twice, hash-partitioned on (person, salt) and on
-      (title, salt), so a level whose sets are too big to broadcast shuffles
-      only those sets — never the edge table. Keys with more than ``hot_rows``
-      edges (raised to |E| / 2M when larger, so the hot-key table is always
-      broadcastable) are salted over several partitions and the lookup side is
-      repeated once per salt, so a title or person holding a third of all
-      credits is split over many tasks instead of one. There the distinct
-      title set between the two hops is checkpointed and counted too (a second
-      job per level), and broadcast only under ``broadcast_max_rows``.
-    * A title is expanded at the level of its nearest member and at most once
-      more (its other members are one level farther), so title work is at most
-      2× the title rows. Only counts reach the driver.
-
-    ``n_distinct_edges``: pass the row count when ``edges`` is already a
-    deduplicated, checkpointed table, to skip deduplicating it again.
+    data. Level by level, with one path for graphs of every size:
+
+        T[k]   = titles of F[k] − T[k-1]      (titles whose nearest member is at level k)
+        F[k+1] = persons of T[k] − F[k]
+
+    * The members of a title lie on two adjacent levels, so both subtractions
+      are exact: a title is expanded once, and no visited set grows with the search.
+    * The edges are cached twice, laid out and sorted by (person, salt) and by
+      (title, salt); a hop shuffles the keys it looks up and what it found,
+      distinct per task before it moves. A key has one salt per ``hot_rows`` edges.
+    * Each T and F is checkpointed to the shared folder and counted in the same
+      job; only counts reach the driver. When three quarters of a copy's edges
+      belong to finished titles, both copies are rebuilt from the rest, so the
+      copies scanned shrink with what is left to do.
+    * ``compact_levels`` finished levels at a time are written as one table, so
+      the result's plan stays small however deep the search goes.
+
+    ``distinct_edges``: ``edges`` is already a deduplicated, checkpointed table.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     ptype = edges.schema["person"].dataType
-    if n_distinct_edges is None:
-        e, n_edges = materialize(edges.select("title", "person").distinct())
-    else:
-        e, n_edges = edges.select("title", "person"), n_distinct_edges
-    if index_min_rows is None:
-        index_min_rows = broadcast_max_rows
-    salted = n_edges > index_min_rows
-    # every set derived from the edge table has at most n_edges rows
-    sets_fit = n_edges <= broadcast_max_rows
-    if salted:
-        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # bound the hot-key tables so they are always broadcastable
-        hot_rows = max(hot_rows, -(-n_edges // DEFAULT_BROADCAST_MAX_ROWS))
-        by_person, hot_p = _salted_copy(e, "person", "title", n_parts, hot_rows)
-        by_title, hot_t = _salted_copy(e, "title", "person", n_parts, hot_rows)
-        cached = [by_person, by_title]
-    else:
-        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sc = _context(spark)
-        if sc is not None:   # a small graph needs no more partitions than cores
-            n_parts = max(1, min(n_parts, sc.defaultParallelism))
-        by_person = by_title = e.repartition(n_parts, "person").persist(StorageLevel.MEMORY_AND_DISK)
-        hot_p = hot_t = None
-        cached = [by_person]
-    # Build the caches before the first level: only a materialized cache reports
-    # its hash partitioning to the planner (an unbuilt one would be re-shuffled).
-    for c in cached:
-        c.count()
-
-    def person_hop(frontier: DataFrame, n_frontier: int) -> DataFrame:
-        if n_frontier <= broadcast_max_rows or not salted:
-            f = broadcast_if_small(frontier, n_frontier, broadcast_max_rows)
-            return by_person.join(f, "person", "left_semi").select("title")
-        return _lookup(by_person, frontier, "person", hot_p, n_parts).select("title")
-
-    def title_hop(titles: DataFrame) -> DataFrame:
-        if not salted:
-            t = F.broadcast(titles) if sets_fit else titles
-            return by_title.join(t, "title", "left_semi").select("person")
-        # big graph: the distinct title set is checkpointed and counted, then
-        # broadcast under a proven bound or looked up through the salted copy
-        t, n_t = materialize(titles.distinct())
-        if n_t <= broadcast_max_rows:
-            return by_title.join(F.broadcast(t), "title", "left_semi").select("person")
-        return _lookup(by_title, t, "title", hot_t, n_parts).select("person")
-
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.select("title", "person")
+    if not distinct_edges:
+        e, _ = materialize(e.distinct())
+    e, n_edges = materialize(e.join(_salts(e, "person", hot_rows), "person").join(
+        e.groupBy("title").agg(F.count(F.lit(1)).alias("title_edges")), "title")
+        .withColumn("title_salts", F.ceil(F.col("title_edges") / F.lit(hot_rows)).cast("int")))
+    by_person = _indexed(e, "person", "title", n_parts)
+    by_title = _indexed(e, "title", "person", n_parts)
     try:
         # a one-row local relation, not a literal projection: Catalyst would fold a
         # literal key into a filter and leave a condition-less (nested-loop) semi join
         seed = spark.createDataFrame([(None if source is None else str(source),)], "person string") \
             .select(F.col("person").cast(ptype).alias("person"))
+        done: list[DataFrame] = []
         levels = [seed.select("person", F.lit(0).alias("distance"))]
-        frontier, n_frontier = seed, 1
-        previous, n_previous = None, 0
-        depth = 0
-        while n_frontier > 0 and (max_depth is None or depth < max_depth):
-            reached = title_hop(person_hop(frontier, n_frontier))
-            seen = frontier if previous is None else frontier.unionByName(previous)
-            seen = broadcast_if_small(seen, n_frontier + n_previous, broadcast_max_rows)
-            nxt, n_next = materialize(reached.join(seen, "person", "left_anti").distinct())
+        frontier = seed.join(_salts(e.join(seed, "person", "left_semi"), "person", hot_rows), "person")
+        titles, finished, n_finished, depth = None, [], 0, 0
+        while max_depth is None or depth < max_depth:
+            found = _lookup(by_person, frontier, "person", n_parts).select("title", "title_salts", "title_edges").distinct()
+            if titles is not None:
+                found = found.join(titles.select("title"), "title", "left_anti")
+            titles, n_titles, n_expanded = materialize_sum(found, "title_edges")
+            if not n_titles:
+                break
+            reached = _lookup(by_title, titles, "title", n_parts).select("person", "person_salts").distinct()
+            frontier, n_next = materialize(reached.join(frontier.select("person"), "person", "left_anti"))
             depth += 1
-            if n_next:
-                levels.append(nxt.select("person", F.lit(depth).alias("distance")))
-            previous, n_previous = frontier, n_frontier
-            frontier, n_frontier = nxt, n_next
+            if not n_next:
+                break
+            levels.append(frontier.select("person", F.lit(depth).alias("distance")))
+            if len(levels) >= compact_levels:
+                done.append(materialize(_union_all(levels))[0])
+                levels = []
+                if len(done) >= compact_levels:
+                    done = [materialize(_union_all(done))[0]]
+            finished.append(titles.select("title"))
+            n_finished += n_expanded
+            if 4 * n_finished >= 3 * n_edges or len(finished) >= compact_levels:
+                e, n_edges = materialize(e.join(_union_all(finished), "title", "left_anti"))
+                for c in (by_person, by_title):
+                    c.unpersist()
+                by_person = _indexed(e, "person", "title", n_parts)
+                by_title = _indexed(e, "title", "person", n_parts)
+                finished, n_finished = [], 0
     finally:
-        for c in cached:
+        for c in (by_person, by_title):
             c.unpersist()
-    return _union_all(levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
+    return _union_all(done + levels).select("person", F.col("distance").cast(IntegerType()).alias("distance"))
 
 
 def _union_all(parts: list[DataFrame]) -> DataFrame:
@@ -308,10 +252,10 @@ def bfs_distances_capped(credit_rows: DataFrame, source, max_depth: int = 6,
     """
     # one aggregation gives both the distinct edges and, through the credit
     # counts, the titles with two or more credit rows (whose persons are nodes)
-    per_pair, n_pairs = materialize(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
+    per_pair, _ = materialize(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
     multi = per_pair.groupBy("title").agg(F.sum("c").alias("n")).where(F.col("n") >= 2).select("title")
     nodes = per_pair.join(multi, "title", "left_semi").select("person").distinct()
-    dist = bfs_distances(per_pair, source, max_depth=max_depth, n_distinct_edges=n_pairs, **kw)
+    dist = bfs_distances(per_pair, source, max_depth=max_depth, distinct_edges=True, **kw)
     return (nodes.join(dist, "person", "left")
             .select("person", F.coalesce(F.col("distance"), F.lit(unreached)).cast(IntegerType()).alias("distance")))
 

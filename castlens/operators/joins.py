@@ -1,5 +1,7 @@
-"""Join helpers: broadcast only behind a row-count check, otherwise let the
-planner shuffle (AQE splits skewed partitions of a shuffled join at run time)."""
+"""Cutting lineage: checkpoint a table to the shared folder and count it in one job.
+
+Whether a join's side is broadcast is left to AQE, which goes by measured bytes.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +10,29 @@ from pyspark.sql import functions as F
 
 from castlens.session import _context
 
-# A broadcast side is held in every executor's memory; 2M keys of ~16 bytes is
-# ~32 MB. Above this the join stays a shuffled (sort-merge) join.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     """Checkpoint ``df`` to the shared checkpoint folder and count it, in one job.
 
-    The checkpoint cuts the lineage (a lost executor re-reads the checkpoint
-    files instead of replaying every earlier step) and the count is the proven
-    size used by :func:`broadcast_if_small`. The count is an observed metric of
-    the checkpoint job itself (collected in its result stage, where each
-    partition's update is applied once), so no second job scans the result.
+    The checkpoint cuts the lineage: a lost executor re-reads the checkpoint
+    files instead of replaying every earlier step. The count is an observed
+    metric of the checkpoint job itself (collected in its result stage, where
+    each partition's update is applied once), so no second job scans the result.
     """
+    out, n, _ = materialize_sum(df, None)
+    return out, n
+
+
+def materialize_sum(df: DataFrame, col: str | None) -> tuple[DataFrame, int, int]:
+    """:func:`materialize`, and the sum of an integer column (0 without one or without rows)."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(col) if col else F.lit(0), F.lit(0)).alias("s")]
+    if not col:
+        aggs = aggs[:1]
     if _context(df.sparkSession) is None:   # no observed metrics for commands: count separately
         cp = df.checkpoint(eager=True)
-        return cp, cp.count()
+        row = cp.agg(*aggs).first()
+        return cp, row["n"], int(row["s"]) if col else 0
     obs = Observation()
-    cp = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return cp, int(obs.get["n"])
-
-
-def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count is known and small enough."""
-    return F.broadcast(df) if n_rows <= max_rows else df
+    cp = df.observe(obs, *aggs).checkpoint(eager=True)
+    got = obs.get
+    return cp, int(got["n"]), int(got["s"]) if col else 0

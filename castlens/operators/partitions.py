@@ -13,7 +13,7 @@ def repartition(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
-def partition_skew_report(df: DataFrame) -> DataFrame:
+def partition_report(df: DataFrame) -> DataFrame:
     """Rows per partition: (partition_id, n_rows), computed on the executors.
 
     Answers "how many partitions, and how even are they" without pulling the
@@ -23,18 +23,11 @@ def partition_skew_report(df: DataFrame) -> DataFrame:
             .groupBy("partition_id").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-def spread_small_input(df: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Round-robin a small input over all cores; leave a big one alone.
-
-    A scan with no more splits than the default parallelism holds at most about
-    parallelism × ``spark.sql.files.maxPartitionBytes`` bytes, so the extra
-    shuffle is bounded; it pays off when each row is CPU-heavy (tokenising text)
-    and the files have fewer row groups than there are cores. A big input
-    already has more splits than cores and is returned unchanged (no shuffle).
-    """
-    try:
-        target = parallelism or df.sparkSession.sparkContext.defaultParallelism
-        n_splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the input as is
-        return df
-    return df.repartition(target) if n_splits <= target else df
+def partition_summary(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """One row about ``df`` hash-partitioned into ``n``: n_rows over all partitions, n_keys, whether every
+    partition number is below ``n``, and whether every key lies in one partition."""
+    placed = repartition(df, n, keys).select(F.spark_partition_id().alias("p"), *keys)
+    per_key = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    return per_key.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys"),
+                       F.coalesce(F.max("hi") < F.lit(n), F.lit(True)).alias("in_range"),
+                       F.coalesce(F.max(F.col("hi") - F.col("lo")) == 0, F.lit(True)).alias("keys_together"))

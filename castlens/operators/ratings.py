@@ -6,7 +6,7 @@ shuffle on person → final average → optional global sort. A person holding a
 third of all credits is pre-aggregated per task before the shuffle, so the
 final aggregate only sees one partial row per task for it; a title holding a
 third of all credits is split by AQE's skew-join handling when the join is a
-shuffled join, and never shuffled when the ratings side is broadcast.
+shuffled join; AQE broadcasts the ratings side when its measured bytes allow.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.constants import ACTING_ROLES
-from castlens.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 
 def role_filter(col: str, roles: str | Sequence[str] | None) -> Column | None:
@@ -48,9 +47,7 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
                               roles: str | Sequence[str] | None = ACTING_ROLES,
                               ratings_title: str | None = None, metric: str = "averageRating",
                               out_col: str = "avgRating", dedupe_order_by: str | None = None,
-                              exact_scale: int | None = None, broadcast_ratings: bool = False,
-                              broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                              sort: bool = True) -> DataFrame:
+                              exact_scale: int | None = None, sort: bool = True) -> DataFrame:
     """Mean of ``metric`` over every (credit, rating) match, per person.
 
     * ``roles`` — one role, a set of roles, or None for every role.
@@ -60,11 +57,8 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
       instead of fanning out over duplicate rating rows.
     * ``exact_scale`` — metric values carry at most that many decimals; the sum
       is then taken over exact integers (``round(x·10^s)``) so the result does
-      not depend on summation order (same bits on every engine and run).
-    * ``broadcast_ratings`` — a map-side lookup join: the (deduplicated)
-      ratings are checkpointed and counted, and shipped to every task only when
-      that count is at most ``broadcast_max_rows``; above it the join shuffles.
-      Without it the planner decides by estimated/measured size (AQE).
+      not depend on summation order (same bits on every engine and run). NaN
+      metrics are skipped like nulls there.
     * ``sort`` — order by the average descending, then person (stable ties).
     """
     rt = ratings_title or title
@@ -75,14 +69,12 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
     if dedupe_order_by is not None:
         r = latest_per_key(r, rt, metric, dedupe_order_by)
     r = r.select(F.col(rt).alias("_t"), F.col(metric).alias("_m"))
-    if broadcast_ratings:
-        r, n_ratings = materialize(r)
-        r = broadcast_if_small(r, n_ratings, broadcast_max_rows)
     j = c.join(r, "_t", "inner")
     if exact_scale is None:
         agg = F.avg("_m")
     else:
         scale = 10 ** exact_scale
+        j = j.withColumn("_m", F.nanvl(F.col("_m").cast("double"), F.lit(None).cast("double")))
         units = F.round(F.col("_m") * F.lit(scale)).cast("decimal(38,0)")
         agg = F.try_divide(F.sum(units).cast("double"), F.count("_m").cast("double")) / F.lit(float(scale))
     out = j.groupBy(person).agg(agg.alias(out_col))

@@ -221,26 +221,20 @@ def test_bipartite_form_equals_pair_form(spark):
     assert got == dist
 
 
-def test_small_graph_levels_have_no_shuffle(spark, monkeypatch):
-    """Up to the broadcast limit every level job is broadcast joins over the cached,
-    person-partitioned edges: no exchange at all, no nested-loop join."""
-    from castlens.operators import joins as J
-
-    plans = []
+def test_cast_lists_one_path(spark):
+    """The plan does not depend on how large the titles are: no job runs while it is built."""
+    c = _credits(spark, SF_SMOKE)
+    plans = [G.cast_lists(c, chunk_size=k)._jdf.queryExecution().optimizedPlan().toString() for k in (2, 100_000)]
+    assert plans[0].count("Join") == plans[1].count("Join") == 1
 
-    def spy(df):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return J.materialize(df)
 
-    monkeypatch.setattr(G, "materialize", spy)
-    c = _credits(spark, SF_SMOKE, GRAPH_ROLES)
-    G.bfs_distances(G.bipartite_edges(c), 0).count()
-    levels = plans[1:]          # plans[0] builds the edge table
-    assert len(levels) >= 5
-    for plan in levels:
-        assert "NestedLoopJoin" not in plan, plan
-        shuffles = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "ENSURE_REQUIREMENTS" in l]
-        assert shuffles == [], plan
+def test_deep_search_compacts_levels(spark):
+    """A path of 40 hops: levels are written together, edges of finished titles leave the copies."""
+    rows = [(t, p) for t in range(40) for p in (t, t + 1)]
+    e = spark.createDataFrame(rows, "title long, person long")
+    out = G.bfs_distances(e, 0, compact_levels=4)
+    assert {r.person: r.distance for r in out.collect()} == {p: p for p in range(41)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 8
 
 
 def test_pair_counts_are_exact_wide_integers(spark):

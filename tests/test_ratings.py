@@ -58,9 +58,13 @@ def test_exact_scale_same_as_avg_on_decimals(spark):
     assert got == (10 / 3) / 10   # integer tenths summed exactly, then divided
 
 
-def test_plan_pushes_and_broadcasts(spark, tables):
+def test_plan_is_builtin_and_has_no_nested_loop(spark, tables):
     p, r = tables
-    df = average_metric_per_person(p, r, broadcast_ratings=True)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert "Python" not in plan
+    plan = average_metric_per_person(p, r)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_exact_scale_skips_nan(spark):
+    df = spark.createDataFrame([("t1", "a"), ("t2", "a")], "tconst string, nconst string")
+    rt = spark.createDataFrame([("t1", 3.0), ("t2", float("nan"))], "tconst string, averageRating double")
+    assert average_metric_per_person(df, rt, roles=None, exact_scale=1).collect()[0].avgRating == 3.0

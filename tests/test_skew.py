@@ -86,7 +86,7 @@ def test_bfs_exact_without_broadcasts_and_hot_title(spark):
     e = G.credits(all_cr)
     pairs = [(r.title, r.person) for r in e.collect()]
     with conf(spark, SKEW_CONF):
-        got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(e), 0, broadcast_max_rows=0).collect()}
+        got = {r.person: r.distance for r in G.bfs_distances(G.bipartite_edges(e), 0).collect()}
     assert got == _python_bfs(pairs, 0)
     assert max(got.values()) > 5
 
@@ -110,17 +110,28 @@ def test_salted_index_bfs_shuffles_only_the_lookup_side(spark, monkeypatch):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return J.materialize(df)
 
+    def spy_sum(df, col):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return J.materialize_sum(df, col)
+
     monkeypatch.setattr(G, "materialize", spy)
+    monkeypatch.setattr(G, "materialize_sum", spy_sum)
     with conf(spark, SKEW_CONF):
         got = {r.person: r.distance for r in G.bfs_distances(
-            G.bipartite_edges(e), 0, broadcast_max_rows=0, index_min_rows=0, hot_rows=50).collect()}
+            G.bipartite_edges(e), 0, hot_rows=50, compact_levels=3).collect()}
     assert got == _python_bfs(pairs, 0)
     # the hot title (1000 credits) is salted; the looked-up titles are repartitioned to the
     # cached copy's (title, salt) partitioning and the edge copy itself is never re-shuffled
     lookups = [p for p in plans if re.search(r"SortMergeJoin \[title#\d+L, salt#\d+\]", p)]
     assert lookups
+    hops = [p for p in plans if "InMemoryTableScan" in p]
+    assert len(hops) > 10
+    for plan in hops:
+        assert _above_cache(plan, "Sort [") == 0, plan
+    # what a hop found is made distinct per task before it moves to meet the frontier
+    assert any(re.search(r"Exchange hashpartitioning\(person[^\n]*\n[^\n]*HashAggregate", p) for p in hops)
     for plan in plans:
-        assert _exchanges_above_cache(plan) == 0, plan
+        assert _above_cache(plan, "Exchange ") == 0, plan
         assert "NestedLoopJoin" not in plan, plan
 
 
@@ -128,20 +139,20 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" :+-"))
 
 
-def _exchanges_above_cache(plan: str) -> int:
-    """Number of Exchange nodes fed straight from a cached-table scan (only
-    filters/projections in between): that would re-shuffle the cached copy."""
+def _above_cache(plan: str, node_name: str) -> int:
+    """Number of nodes (Exchange, Sort) fed straight from a cached-table scan (only
+    filters/projections in between): that would re-shuffle or re-sort the cached copy."""
     lines = plan.splitlines()
     bad = 0
     for i, line in enumerate(lines):
-        if "Exchange " not in line or "BroadcastExchange" in line:
+        if node_name not in line or "BroadcastExchange" in line:
             continue
         ind = _indent(line)
         for below in lines[i + 1:]:
             if _indent(below) <= ind:
                 break
             node = re.sub(r"^\*\(\d+\) ", "", below.lstrip(" :+-"))
-            if node.startswith(("Filter", "Project", "Sort [", "ColumnarToRow", "InputAdapter")):
+            if node.startswith(("Filter", "Project", "ColumnarToRow", "InputAdapter")):
                 continue
             if node.startswith("InMemoryTableScan"):
                 bad += 1
