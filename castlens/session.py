@@ -89,29 +89,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path inside the shared checkpoint folder."""
+    """A fresh, unique path inside the shared checkpoint folder; see :func:`clear_scratch`."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{uuid.uuid4().hex}/{name}"
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
-                 max_shuffle_partitions: int = 100_000) -> dict:
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch copy under this session's checkpoint folder.
+
+    DataFrames that still read one must be written first; call it between jobs or at the end of one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Settings sized for a cluster run over ``input_bytes`` of input.
 
     * Shuffle partitions: enough that each holds about ``target_partition_bytes``
-      of shuffled data (assuming a shuffle as large as the input), at least
-      three waves of tasks, and at most ``max_shuffle_partitions`` — every
-      reducer fetches a segment from every mapper, so the fetch count grows
-      with mappers × reducers; beyond the cap partitions simply get bigger.
+      of shuffled data (assuming a shuffle as large as the input), and at least
+      three waves of tasks. Every reducer fetches a segment from every mapper;
+      raise ``target_partition_bytes`` to trade fetches for larger partitions.
       AQE coalesces them at run time when a shuffle turns out smaller.
     * Input splits of ``target_partition_bytes``; AQE's advisory size and the
       skew thresholds at the same size, so a partition several times the median
       and above that size is split.
-    For 100 TB on 8,000 cores: 100k shuffle partitions (~1 GB each before
-    partial aggregation and filtering shrink the shuffle), 256 MB splits.
+    For 100 TB on 8,000 cores with 1 GB as target: 100k shuffle partitions.
     """
     parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
-    parts = min(parts, max(max_shuffle_partitions, 3 * total_cores))
     size = str(target_partition_bytes)
     return {
         "spark.sql.adaptive.enabled": "true",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
                                StructType)
@@ -37,18 +37,47 @@ TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": "", "nullValue": NULL_MAR
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: StructType | str,
-                   sep: str = "\t", header: bool = True, **options) -> DataFrame:
+                   sep: str = "\t", header: bool = True, escaped: bool = False, **options) -> DataFrame:
     """Delimited text with a declared schema (no inference pass).
 
     Tab-separated input is read without quote handling and with ``\\N`` as
     null, so a field that begins with a double quote stays a field and does not
     swallow the following tabs. Rows whose typed fields do not parse become
-    nulls in those fields (PERMISSIVE).
+    nulls in those fields (PERMISSIVE). ``escaped`` undoes the escapes that
+    ``write_delimited`` puts into string fields; foreign dumps have none.
     """
     opts = dict(TSV_OPTIONS) if sep == "\t" else {"sep": sep, "mode": "PERMISSIVE"}
     opts["header"] = "true" if header else "false"
     opts.update({k: str(v) for k, v in options.items()})
-    return spark.read.options(**opts).schema(schema).csv(path)
+    df = spark.read.options(**opts).schema(schema).csv(path)
+    if escaped:
+        df = df.withColumns({f.name: unescape(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, StringType)})
+    return df
+
+
+# Escapes of string fields: backslash first, then what would break a line or a field; \e is
+# nothing, and keeps a blank field from making a blank line, which readers skip, and a leading # from quotes.
+ESCAPES = (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\x00", "\\0"))
+
+
+def escape(col: str | Column) -> Column:
+    """A string as one field of one line, reversibly: backslash, tab, newline, return and blank strings escaped."""
+    c = F.col(col) if isinstance(col, str) else col
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, code in ESCAPES:
+        out = F.replace(out, F.lit(raw), F.lit(code))
+    return F.when(c.rlike(r"^([\x00-\x20]*\z|#)"), F.concat(F.lit("\\e"), out)).otherwise(out)
+
+
+def unescape(col: str | Column) -> Column:
+    """The reverse of :func:`escape`."""
+    c = F.col(col) if isinstance(col, str) else col
+
+    def plain(part: Column) -> Column:
+        for raw, code in (*ESCAPES, ("", "\\e")):
+            part = F.replace(part, F.lit(code), F.lit(raw))
+        return part
+    return F.when(c.contains("\\"), F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\")).otherwise(c)
 
 
 def read_principals(spark: SparkSession, path: str) -> DataFrame:
@@ -110,12 +139,17 @@ def read_csv_clean(spark: SparkSession, path: str | Sequence[str], schema: Struc
     return trim_strings(df)
 
 
+def strip_blanks(col: Column) -> Column:
+    """Without any whitespace at either end, like Python's ``strip``."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
-    """Trim leading/trailing spaces (and a stray CR) of every string column."""
+    """Strip whitespace (a stray CR among it) around every string column."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, StringType):
-            out.append(F.trim(F.regexp_replace(F.col(f"`{f.name}`"), "\r$", "")).alias(f.name))
+            out.append(strip_blanks(F.col(f"`{f.name}`")).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
@@ -133,21 +167,25 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: StructType
 def read_text_positional(spark: SparkSession, path: str | Sequence[str], fields: dict[str, int],
                          sep: str = "\t", header_field: str | None = None,
                          header_value: str | None = None, header_prefix: str | None = None,
-                         strip: bool = False) -> DataFrame:
+                         strip: bool = False, line_order: str | None = None) -> DataFrame:
     """Schema-less lines split on ``sep``; named fields taken by position.
 
     ``fields`` maps an output name to a 0-based position. A position past the
     end of a short line gives null. Lines whose ``header_field`` equals
     ``header_value`` are header rows and are dropped wherever they occur; with
     ``header_prefix`` any line starting with that text is dropped instead.
-    ``strip`` trims surrounding whitespace of the line before splitting.
+    ``strip`` removes all whitespace around the line before splitting; ``sep`` is
+    literal text. ``line_order`` names a column that sorts rows as their lines
+    stand in the files (see :func:`with_line_order`).
     """
-    line = F.trim(F.col("value")) if strip else F.col("value")
+    line = strip_blanks(F.col("value")) if strip else F.col("value")
     raw = spark.read.text(path)
+    if line_order is not None:
+        raw = with_line_order(raw, line_order)
     if header_prefix is not None:
         raw = raw.where(~F.col("value").startswith(header_prefix))
-    parts = F.split(line, sep, -1)
-    df = raw.select(*[F.get(parts, i).alias(name) for name, i in fields.items()])
+    parts = F.split(line, "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    df = raw.select(*[F.get(parts, i).alias(name) for name, i in fields.items()], *([line_order] if line_order else []))
     if header_field is not None:
         df = df.where(F.col(header_field).isNull() | (F.col(header_field) != F.lit(header_value)))
     return df

@@ -11,10 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from castlens.constants import LIST_ROW, NULL_MARKER, TUPLE_ROW
-from castlens.sources.readers import read_delimited
+from castlens.sources.readers import escape, read_delimited
+
+# No quoting, nothing trimmed: what a field holds is what is written.
+PLAIN_TSV = {"sep": "\t", "quote": "", "nullValue": NULL_MARKER, "emptyValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def row_text(cols: Sequence[str | Column], open_: str = "[", close: str = "]", sep: str = ",") -> Column:
@@ -53,7 +57,8 @@ def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode
 
     ``json_value`` JSON-encodes a struct/array/map value; ``json`` encodes both
     key and value as JSON text (``"nm0000001"<TAB>[3]``), the layout of
-    line-oriented job output.
+    line-oriented job output. Otherwise text is escaped like in
+    :func:`write_delimited`, so any key reads back as it was.
     """
     v = value if isinstance(value, Column) else F.col(value)
     k = F.col(key)
@@ -61,21 +66,25 @@ def write_keyvalue(df: DataFrame, path: str, key: str, value: str | Column, mode
         k, v = json_text(k), json_text(v)
     elif json_value:
         v = F.to_json(v)
-    (df.select(k.cast("string").alias("k"), v.cast("string").alias("v"))
-       .write.mode(mode).option("sep", "\t").option("quote", "").option("nullValue", NULL_MARKER)
-       .option("emptyValue", "").option("header", "false").csv(path))
+    k, v = k.cast("string"), v.cast("string")
+    if not json:
+        k, v = escape(k), v if json_value else escape(v)
+    (df.select(k.alias("k"), v.alias("v")).write.mode(mode).options(**PLAIN_TSV).option("header", "false").csv(path))
 
 
-def read_keyvalue(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return read_delimited(spark, path, schema, sep="\t", header=False)
+def read_keyvalue(spark: SparkSession, path: str, schema: StructType | str, escaped: bool = True) -> DataFrame:
+    return read_delimited(spark, path, schema, sep="\t", header=False, escaped=escaped)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
                     mode: str = "overwrite", **options) -> None:
-    """Delimited text in the dump's own layout (``\\N`` nulls, no quoting for TSV)."""
+    """Delimited text. Tab-separated: the dump's own layout (``\\N`` nulls, no quoting), string fields escaped so
+    that ``read_delimited(..., escaped=True)`` gives back every value; other separators: quoted CSV."""
+    if sep == "\t":
+        df = df.withColumns({f.name: escape(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, StringType)})
     w = df.write.mode(mode).option("sep", sep).option("header", "true" if header else "false")
     if sep == "\t":
-        w = w.option("quote", "").option("nullValue", NULL_MARKER).option("emptyValue", "")
+        w = w.options(**PLAIN_TSV)
     for k, v in options.items():
         w = w.option(k, str(v))
     w.csv(path)

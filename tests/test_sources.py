@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from castlens.sources import (read_csv_clean, read_csv_inferred, read_json, read_keyvalue,
                               read_principals, read_text_positional, rows_to_dataframe,
                               stage_to_parquet, write_delimited, write_keyvalue, write_text_rows)
-from castlens.sources.readers import PRINCIPALS_SCHEMA
+from castlens.sources.readers import PRINCIPALS_SCHEMA, read_delimited
 from tests.conftest import write_text
 from tests.fixtures import dirty_principals_rows
 
@@ -35,43 +35,43 @@ def test_text_positional_header_anywhere(spark, tmp_dir):
 
 
 def test_csv_clean_dirty_sheet(spark, tmp_dir):
-    lines = [",name,city,state,id",
-             "0,NorthGate Brewing ,Minneapolis, MN,0",
-             '1,"Against the Grain Brewery, LLC",Louisville, KY,1',
-             "2,Brauerei Kühn,Köln, NW,2"]
+    lines = [",firm,place,zone,id",
+             "0,Alpha Works ,Easton, E1,0",
+             '1,"Beta, Gamma and Co",Norton, N2,1',
+             "2,Öresund Fähre,Malmö, S3,2"]
     path = write_text(os.path.join(tmp_dir, "b.csv"), lines, newline="\r\n")
     df = read_csv_clean(spark, path)
-    assert df.columns == ["row_index", "name", "city", "state", "id"]
+    assert df.columns == ["row_index", "firm", "place", "zone", "id"]
     rows = {r.id: r for r in df.collect()}
-    assert rows[0].name == "NorthGate Brewing" and rows[0].state == "MN"
-    assert rows[1].name == "Against the Grain Brewery, LLC"
-    assert rows[2].city == "Köln"
+    assert rows[0].firm == "Alpha Works" and rows[0].zone == "E1"
+    assert rows[1].firm == "Beta, Gamma and Co"
+    assert rows[2].place == "Malmö"
     assert dict(df.dtypes)["row_index"] == "int"
 
 
 def test_csv_inferred(spark, tmp_dir):
-    path = write_text(os.path.join(tmp_dir, "a.csv"), ["fname,lname,age", "Jean,Perrin,50", "Liz,Doe,40"])
+    path = write_text(os.path.join(tmp_dir, "a.csv"), ["item,maker,weight", "bolt,acme,50", "nut,zenith,40"])
     df = read_csv_inferred(spark, path)
-    assert dict(df.dtypes) == {"fname": "string", "lname": "string", "age": "int"}
+    assert dict(df.dtypes) == {"item": "string", "maker": "string", "weight": "int"}
 
 
 def test_json_nested(spark, tmp_dir):
     path = write_text(os.path.join(tmp_dir, "r.json"), [
-        '{"fields": {"id": "a1", "premise_name": "X", "type_description": "1 - Restaurant", "geolocation": [35.9, -78.9]}, "recordid": "r1"}',
-        '{"fields": {"id": "a2", "premise_name": "Y", "type_description": "Food Stand", "geolocation": []}, "recordid": "r2"}',
+        '{"body": {"id": "a1", "kind_path": "top - leaf", "measures": [1.5, -2.5]}, "ref": "r1"}',
+        '{"body": {"id": "a2", "kind_path": "top", "measures": []}, "ref": "r2"}',
     ])
     from castlens.functions import array_get, split_get
     df = read_json(spark, path).select(
-        F.col("fields.id").alias("id"), split_get("fields.type_description", " - ", 1).alias("type"),
-        array_get("fields.geolocation", 0).alias("geoX"), array_get("fields.geolocation", 1).alias("geoY"))
+        F.col("body.id").alias("id"), split_get("body.kind_path", " - ", 1).alias("leaf"),
+        array_get("body.measures", 0).alias("m0"), array_get("body.measures", 1).alias("m1"))
     rows = {r.id: r for r in df.collect()}
-    assert rows["a1"].type == "Restaurant" and rows["a1"].geoY == -78.9
-    assert rows["a2"].type is None and rows["a2"].geoX is None
+    assert rows["a1"].leaf == "leaf" and rows["a1"].m1 == -2.5
+    assert rows["a2"].leaf is None and rows["a2"].m0 is None
 
 
 def test_rows_to_dataframe(spark):
-    df = rows_to_dataframe(spark, [["Jean"], ["Liz"], ["Pierre"], ["Lauric"]], "name string")
-    assert [r.name for r in df.collect()] == ["Jean", "Liz", "Pierre", "Lauric"]
+    df = rows_to_dataframe(spark, [["seed"], ["second"], ["third"]], "name string")
+    assert [r.name for r in df.collect()] == ["seed", "second", "third"]
 
 
 def _lines(path):
@@ -139,3 +139,44 @@ def test_stage_gzip_dump_into_many_files(spark, tmp_dir):
     staged = stage_to_parquet(spark, raw, PRINCIPALS_SCHEMA, out, num_files=4)
     assert staged.count() == 500
     assert len(glob.glob(os.path.join(out, "part-*.parquet"))) == 4
+
+
+ODD = [None, "", " ", " lead", "trail ", "a\tb", "a\nb", "a\r\nb", "\\", "\\N", "\\\\N", "\\t", "\\e", "\x0bfoo", "foo", '"q"', "a\\", "#c", "\u2028x",
+       "\x00", "é\\n\n"]
+
+
+def test_text_fields_round_trip(spark, tmp_dir):
+    """Whatever a string holds, the delimited and the key-value writers give it back, alone in a row or not."""
+    import itertools
+    rows = [(i, a, b) for i, (a, b) in enumerate(itertools.product(ODD, ODD))]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    path = os.path.join(tmp_dir, "odd")
+    write_delimited(df, path)
+    back = read_delimited(spark, path, df.schema, escaped=True)
+    assert sorted((r.i, r.a, r.b) for r in back.collect() if r.a is not None and r.b is not None) == \
+        sorted(r for r in rows if None not in r)
+    assert {r.i for r in back.where("a is null").collect()} == {i for i, a, _ in rows if a is None}
+    one = spark.createDataFrame([(a,) for a in ODD], "a string")
+    write_delimited(one, os.path.join(tmp_dir, "one"))
+    got = [r.a for r in read_delimited(spark, os.path.join(tmp_dir, "one"), "a string", escaped=True).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, ODD))
+    keys = spark.createDataFrame([(a, i) for i, a in enumerate(ODD)], "k string, v bigint")
+    write_keyvalue(keys, os.path.join(tmp_dir, "kv2"), "k", "v")
+    assert {r.v: r.k for r in read_keyvalue(spark, os.path.join(tmp_dir, "kv2"), "k string, v bigint").collect()} == dict(enumerate(ODD))
+
+
+def test_text_positional_strip_and_literal_separator(spark, tmp_dir):
+    path = write_text(os.path.join(tmp_dir, "s.txt"), ["\ttt1\t5.0\t", "tt2\t6.0"])
+    rows = [(r.t, r.x) for r in read_text_positional(spark, path, {"t": 0, "x": 1}, strip=True).collect()]
+    assert rows == [("tt1", "5.0"), ("tt2", "6.0")]
+    path = write_text(os.path.join(tmp_dir, "p.txt"), ["a|b", "c.d|e"])
+    rows = [(r.t, r.x) for r in read_text_positional(spark, path, {"t": 0, "x": 1}, sep="|").collect()]
+    assert rows == [("a", "b"), ("c.d", "e")]
+
+
+def test_clear_scratch(spark):
+    from castlens.session import clear_scratch, scratch_path
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path.replace("file:", ""))
