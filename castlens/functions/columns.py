@@ -38,13 +38,18 @@ def array_get(col: str | Column, index: int) -> Column:
     return F.get(_c(col), index)
 
 
-def safe_double(col: str | Column) -> Column:
-    """Text → double; unparsable text becomes null instead of failing the job."""
-    return F.expr(f"try_cast({_sql(col)} AS DOUBLE)") if isinstance(col, str) else col.try_cast("double")
+# A decimal number with optional sign, fraction and exponent; blanks around it are allowed. Fixed value.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
 
+def safe_double(col: str | Column) -> Column:
+    """Text → double; text that is no decimal number becomes null instead of failing the job.
 
-def _sql(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    Type suffixes (``1d``), digit separators (``1_0``), hex, ``NaN`` and infinities are not numbers here: a
+    NaN would spread through every average it enters.
+    """
+    c = _c(col)
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def midpoint(a: str | Column, b: str | Column) -> Column:
@@ -53,8 +58,8 @@ def midpoint(a: str | Column, b: str | Column) -> Column:
 
 
 def word_tokens(text: str | Column, pattern: str = WORD_SEPARATORS) -> Column:
-    """Array of the non-empty tokens of ``text`` split on ``pattern``."""
-    return F.filter(F.split(_c(text), pattern, -1), lambda w: w != F.lit(""))
+    """Array of the tokens of ``text`` split on ``pattern``; it may hold empty ones at the ends."""
+    return F.split(_c(text), pattern, -1)
 
 
 def stable_bucket(col: str | Column, n_buckets: Column | int) -> Column:

@@ -5,6 +5,8 @@ set difference and the ordered subset."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ def with_midpoint(df: DataFrame, low: str, high: str, out: str = "avg",
 
 
 def with_sql_columns(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
-    """Add columns given as SQL expressions, e.g. ``{"avg": "(lcl + ucl) / 2"}``.
+    """Add columns given as SQL expressions, e.g. ``{"mid": "(low + high) / 2"}``.
 
     Parsed by Spark into ordinary expressions (same plan as the Column API).
     """
@@ -103,13 +105,15 @@ def set_difference(left: DataFrame, right: DataFrame, on: Sequence[str] | None =
     """Rows of ``left`` whose key is not in ``right``.
 
     ``distinct=True`` is SQL ``EXCEPT`` (set); ``False`` keeps left's duplicates
-    (anti join). ``on`` defaults to all columns.
+    (anti join). ``on`` defaults to all columns; nulls equal nulls, as in ``EXCEPT``.
+    Both sides are made distinct before they meet, so a key with very many rows
+    is one row per task in the shuffle.
     """
     cols = list(on or left.columns)
-    if distinct and on is None:
-        return left.subtract(right)
-    out = left.join(right.select(*cols), cols, "left_anti")
-    return out.distinct() if distinct else out
+    l = (left.distinct() if distinct else left).alias("l")
+    r = right.select(*cols).distinct().alias("r")
+    same = reduce(and_, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in cols])
+    return l.join(r, same, "left_anti")
 
 
 def first_n(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:

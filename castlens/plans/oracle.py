@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from castlens.constants import UNREACHED
 from castlens.plans.tables import (ACTING_ROLES, BFS_DEPTH, BFS_SOURCE, CHUNK_SIZE, GRAPH_ROLES,
-                                   REPLICAS, SINGLE_ROLE)
+                                   REPLICAS, SINGLE_ROLE, SMALL_CHUNK)
 
 
 def _in(roles) -> str:
@@ -75,15 +75,26 @@ WORD_COUNT_SQL = f"SELECT word, COUNT(*) AS count FROM ({_WORDS}) GROUP BY word"
 
 
 def _midpoint_cols() -> str:
-    return "lcl, ucl, (lcl + ucl) / 2 AS avg, lcl AS lcl2, ucl AS ucl2"
+    return "low, high, (low + high) / 2 AS mid, low AS low_copy, high AS high_copy"
 
 
-_PARTIES = """SELECT *, county || '_' || datasetId AS id FROM (
-  SELECT CAST(c_custkey AS VARCHAR) AS datasetId, c_name AS name, c_nationkey AS nation, c_acctbal AS balance,
-         'customers' AS county, CAST(NULL AS VARCHAR) AS dateEnd FROM customer
+_PARTIES = """SELECT *, origin || '_' || party_key AS id FROM (
+  SELECT CAST(c_custkey AS VARCHAR) AS party_key, c_name AS name, c_nationkey AS nation, c_acctbal AS balance,
+         'customer' AS origin, CAST(NULL AS VARCHAR) AS closed_on FROM customer
   UNION ALL BY NAME
-  SELECT s_acctbal AS balance, s_nationkey AS nation, s_name AS name, CAST(s_suppkey AS VARCHAR) AS datasetId,
-         'suppliers' AS county, CAST(NULL AS VARCHAR) AS dateEnd FROM supplier)"""
+  SELECT s_acctbal AS balance, s_nationkey AS nation, s_name AS name, CAST(s_suppkey AS VARCHAR) AS party_key,
+         'supplier' AS origin, CAST(NULL AS VARCHAR) AS closed_on FROM supplier)"""
+
+
+def _casts(roles, size: int) -> str:
+    return f"""
+WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(roles)}) GROUP BY title, person),
+s AS (SELECT title, CAST(ceil(count(*) / {size}) AS BIGINT) AS n_chunks FROM per GROUP BY title)
+SELECT per.title, CAST(('0x' || substr(md5(CAST(per.person AS VARCHAR)), 1, 8)) AS BIGINT) % s.n_chunks AS chunk,
+       list(per.person ORDER BY per.person) AS persons,
+       list(per.c ORDER BY per.person) AS counts
+FROM per JOIN s ON per.title = s.title
+GROUP BY 1, 2"""
 
 
 ORACLE: dict[str, str] = {
@@ -96,17 +107,8 @@ SELECT CAST(l.l_partkey AS VARCHAR) AS nconst,
        CAST(SUM(CAST(ROUND(o.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / COUNT(o.o_totalprice) / 100 AS avgRating
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 GROUP BY l.l_partkey""",
-    "cast_list_per_title": f"""
-WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(ACTING_ROLES)}) GROUP BY title, person),
-s AS (SELECT title, count(*) AS n FROM per GROUP BY title)
-SELECT per.title,
-       CAST(CASE WHEN s.n <= {CHUNK_SIZE} THEN 0
-            ELSE CAST(('0x' || substr(md5(CAST(per.person AS VARCHAR)), 1, 8)) AS BIGINT)
-                 % CAST(ceil(s.n / {CHUNK_SIZE}) AS BIGINT) END AS BIGINT) AS chunk,
-       list(per.person ORDER BY per.person) AS persons,
-       list(per.c ORDER BY per.person) AS counts
-FROM per JOIN s ON per.title = s.title
-GROUP BY 1, 2""",
+    "cast_list_per_title": _casts(ACTING_ROLES, CHUNK_SIZE),
+    "cast_list_per_title_chunked": _casts(None, SMALL_CHUNK),
     "title_pair_stats": f"""
 WITH per AS (SELECT title, person, count(*) AS c FROM ({_credits(ACTING_ROLES)}) GROUP BY title, person)
 SELECT title, CAST(sum(c) AS BIGINT) AS n_credits, count(*) AS n_persons,
@@ -143,7 +145,7 @@ FROM customer""",
        'N' || s_nationkey AS nation, s_acctbal AS acctbal, CAST(s_suppkey AS INTEGER) AS id
 FROM supplier""",
     "scan_json_nested": """SELECT event_id, user_id, event_type AS type, CAST(NULL AS VARCHAR) AS subtype,
-       value AS geoX, CAST(user_id AS DOUBLE) AS geoY, CAST(NULL AS DOUBLE) AS geoZ FROM events""",
+       value AS amount, CAST(user_id AS DOUBLE) AS actor, CAST(NULL AS DOUBLE) AS extra FROM events""",
     "json_nested_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "sink_text_rows": "SELECT '[' || l_orderkey || ',' || count(*) || ']' AS value FROM lineitem GROUP BY l_orderkey",
     "sink_tuple_rows": _bfs_capped_body(GRAPH_ROLES)
@@ -156,10 +158,10 @@ FROM supplier""",
 FROM lineitem ORDER BY 1, 2, 3, 4 LIMIT 20""",
     "concat_key": """SELECT c_custkey, c_mktsegment, c_nationkey, c_mktsegment || '_cust_' || c_custkey AS id
 FROM customer""",
-    "rename_add_drop": """SELECT c_custkey AS datasetId, c_name AS name, c_nationkey AS nation, c_mktsegment AS type,
-       'customers' AS county, CAST(NULL AS VARCHAR) AS dateEnd FROM customer""",
+    "rename_add_drop": """SELECT c_custkey AS party_key, c_name AS name, c_nationkey AS nation, c_mktsegment AS type,
+       'customer' AS origin, CAST(NULL AS VARCHAR) AS closed_on FROM customer""",
     "derived_midpoint": f"""SELECT l_orderkey, l_linenumber, l_partkey, {_midpoint_cols()}
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS lcl, l_tax AS ucl FROM lineitem)""",
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS low, l_tax AS high FROM lineitem)""",
     "split_get_item": """SELECT c_custkey, split_part(c_name, '#', 1) AS prefix,
        CASE WHEN len(string_split(c_name, '#')) >= 2 THEN string_split(c_name, '#')[2] END AS number,
        CASE WHEN len(string_split(c_name, '#')) >= 3 THEN string_split(c_name, '#')[3] END AS missing
@@ -168,18 +170,24 @@ FROM customer""",
 FROM embeddings""",
     "union_by_name": _PARTIES,
     "union_csv_json": _PARTIES,
-    "union_by_name_count": f"SELECT county, count(*) AS n_rows FROM ({_PARTIES}) GROUP BY county",
+    "union_by_name_count": f"SELECT origin, count(*) AS n_rows FROM ({_PARTIES}) GROUP BY origin",
     "union_replicate": f"""SELECT s_suppkey, copy, {_midpoint_cols()}
-FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl,
+FROM (SELECT s_suppkey, s_acctbal AS low, CAST(s_nationkey AS DOUBLE) AS high,
              CAST(unnest(range(0, {REPLICAS})) AS INTEGER) AS copy FROM supplier)""",
-    "union_positional": """SELECT s_suppkey, lcl, ucl, (lcl + ucl) / 2 AS avg, lcl AS lcl2, ucl AS ucl2
-FROM (SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl FROM supplier
+    "union_positional": """SELECT s_suppkey, low, high, (low + high) / 2 AS mid, low AS low_copy, high AS high_copy
+FROM (SELECT s_suppkey, s_acctbal AS low, CAST(s_nationkey AS DOUBLE) AS high FROM supplier
       UNION ALL
-      SELECT s_suppkey, s_acctbal AS lcl, CAST(s_nationkey AS DOUBLE) AS ucl FROM supplier)""",
+      SELECT s_suppkey, s_acctbal AS low, CAST(s_nationkey AS DOUBLE) AS high FROM supplier)""",
     "stream_stage_to_parquet": PRINCIPALS_SQL,
     "set_difference": f"""SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)}
 EXCEPT
 SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus = '{SINGLE_ROLE}'""",
-    "safe_cast_count": """SELECT count(*) AS n_rows, count(x) AS n_numeric, count(*) - count(x) AS n_bad
-FROM (SELECT TRY_CAST(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')[1] AS DOUBLE) AS x FROM documents)""",
+    "safe_cast_count": f"""SELECT count(*) AS n_tokens, count(x) AS n_numeric, count(*) - count(x) AS n_bad
+FROM (SELECT CASE WHEN regexp_full_match(word, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+             THEN TRY_CAST(word AS DOUBLE) END AS x FROM ({_WORDS}))""",
+    "partition_skew_report": """SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys, true AS in_range,
+       true AS keys_together FROM lineitem""",
+    "sink_text_round_trip": r"""SELECT doc_id, text, ' ' || chr(9) || '\' || text || '\N' || chr(13) || chr(10) || ' ' AS odd,
+       '' AS empty, '\N' AS marker FROM documents""",
 }
+ORACLE["scan_json_declared"] = ORACLE["scan_json_nested"]

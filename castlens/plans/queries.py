@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from castlens.constants import HEADER_KEY
-from castlens.functions.columns import array_get, concat_key, safe_double, split_get
+from castlens.functions.columns import array_get, concat_key, safe_double, split_get, word_tokens
 from castlens.operators import graph as G
-from castlens.operators.partitions import partition_skew_report, repartition, spread_small_input
+from castlens.operators.partitions import partition_summary, repartition
 from castlens.operators.ratings import average_metric_per_person
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
                                         union_all, union_by_name, with_key, with_midpoint,
                                         with_sql_columns)
 from castlens.operators.text import word_count
 from castlens.plans.tables import (ACTING_ROLES, BFS_DEPTH, BFS_SOURCE, CHUNK_SIZE, GRAPH_ROLES,
-                                   MONEY_SCALE, REPLICAS, SINGLE_ROLE, principals, ratings, table)
+                                   MONEY_SCALE, REPLICAS, SINGLE_ROLE, SMALL_CHUNK, principals, ratings,
+                                   table)
 from castlens.session import scratch_path
 from castlens.streaming.ingest import stage_stream
 from castlens.sources.readers import (read_csv_clean, read_csv_inferred, read_delimited, read_json,
-                                      read_text_positional)
+                                      read_text_positional, unescape)
 from castlens.sources.sinks import (stage_to_parquet, write_delimited, write_keyvalue,
                                     write_text_rows)
 
@@ -53,7 +54,7 @@ def avg_metric_all_roles(spark, sf_dir):
     # every role; one rating per title (the last by rated_at), as a lookup join
     return average_metric_per_person(
         principals(spark, sf_dir), ratings(spark, sf_dir), roles=None,
-        dedupe_order_by="rated_at", exact_scale=MONEY_SCALE, broadcast_ratings=True)
+        dedupe_order_by="rated_at", exact_scale=MONEY_SCALE)
 
 
 def avg_metric_role_filter(spark, sf_dir):
@@ -66,17 +67,20 @@ def avg_metric_role_filter(spark, sf_dir):
 def avg_metric_text_side_file(spark, sf_dir):
     """The line-oriented variant: credits and ratings as raw text lines split by
     position, header lines skipped wherever they occur (the ratings side file by
-    prefix), rating text parsed leniently; every role, ratings as a lookup side."""
+    prefix), rating text parsed leniently; every role, ratings as a lookup side.
+    The side file rates every title twice, a wrong rating on the line before the
+    right one, and the last line of a title wins."""
     credits_path = scratch_path(spark, "principals_lines")
     write_delimited(principals(spark, sf_dir), credits_path)
     ratings_path = scratch_path(spark, "ratings_lines")
-    write_delimited(ratings(spark, sf_dir).select("tconst", "averageRating"), ratings_path)
+    twice = F.explode(F.array(F.col("averageRating") + 1000, F.col("averageRating")))
+    write_delimited(ratings(spark, sf_dir).select("tconst", twice.alias("averageRating")), ratings_path)
     cr = read_text_positional(spark, credits_path, {"tconst": 0, "nconst": 2},
                               header_field="tconst", header_value=HEADER_KEY)
     rt = read_text_positional(spark, ratings_path, {"tconst": 0, "rating": 1},
-                              header_prefix=HEADER_KEY, strip=True)
-    rt = rt.select("tconst", safe_double("rating").alias("averageRating"))
-    return average_metric_per_person(cr, rt, roles=None, exact_scale=MONEY_SCALE)
+                              header_prefix=HEADER_KEY, strip=True, line_order="line")
+    rt = rt.select("tconst", safe_double("rating").alias("averageRating"), "line")
+    return average_metric_per_person(cr, rt, roles=None, exact_scale=MONEY_SCALE, dedupe_order_by="line")
 
 
 # --------------------------------------------------------------------------- graph
@@ -89,6 +93,11 @@ def cast_list_per_title(spark, sf_dir):
     return G.cast_lists(_credits(spark, sf_dir, ACTING_ROLES), chunk_size=CHUNK_SIZE)
 
 
+def cast_list_per_title_chunked(spark, sf_dir):
+    # lists of about four persons: most titles have several chunks
+    return G.cast_lists(_credits(spark, sf_dir), chunk_size=SMALL_CHUNK)
+
+
 def title_pair_stats(spark, sf_dir):
     return G.title_pair_stats(_credits(spark, sf_dir, ACTING_ROLES))
 
@@ -113,12 +122,10 @@ def bfs_distance_full_all_roles(spark, sf_dir):
 
 
 def bfs_distance_full_indexed(spark, sf_dir):
-    """The big-graph strategy forced on the driver tables: salted, co-partitioned
-    cached edge copies and shuffled lookups instead of broadcasts (persons with
-    more than 16 titles count as hot and are salted). Same answer as the
-    all-roles search, so the oracle checks this code path as well."""
+    """The all-roles search with a salt for every four edges, so that most persons
+    and many titles are split, and finished levels written two at a time."""
     return _credits(spark, sf_dir).transform(G.bipartite_edges).transform(
-        G.bfs_distances, BFS_SOURCE, broadcast_max_rows=0, index_min_rows=0, hot_rows=16)
+        G.bfs_distances, BFS_SOURCE, hot_rows=4, compact_levels=2)
 
 
 def bfs_distance_capped(spark, sf_dir):
@@ -141,7 +148,7 @@ def bfs_distance_gathered(spark, sf_dir):
 # --------------------------------------------------------------------------- text
 
 def word_count_documents(spark, sf_dir):
-    return word_count(spread_small_input(table(spark, sf_dir, "documents").select("text")), "text")
+    return word_count(table(spark, sf_dir, "documents").select("text"), "text")
 
 
 # --------------------------------------------------------------------------- sources / sinks
@@ -198,26 +205,40 @@ def scan_csv_clean(spark, sf_dir):
     return read_csv_clean(spark, path, index_name="row_index")
 
 
+def _nested_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.struct("event_id", "user_id", F.concat(F.col("event_type"), F.lit(" - "), F.col("event_type"))
+                 .alias("kind_path")).alias("body"),
+        F.array(F.col("value"), F.col("user_id").cast("double")).alias("measures"),
+    )
+
+
 def scan_json_nested(spark, sf_dir):
     """Events as nested JSON records (struct + array), read back with an
     inferred schema and flattened by path."""
     path = scratch_path(spark, "events_json")
-    ev = table(spark, sf_dir, "events")
-    nested = ev.select(
-        F.struct("event_id", "user_id", F.concat(F.col("event_type"), F.lit(" - "), F.col("event_type"))
-                 .alias("type_description")).alias("fields"),
-        F.array(F.col("value"), F.col("user_id").cast("double")).alias("geolocation"),
-    )
+    nested = _nested_events(spark, sf_dir)
     nested.write.mode("overwrite").json(path)
-    df = read_json(spark, path)
+    return _flat_events(read_json(spark, path))
+
+
+def scan_json_declared(spark, sf_dir):
+    """The same records with a declared schema: no inference pass."""
+    path = scratch_path(spark, "events_json_declared")
+    _nested_events(spark, sf_dir).write.mode("overwrite").json(path)
+    return _flat_events(read_json(
+        spark, path, "body STRUCT<event_id BIGINT, user_id BIGINT, kind_path STRING>, measures ARRAY<DOUBLE>"))
+
+
+def _flat_events(df):
     return df.select(
-        F.col("fields.event_id").alias("event_id"),
-        F.col("fields.user_id").alias("user_id"),
-        split_get("fields.type_description", " - ", 1).alias("type"),
-        split_get("fields.type_description", " - ", 2).alias("subtype"),
-        array_get("geolocation", 0).alias("geoX"),
-        array_get("geolocation", 1).alias("geoY"),
-        array_get("geolocation", 2).alias("geoZ"),
+        F.col("body.event_id").alias("event_id"),
+        F.col("body.user_id").alias("user_id"),
+        split_get("body.kind_path", " - ", 1).alias("type"),
+        split_get("body.kind_path", " - ", 2).alias("subtype"),
+        array_get("measures", 0).alias("amount"),
+        array_get("measures", 1).alias("actor"),
+        array_get("measures", 2).alias("extra"),
     )
 
 
@@ -241,7 +262,16 @@ def sink_keyvalue_overwrite(spark, sf_dir):
     write_keyvalue(wc, path, "word", "count")
     write_keyvalue(wc, path, "word", "count", mode="overwrite")   # a rerun replaces the output
     kv = read_text_positional(spark, path, {"word": 0, "count": 1})
-    return kv.select("word", F.col("count").cast("bigint").alias("count"))
+    return kv.select(unescape("word").alias("word"), F.col("count").cast("bigint").alias("count"))
+
+
+def sink_text_round_trip(spark, sf_dir):
+    """Free text (newlines, tabs, blanks at the ends, backslashes) through the delimited writer and back."""
+    path = scratch_path(spark, "documents_tsv")
+    d = table(spark, sf_dir, "documents")
+    odd = F.concat(F.lit(" \t\\"), F.col("text"), F.lit("\\N\r\n "))
+    write_delimited(d.select("doc_id", "text", odd.alias("odd"), F.lit("").alias("empty"), F.lit("\\N").alias("marker")), path)
+    return read_delimited(spark, path, "doc_id BIGINT, text STRING, odd STRING, empty STRING, marker STRING", escaped=True)
 
 
 def sink_json_keyvalue(spark, sf_dir):
@@ -257,7 +287,8 @@ def subset_first_n(spark, sf_dir):
 
 
 def partition_skew_report_q(spark, sf_dir):
-    return partition_skew_report(repartition(principals(spark, sf_dir), 8, ["tconst"]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return partition_summary(principals(spark, sf_dir), n, ["tconst"])
 
 
 # --------------------------------------------------------------------------- shaping
@@ -271,16 +302,16 @@ def concat_key_q(spark, sf_dir):
 def rename_add_drop_q(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return rename_add_drop(
-        c, renames={"c_custkey": "datasetId", "c_name": "name", "c_nationkey": "nation",
+        c, renames={"c_custkey": "party_key", "c_name": "name", "c_nationkey": "nation",
                     "c_acctbal": "balance", "c_mktsegment": "type"},
-        constants={"county": "customers"}, null_columns={"dateEnd": "string"}, drop=["balance"])
+        constants={"origin": "customer"}, null_columns={"closed_on": "string"}, drop=["balance"])
 
 
 def derived_midpoint(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.col("l_discount").alias("lcl"), F.col("l_tax").alias("ucl"))
-    return with_midpoint(li, "lcl", "ucl", "avg", copies={"lcl2": "lcl", "ucl2": "ucl"})
+        F.col("l_discount").alias("low"), F.col("l_tax").alias("high"))
+    return with_midpoint(li, "low", "high", "mid", copies={"low_copy": "low", "high_copy": "high"})
 
 
 def split_get_item(spark, sf_dir):
@@ -306,16 +337,16 @@ def _common_parties(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     s = table(spark, sf_dir, "supplier")
     cust = rename_add_drop(
-        c, renames={"c_custkey": "datasetId", "c_name": "name", "c_nationkey": "nation",
+        c, renames={"c_custkey": "party_key", "c_name": "name", "c_nationkey": "nation",
                     "c_acctbal": "balance"},
-        constants={"county": "customers"}, null_columns={"dateEnd": "string"}, drop=["c_mktsegment"])
+        constants={"origin": "customer"}, null_columns={"closed_on": "string"}, drop=["c_mktsegment"])
     supp = rename_add_drop(
         s.select("s_acctbal", "s_nationkey", "s_name", "s_suppkey"),   # other column order on purpose
-        renames={"s_suppkey": "datasetId", "s_name": "name", "s_nationkey": "nation",
+        renames={"s_suppkey": "party_key", "s_name": "name", "s_nationkey": "nation",
                  "s_acctbal": "balance"},
-        constants={"county": "suppliers"}, null_columns={"dateEnd": "string"})
-    u = union_by_name([cust, supp], to_string=["datasetId"])
-    return u.withColumn("id", concat_key("county", F.lit("_"), "datasetId"))
+        constants={"origin": "supplier"}, null_columns={"closed_on": "string"})
+    u = union_by_name([cust, supp], to_string=["party_key"])
+    return u.withColumn("id", concat_key("origin", F.lit("_"), "party_key"))
 
 
 def union_by_name_q(spark, sf_dir):
@@ -329,33 +360,33 @@ def union_csv_json(spark, sf_dir):
     table(spark, sf_dir, "customer").write.mode("overwrite").option("header", "true").csv(csv_path)
     json_path = scratch_path(spark, "suppliers_json")
     s = table(spark, sf_dir, "supplier")
-    s.select(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("premise_name"),
-                      F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")).alias("fields"),
-             F.col("s_suppkey").cast("string").alias("recordid")) \
+    s.select(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"),
+                      F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")).alias("body"),
+             F.col("s_suppkey").cast("string").alias("ref")) \
         .write.mode("overwrite").json(json_path)
     cust = rename_add_drop(
         read_csv_inferred(spark, csv_path),
-        renames={"c_custkey": "datasetId", "c_name": "name", "c_nationkey": "nation", "c_acctbal": "balance"},
-        constants={"county": "customers"}, null_columns={"dateEnd": "string"}, drop=["c_mktsegment"])
-    cust = repartition(cust, 4)
+        renames={"c_custkey": "party_key", "c_name": "name", "c_nationkey": "nation", "c_acctbal": "balance"},
+        constants={"origin": "customer"}, null_columns={"closed_on": "string"}, drop=["c_mktsegment"])
+    cust = repartition(cust, int(spark.conf.get("spark.sql.shuffle.partitions")))
     j = read_json(spark, json_path)
     supp = j.select(
-        F.col("fields.id").alias("datasetId"), F.col("fields.premise_name").alias("name"),
-        F.col("fields.nation").cast("int").alias("nation"), F.col("fields.balance").alias("balance"),
-        F.lit("suppliers").alias("county"), F.lit(None).cast("string").alias("dateEnd"))
-    u = union_by_name([cust, supp], to_string=["datasetId"])
-    return u.withColumn("id", concat_key("county", F.lit("_"), "datasetId"))
+        F.col("body.id").alias("party_key"), F.col("body.label").alias("name"),
+        F.col("body.nation").cast("int").alias("nation"), F.col("body.balance").alias("balance"),
+        F.lit("supplier").alias("origin"), F.lit(None).cast("string").alias("closed_on"))
+    u = union_by_name([cust, supp], to_string=["party_key"])
+    return u.withColumn("id", concat_key("origin", F.lit("_"), "party_key"))
 
 
 def union_by_name_count(spark, sf_dir):
-    return _common_parties(spark, sf_dir).groupBy("county").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _common_parties(spark, sf_dir).groupBy("origin").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def union_replicate(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_acctbal").alias("lcl"), F.col("s_nationkey").cast("double").alias("ucl"))
+        "s_suppkey", F.col("s_acctbal").alias("low"), F.col("s_nationkey").cast("double").alias("high"))
     rep = replicate(s, REPLICAS, copy_col="copy")
-    return with_midpoint(rep, "lcl", "ucl", "avg", copies={"lcl2": "lcl", "ucl2": "ucl"})
+    return with_midpoint(rep, "low", "high", "mid", copies={"low_copy": "low", "high_copy": "high"})
 
 
 def union_positional(spark, sf_dir):
@@ -363,15 +394,14 @@ def union_positional(spark, sf_dir):
     columns on top (one scan per union input, projections collapsed)."""
     s = table(spark, sf_dir, "supplier").select(
         "s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nation"))
-    u = union_all([s, s]).withColumnsRenamed({"s_acctbal": "lcl", "s_nation": "ucl"})
-    return with_sql_columns(u, {"avg": "(lcl + ucl) / 2", "lcl2": "lcl", "ucl2": "ucl"})
+    u = union_all([s, s]).withColumnsRenamed({"s_acctbal": "low", "s_nation": "high"})
+    return with_sql_columns(u, {"mid": "(low + high) / 2", "low_copy": "low", "high_copy": "high"})
 
 
 def stream_stage_to_parquet(spark, sf_dir):
     landing = scratch_path(spark, "landing")
     write_delimited(principals(spark, sf_dir), landing)
-    return stage_stream(spark, landing, PRINCIPALS_TYPED, scratch_path(spark, "staged"),
-                        max_files_per_trigger=4)
+    return stage_stream(spark, landing, PRINCIPALS_TYPED, scratch_path(spark, "staged"))
 
 
 def set_difference_q(spark, sf_dir):
@@ -381,10 +411,10 @@ def set_difference_q(spark, sf_dir):
 
 
 def safe_cast_count(spark, sf_dir):
-    """Text → number with bad text counted instead of failing (the mapper's float())."""
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", safe_double(split_get("text", "[ \t\n\r\f]+", 0)).alias("x"))
-    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("n_numeric"),
+    """Text → number with bad text counted instead of failing (the mapper's float()), over every token."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(word_tokens("text")).alias("t")).where(F.col("t") != F.lit(""))
+    d = tokens.select(safe_double("t").alias("x"))
+    return d.agg(F.count(F.lit(1)).alias("n_tokens"), F.count("x").alias("n_numeric"),
                  (F.count(F.lit(1)) - F.count("x")).alias("n_bad"))
 
 
@@ -395,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "avg_metric_role_filter": avg_metric_role_filter,
     "avg_metric_text_side_file": avg_metric_text_side_file,
     "cast_list_per_title": cast_list_per_title,
+    "cast_list_per_title_chunked": cast_list_per_title_chunked,
     "title_pair_stats": title_pair_stats,
     "neighbour_slots": neighbour_slots,
     "bfs_distance_full": bfs_distance_full,
@@ -417,6 +448,8 @@ QUERIES: dict[str, Query] = {
     "sink_tuple_rows": sink_tuple_rows,
     "sink_keyvalue_overwrite": sink_keyvalue_overwrite,
     "sink_json_keyvalue": sink_json_keyvalue,
+    "sink_text_round_trip": sink_text_round_trip,
+    "scan_json_declared": scan_json_declared,
     "subset_first_n": subset_first_n,
     "partition_skew_report": partition_skew_report_q,
     "concat_key": concat_key_q,

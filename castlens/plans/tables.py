@@ -26,6 +26,7 @@ GRAPH_ROLES = ("RF",)           # roles whose credits form the BFS graph
 BFS_SOURCE = 0                  # the search origin (smallest connected person key)
 BFS_DEPTH = DEFAULT_DEPTH       # depth limit of the capped search
 CHUNK_SIZE = 100_000            # max persons per cast-list row
+SMALL_CHUNK = 4                 # the same, small enough that the driver tables have chunked titles
 MONEY_SCALE = 2                 # o_totalprice has cents: sums are taken in exact cents
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -31,7 +31,8 @@ def test_entry_runs(spark):
 def test_registry_and_oracle_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"partition_skew_report"}
+    for name in set(q) - set(o):      # only what SQL cannot express has no oracle
+        assert name == "pipeline" or name.startswith("op"), name
 
 
 def _norm(v):
