@@ -162,8 +162,8 @@ def _words(batches):
 
 
 def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of one shard, in order of their place in the corpus: for each of their windows in the mask, its
-    segment, its number, and whether it also starts earlier. The shard's FM-index is built and searched here."""
+    """Segments of shards, each shard's in order of their place in the corpus: for each of their windows in the mask,
+    its segment, its number, and whether it also starts earlier. The FM-index is built and searched here."""
     size = np.diff(before)
     n = len(words)
     symbols = np.unique(words, return_inverse=True)[1] + 1
@@ -190,8 +190,12 @@ def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.
 
 def _search(batches):
     """(doc, pos): runs of windows that start earlier, of the segments of each shard."""
-    for t, _ in tx.whole_groups(batches, ["anchor", "sub"], 2000):
+    for t, start in tx.whole_groups(batches, ["anchor", "sub"], 2000):
         words, before = tx.fixed(t.column("words"), np.uint64)
+        # one index serves some shards: a word is another symbol in each, so a segment that several
+        # shards of a split anchor hold meets itself in none of them
+        shard = np.repeat(np.arange(len(start) - 1, dtype=np.uint64), np.diff(start))
+        words = words ^ np.repeat(tx.mix(shard, 53), np.diff(before))
         doc, pos = t.column("doc").to_numpy(), t.column("pos").to_numpy()
         seg, number, earlier = search(words, before, t.column("mask").to_numpy())
         seg, number = seg[earlier], number[earlier]
