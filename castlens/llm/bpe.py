@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions over the bytes of distinct words.
 
-``merge_words`` is the fold: a word is an array of byte pieces (hex digits); each step looks up the ranks of
-the two pairs that the last merge changed in a literal rank map, and joins the leftmost pair of least rank.
+``merge_words`` is the fold: a word starts as the array of its bytes (as their ids); each step looks up the ranks
+of neighbours in a literal rank map and joins the leftmost pair of least rank.
 Words come from the corpus: those that occur twice or more are folded once each and their ids broadcast as a
 dictionary of bounded size; the rest are folded where they stand, once for each document that holds them.
 Splitting texts into words and laying ids out per document is numpy work inside Arrow tasks. Texts never
@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from castlens.llm import textops as tx
 from castlens.llm.frames import cut, fresh
 
-BUCKETS = 1 << 16            # of the literal rank map, so that a look-up compares one or two keys
+BUCKETS = 1 << 16            # of the literal rank map
+SPREAD = (40503, 5)          # multipliers that deal pairs of ids to buckets
 NO_RANK = 2147483647
 DICTIONARY_WORDS = 1 << 21   # at most so many words are broadcast ...
 DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 4 * 64 bytes each in the worst case
@@ -224,44 +224,50 @@ def _layout(tables):
     return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of small maps, hex digits of a token -> its rank, by crc32 of the digits."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The ranks as a literal: for each pair of tokens that joins to a token, (left << 16 | right) and the rank of
+    the joined one, in buckets so that a look-up compares one or two keys."""
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ranks must be below 65536")
+    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+    values: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        buckets[zlib.crc32(token.hex().encode()) % BUCKETS][token.hex()] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                slot = (left * SPREAD[0] + right * SPREAD[1]) % BUCKETS
+                keys[slot].append(left << 16 | right)
+                values[slot].append(rank)
+    return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<array<{t}>>")
+                 for x, t in ((keys, "bigint"), (values, "int")))
 
 
 def merge_words(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word (one piece of the split), by folding ranked merges over its bytes."""
-    table = rank_map(ranks)
-
-    def rank(piece: Column) -> Column:
-        slot = F.crc32(piece.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
-        return F.coalesce(F.element_at(F.get(table, slot), piece), F.lit(NO_RANK))
-
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-        low = F.array_min(r)
-        i = F.array_position(r, low).cast("int")
-        joined = F.concat(F.get(p, i - 1), F.get(p, i))
-        none = F.slice(r, F.lit(1), F.lit(0))
-        pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(joined), F.slice(p, i + 2, F.size(p)))
-        links = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                         F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), joined)))).otherwise(none),
-                         F.when(i < F.size(r), F.array(rank(F.concat(joined, F.get(p, i + 1))))).otherwise(none),
-                         F.slice(r, i + 2, F.size(p)))
-        return F.when(F.coalesce(low, F.lit(NO_RANK)) == NO_RANK, state).otherwise(F.struct(pieces.alias("p"), links.alias("r")))
-
-    size = F.octet_length(word)
-    digits = F.lower(F.hex(word))
-    chars = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(digits, (2 * i - 1).cast("int"), F.lit(2)))
-    begin = F.get(F.transform(F.array(chars), lambda p: F.struct(p.alias("p"), F.zip_with(
-        F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: rank(F.concat(a, F.coalesce(b, F.lit("")))))
-        .alias("r"))), 0)
-    begin = F.get(F.transform(F.array(begin), lambda s: F.struct(s["p"].alias("p"), F.slice(s["r"], F.lit(1), F.size(s["p"]) - 1).alias("r"))), 0)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step,
-                       lambda s: F.transform(s["p"], lambda x: rank(x)))
+    """The ids of a word (one piece of the split), by folding ranked merges over the ids of its bytes.
+
+    The literal map stands in the expression once: plans that name it stay small.
+    """
+    keys, values = rank_map(ranks)
+    bytes_ = F.lit([ranks[bytes([b])] for b in range(256)])
+
+    def rank(left: Column, right: Column) -> Column:
+        slot = (left * SPREAD[0] + right * SPREAD[1]).bitwiseAND(BUCKETS - 1).cast("int")
+        at = F.array_position(F.get(keys, slot), left * 65536 + right)
+        return F.coalesce(F.get(F.get(values, slot), (at - 1).cast("int")), F.lit(NO_RANK))
+
+    def step(ids: Column, _: Column) -> Column:
+        def join(links: Column) -> Column:
+            low = F.array_min(links)
+            i = F.array_position(links, low).cast("int")
+            joined = F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low.cast("bigint")), F.slice(ids, i + 2, F.size(ids)))
+            return F.when(low == NO_RANK, ids).otherwise(joined)
+        links = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank)
+        return F.when(F.size(ids) < 2, ids).otherwise(F.get(F.transform(F.array(links), join), 0))
+
+    size, digits = F.octet_length(word), F.hex(word)
+    begin = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(
+        bytes_, F.conv(F.substring(digits, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("int")).cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step, lambda ids: ids.cast("array<int>"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
