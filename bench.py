@@ -37,6 +37,8 @@ HEADLINE = [
     "bfs_distance_full",
     "bfs_distance_capped",
     "bfs_distance_full_all_roles",
+    "bfs_distance_full_indexed",
+    "set_difference",
     "word_count",
     "scan_tsv_schema",
     "stage_to_parquet",

@@ -50,6 +50,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
                    help="one rating per title: the one on the last line of the ratings file(s)")
     a.add_argument("--exact-scale", type=int, default=None,
                    help="ratings have at most this many decimals: sum them exactly (e.g. 1 for x.y ratings)")
+    a.add_argument("--keyvalue", action="store_true", help="key<TAB>value lines, the line-oriented job's layout")
     a.add_argument("--out", required=True)
 
     b = sub.add_parser("bfs", help="degrees of separation from one person")
@@ -85,8 +86,11 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
             read_principals(spark, args.principals), ratings, roles=_roles(args),
             dedupe_order_by="line_order" if args.last_rating_wins else None,
             exact_scale=args.exact_scale, sort=False)
-        write_text_rows(res, args.out, ["nconst", "avgRating"], style="list",
-                        sort_by=[F.col("avgRating").desc_nulls_last(), F.col("nconst")])
+        if args.keyvalue:
+            write_keyvalue(res, args.out, "nconst", "avgRating")
+        else:
+            write_text_rows(res, args.out, ["nconst", "avgRating"], style="list",
+                            sort_by=[F.col("avgRating").desc_nulls_last(), F.col("nconst")])
     elif args.cmd == "bfs":
         cr = G.credits(read_principals(spark, args.principals), roles=_roles(args))
         if args.depth is None:

@@ -60,6 +60,9 @@ def test_avg_rating_exact_scale(spark, tmp_dir):
     run(["avg-rating", "--principals", p, "--ratings", r, "--all-roles", "--exact-scale", "1", "--out", out],
         spark=spark)
     assert "[nm0000004,6.666666666666667]" in _lines(out)     # (8.0 + 5.0 + 7.0) / 3 from exact tenths
+    run(["avg-rating", "--principals", p, "--ratings", r, "--all-roles", "--exact-scale", "1", "--keyvalue", "--out", out],
+        spark=spark)
+    assert "nm0000004\t6.666666666666667" in _lines(out)
 
 
 def test_stage_cli(spark, tmp_dir):
