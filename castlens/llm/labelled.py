@@ -16,7 +16,7 @@ SHARD_DOCS = 2_500         # documents that one task fits on; the shards' weight
 
 def training_shards(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, *, id_col: str = "doc_id",
                     text_col: str = "text", max_docs: int = MAX_DOCS) -> tuple[DataFrame, int, int]:
-    """(shard, label, text) of at most ``max_docs`` labelled documents that satisfy ``keep``; shards; documents.
+    """(shard, label, text, order) of at most ``max_docs`` labelled documents that satisfy ``keep``; shards; documents.
 
     An id with several label rows is positive if one of them is; rows without id or label are left out.
     """
@@ -30,5 +30,6 @@ def training_shards(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     shards = max(1, math.ceil(n / SHARD_DOCS))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_CHARS)
     got = text.join(F.broadcast(lab), "id").select(
-        F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "label", "text")
+        F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "label", "text",
+        F.xxhash64("id").alias("order"))
     return cut(got, "training"), shards, n

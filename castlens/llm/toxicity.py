@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from castlens.llm import textops as tx
 from castlens.llm.labelled import MAX_DOCS, training_shards
 
-ROUNDS, EPOCHS, BATCH, RATE, DECAY = 2, 16, 64, 0.4, 1e-3
-CALM = 10.0                # squared gradient that every weight starts with: a word of few documents moves little
+ROUNDS, EPOCHS, BATCH, RATE, DECAY = 2, 20, 64, 0.5, 1e-3
+HELD = 5                   # one document in so many is kept from the weights, to set their scale and the bias
+SCALES, SHIFTS = (0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), (-1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0)
+CALM = 5.0                 # squared gradient that every weight starts with: a word of few documents moves little
 PREFIXES = (4, 5, 6, 7)
 MIN_DF = 3                 # documents of a shard that hold a feature before it gets a weight
+MAX_DF = 0.3               # part of a shard's documents that may hold a feature with a weight
 MAX_WEIGHTS = 1 << 16      # heaviest weights that a shard hands on
 SPAN = 0.5                 # sentences at or above it are reported
 
@@ -32,7 +35,8 @@ def sentences(part: np.ndarray, at: np.ndarray):
     """Feature hashes, first feature of each sentence, text of each sentence, and the sentence's bytes.
 
     Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased; their features are
-    the word and its prefixes of PREFIXES bytes, which inflected forms share (0 where a word is too short).
+    the word and its prefixes of PREFIXES bytes, which inflected forms share (0 where a word is too short, and
+    for a word that repeats the one before).
     Sentences end at ``.``, ``!``, ``?`` and newline; those without words do not count.
     """
     low = tx.LOWER[part]
@@ -42,6 +46,9 @@ def sentences(part: np.ndarray, at: np.ndarray):
     for k, size in enumerate(PREFIXES, 1):
         longer = np.flatnonzero(te - ts > size)
         h[longer, k] = tx.mix(tx.hash_spans(low, ts[longer], ts[longer] + size), size)
+    again = np.zeros(len(ts), dtype=bool)
+    again[1:] = h[1:, 0] == h[:-1, 0]
+    h[again] = 0
     doc = np.searchsorted(at, ts, side="right") - 1
     seq = np.cumsum(_STOP[low])[ts] if len(ts) else ts
     new = np.ones(len(ts), dtype=bool)
@@ -79,7 +86,7 @@ def fit_shard(texts: pa.Array, y: np.ndarray, start: dict[int, float], bias: flo
     once = np.ones(words, dtype=bool)
     once[1:] = (ho[1:] != ho[:-1]) | (do[1:] != do[:-1])
     vocab, df = np.unique(ho[once], return_counts=True)
-    vocab = vocab[(df >= MIN_DF) & (vocab != 0)]
+    vocab = vocab[(df >= MIN_DF) & (df <= MAX_DF * len(y)) & (vocab != 0)]
     idx = _lookup(h, vocab)
     v = len(vocab)
     w, acc, b, acc_b = np.zeros(v + 1), np.full(v + 1, CALM), bias, 1.0
@@ -116,8 +123,38 @@ def fit_shard(texts: pa.Array, y: np.ndarray, start: dict[int, float], bias: flo
     return dict(zip(vocab[keep].tolist(), w[keep].tolist(), strict=True)), float(b)
 
 
+def _parts(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The documents of a shard that weights are fitted on and those kept back, in order of their ids' hash."""
+    t = t.sort_by("order")
+    held = np.arange(t.num_rows) % HELD == HELD - 1
+    return t.filter(pa.array(~held)), t.filter(pa.array(held))
+
+
+def _scale_task(vocab: np.ndarray, weights: np.ndarray, bias: float):
+    """Likelihood of the documents kept back for each scale of the weights and shift of the bias."""
+    padded = np.append(weights, 0.0)
+
+    def one(t):
+        t = _parts(t)[1]
+        y = t.column("label").to_numpy()
+        data, off = tx.utf8(t.column("text"))
+        found = []
+        for a, _, part, at in tx.runs(data, off):
+            h, first, doc, _, _ = sentences(part, at)
+            if len(first):
+                found.append((a + doc, np.add.reduceat(padded[_lookup(h, vocab)], first)))
+        doc, z = (np.concatenate([x[k] for x in found]) for k in (0, 1)) if found else (np.zeros(0, int), np.zeros(0))
+        out = []
+        for k, (scale, shift) in enumerate((a, b) for a in SCALES for b in SHIFTS):
+            none = np.bincount(doc, np.logaddexp(0, bias + shift + scale * z), len(y))
+            out.append((k, float(np.where(y == 1, np.log(np.maximum(-np.expm1(-none), 1e-9)), -none).sum())))
+        return pa.table({"cell": pa.array([k for k, _ in out], pa.int32()), "fit": pa.array([f for _, f in out], pa.float64())})
+    return one
+
+
 def _shard_task(start: dict[int, float], bias: float):
     def one(t):
+        t = _parts(t)[0]
         w, b = fit_shard(t.column("text").combine_chunks(), t.column("label").to_numpy(), start, bias)
         keys = np.array(list(w), dtype=np.uint64).view(np.int64)
         return pa.table({"word": pa.array([None, *keys.tolist()], pa.int64()), "w": pa.array([b, *w.values()], pa.float64())})
@@ -126,7 +163,8 @@ def _shard_task(start: dict[int, float], bias: float):
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word hashes, their weights and the bias: each shard fits, the weights are averaged, and once more.
+    """Sorted word hashes, their weights and the bias: each shard fits, the weights are averaged, and once more;
+    then documents kept back set the scale of the weights, which averaging shrinks, and the bias.
 
     Without labels of both kinds there are no weights, and the score is the share of positive labels.
     """
@@ -142,7 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "t
         bias = next(r.w for r in got if r.word is None)
         start = {r.word & 0xFFFFFFFFFFFFFFFF: r.w for r in got if r.word is not None}
     vocab = np.array(sorted(start), dtype=np.uint64)
-    return vocab, np.array([start[x] for x in vocab.tolist()]), bias
+    weights = np.array([start[x] for x in vocab.tolist()])
+    fits = (sample.groupBy("shard").applyInArrow(_scale_task(vocab, weights, bias), "cell int, fit double")
+            .groupBy("cell").agg(F.sum("fit").alias("fit")).collect())
+    cell = max(fits, key=lambda r: (r.fit, -r.cell)).cell
+    return vocab, weights * SCALES[cell // len(SHIFTS)], bias + SHIFTS[cell % len(SHIFTS)]
 
 
 def scorer(vocab: np.ndarray, weights: np.ndarray, bias: float):
