@@ -21,7 +21,7 @@ SCALES, SHIFTS = (0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), (-1.0, 0.0, 1.0, 2.0, 3.
 CALM = 5.0                 # squared gradient that every weight starts with: a word of few documents moves little
 PREFIXES = (4, 5, 6, 7)
 MIN_DF = 3                 # documents of a shard that hold a feature before it gets a weight
-MAX_DF = 0.3               # part of a shard's documents that may hold a feature with a weight
+MAX_DF = 0.3               # part of a shard's documents, or twice the positive ones, that may hold a feature with a weight
 MAX_WEIGHTS = 1 << 16      # heaviest weights that a shard hands on
 SPAN = 0.5                 # sentences at or above it are reported
 
@@ -86,7 +86,7 @@ def fit_shard(texts: pa.Array, y: np.ndarray, start: dict[int, float], bias: flo
     once = np.ones(words, dtype=bool)
     once[1:] = (ho[1:] != ho[:-1]) | (do[1:] != do[:-1])
     vocab, df = np.unique(ho[once], return_counts=True)
-    vocab = vocab[(df >= MIN_DF) & (df <= MAX_DF * len(y)) & (vocab != 0)]
+    vocab = vocab[(df >= MIN_DF) & (df <= max(MAX_DF * len(y), 2 * y.sum())) & (vocab != 0)]
     idx = _lookup(h, vocab)
     v = len(vocab)
     w, acc, b, acc_b = np.zeros(v + 1), np.full(v + 1, CALM), bias, 1.0
