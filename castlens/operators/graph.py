@@ -203,13 +203,15 @@ def bfs_distances(edges: DataFrame, source, *, max_depth: int | None = None, hot
         frontier = seed.join(_salts(e.join(seed, "person", "left_semi"), "person", hot_rows), "person")
         titles, finished, n_finished, depth = None, [], 0, 0
         while max_depth is None or depth < max_depth:
-            found = _lookup(by_person, frontier, "person", n_parts).select("title", "title_salts", "title_edges").distinct()
+            # grouped by the key alone: the subtraction below needs no second shuffle
+            found = _lookup(by_person, frontier, "person", n_parts).groupBy("title").agg(
+                F.max("title_salts").alias("title_salts"), F.max("title_edges").alias("title_edges"))
             if titles is not None:
                 found = found.join(titles.select("title"), "title", "left_anti")
             titles, n_titles, n_expanded = materialize_sum(found, "title_edges")
             if not n_titles:
                 break
-            reached = _lookup(by_title, titles, "title", n_parts).select("person", "person_salts").distinct()
+            reached = _lookup(by_title, titles, "title", n_parts).groupBy("person").agg(F.max("person_salts").alias("person_salts"))
             frontier, n_next = materialize(reached.join(frontier.select("person"), "person", "left_anti"))
             depth += 1
             if not n_next:

@@ -13,19 +13,17 @@ from castlens.plans.queries import QUERIES  # noqa: E402
 from castlens.session import build_session  # noqa: E402
 
 NOTES = {
-    "avg_metric_role_set": "role filter in PushedFilters; 4 of 11 lineitem columns read; ratings broadcast by "
-                           "size; partial → final average per person; range-partitioned sort.",
-    "avg_metric_all_roles": "one rating per title via a partial + final (sort-based) max, run in an earlier "
-                            "checkpoint job that also counts it; the plan below reads that checkpoint "
-                            "(Scan ExistingRDD) and broadcasts it because the count is under the limit.",
+    "avg_metric_role_set": "role filter in PushedFilters; 4 of 11 lineitem columns read; ratings broadcast if "
+                           "AQE measures them small; partial → final average per person; range-partitioned sort.",
+    "avg_metric_all_roles": "one rating per title via a partial + final (sort-based) max, then the join.",
     "title_pair_stats": "two partial + final aggregations: (title, person) then title — a huge title ships "
                         "one partial row per task.",
     "neighbour_slots": "credits counted per (title, person) first (copies collapse map-side); title sizes "
                        "joined back (broadcast by size here; shuffled with AQE skew split at scale); partial + "
                        "final exact sum per person.",
-    "cast_list_per_title": "credits counted per (title, person) first (copies collapse map-side, in an earlier "
-                           "checkpoint job); one collect of (person, count) per (title, chunk); chunks bound every list.",
-    "word_count": "small input spread over the cores; tokens exploded and counted partial → final.",
+    "cast_list_per_title": "credits counted per (title, person) first (copies collapse map-side); one chunk formula "
+                           "for every title; one collect of (person, count) per (title, chunk).",
+    "word_count": "tokens exploded and counted partial → final.",
     "bfs_distance_capped": "the result is a union of per-level checkpoints left-joined to the node set; the "
                            "level jobs are shown at the end.",
     "union_replicate": "one scan and a Generate, no union tree and no join.",
