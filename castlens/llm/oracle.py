@@ -1,6 +1,56 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+_WORDS = r"""
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents))"""
+
 ORACLE = {
+    "op2_embedding_neardup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+q AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE list_inner_product(e, e) > 0),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM q x JOIN q y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT d.vec_id, coalesce(c.n, 0) AS n_links, least(d.vec_id, coalesce(m.low, d.vec_id)) AS component_id,
+       d.vec_id <= coalesce(m.low, d.vec_id) AS kept
+FROM embeddings d LEFT JOIN m ON m.a = d.vec_id LEFT JOIN c ON c.a = d.vec_id
+""",
+    "op5_substring_dedup": f"""
+WITH {_WORDS},
+k AS (
+  SELECT doc_id, i, n, md5(string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS h FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM k WHERE i <= n - 19),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM f WHERE nth > 1)
+SELECT d.doc_id, count(w.i) AS n_words, count(c.i) AS n_removed,
+       sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (c.i IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = w.i
+GROUP BY d.doc_id
+""",
+    "op8_ngram_jaccard_join": f"""
+WITH RECURSIVE {_WORDS},
+s AS (
+  SELECT DISTINCT doc_id, h FROM (
+    SELECT doc_id, i, n, md5(string_agg(word, ' ') OVER (
+      PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS h FROM w)
+  WHERE i <= greatest(n - 4, 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM j JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 10 * common >= 8 * (x.n + y.n - common)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_links, least(d.doc_id, coalesce(m.low, d.doc_id)) AS class_id,
+       d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN m ON m.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+""",
     "op7_mix_sources": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
