@@ -97,11 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "q
     weights, bias = np.zeros(1 << BITS), 0.0
     if used:
         got = sample.groupBy("shard").applyInArrow(_task, "slot int, w double")
-        for r in got.groupBy("slot").agg((F.sum("w") / F.lit(float(used))).alias("w")).collect():   # at most 2^BITS + 1 rows
-            if r.slot < 0:
-                bias = r.w
-            else:
-                weights[r.slot] = r.w
+        t = got.groupBy("slot").agg((F.sum("w") / F.lit(float(used))).alias("w")).toArrow()      # at most 2^BITS + 1 rows
+        slot, w = t.column("slot").to_numpy(), t.column("w").to_numpy()
+        weights[slot[slot >= 0]] = w[slot >= 0]
+        bias = float(w[slot < 0][0])
     return weights, bias
 
 

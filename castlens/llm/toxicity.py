@@ -69,29 +69,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_shard(texts: pa.Array, y: np.ndarray, start: dict[int, float], bias: float) -> tuple[dict[int, float], float]:
-    """Weights by word hash and the bias, by AdaGrad on the noisy-or likelihood of one shard's documents."""
+def fit_shard(texts: pa.Array, y: np.ndarray, known: np.ndarray, start: np.ndarray, bias: float):
+    """Feature hashes, their weights and the bias, by AdaGrad on the noisy-or likelihood of one shard's documents.
+
+    ``known`` and ``start`` are the hashes and weights to begin with.
+    """
     data, off = tx.utf8(texts)
-    hs, firsts, docs, base, words = [], [], [], 0, 0
+    hs, firsts, docs, distinct, words = [], [], [], [], 0
     for a, _, part, at in tx.runs(data, off):
         h, first, doc, _, _ = sentences(part, at)
+        before = np.searchsorted(np.repeat(doc, np.diff(np.append(first, len(h)))), np.arange(len(at)))
+        distinct.append(tx.distinct_per_text(h, before)[0])
         hs.append(h), firsts.append(first + words), docs.append(doc + a)
         words += len(h)
     if not words:
-        return {}, bias
-    h, first, sdoc = np.concatenate(hs), np.concatenate(firsts), np.concatenate(docs)
-    wdoc = np.repeat(sdoc, np.diff(np.append(first, words)))
-    order = np.lexsort((wdoc, h))
-    ho, do = h[order], wdoc[order]
-    once = np.ones(words, dtype=bool)
-    once[1:] = (ho[1:] != ho[:-1]) | (do[1:] != do[:-1])
-    vocab, df = np.unique(ho[once], return_counts=True)
+        return known, start, bias
+    vocab, df = np.unique(np.concatenate(distinct), return_counts=True)
     vocab = vocab[(df >= MIN_DF) & (df <= max(MAX_DF * len(y), 2 * y.sum())) & (vocab != 0)]
-    idx = _lookup(h, vocab)
+    first, sdoc = np.concatenate(firsts), np.concatenate(docs)
+    idx = np.concatenate([_lookup(h, vocab).astype(np.int32) for h in hs])
+    del hs, distinct, firsts, docs
     v = len(vocab)
     w, acc, b, acc_b = np.zeros(v + 1), np.full(v + 1, CALM), bias, 1.0
-    if start:
-        w[:v] = [start.get(x, 0.0) for x in vocab.tolist()]
+    w[:v] = np.append(start, 0.0)[_lookup(vocab, known)]
     s_at = np.searchsorted(sdoc, np.arange(len(y) + 1))
     first = np.append(first, words)
     for epoch in range(EPOCHS):
@@ -120,7 +120,7 @@ def fit_shard(texts: pa.Array, y: np.ndarray, start: dict[int, float], bias: flo
             b -= RATE * gb / np.sqrt(acc_b)
     keep = np.argsort(-np.abs(w[:v]))[:MAX_WEIGHTS]
     keep = keep[np.abs(w[keep]) > 1e-3]
-    return dict(zip(vocab[keep].tolist(), w[keep].tolist(), strict=True)), float(b)
+    return vocab[keep], w[keep], float(b)
 
 
 def _parts(t: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -152,12 +152,12 @@ def _scale_task(vocab: np.ndarray, weights: np.ndarray, bias: float):
     return one
 
 
-def _shard_task(start: dict[int, float], bias: float):
+def _shard_task(known: np.ndarray, start: np.ndarray, bias: float):
     def one(t):
         t = _parts(t)[0]
-        w, b = fit_shard(t.column("text").combine_chunks(), t.column("label").to_numpy(), start, bias)
-        keys = np.array(list(w), dtype=np.uint64).view(np.int64)
-        return pa.table({"word": pa.array([None, *keys.tolist()], pa.int64()), "w": pa.array([b, *w.values()], pa.float64())})
+        vocab, w, b = fit_shard(t.column("text").combine_chunks(), t.column("label").to_numpy(), known, start, bias)
+        word = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(vocab.view(np.int64))])
+        return pa.table({"word": word, "w": pa.array(np.append(b, w))})
     return one
 
 
@@ -173,14 +173,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "t
     none = np.zeros(0, np.uint64), np.zeros(0)
     if rate in (0.0, 1.0):
         return *none, -40.0 if rate == 0 else 40.0
-    start, bias = {}, float(np.log(rate / 20))
+    vocab, weights, bias = *none, float(np.log(rate / 20))
     for _ in range(ROUNDS):
-        got = (sample.groupBy("shard").applyInArrow(_shard_task(start, bias), "word long, w double")
-               .groupBy("word").agg((F.sum("w") / F.lit(float(shards))).alias("w")).collect())
-        bias = next(r.w for r in got if r.word is None)
-        start = {r.word & 0xFFFFFFFFFFFFFFFF: r.w for r in got if r.word is not None}
-    vocab = np.array(sorted(start), dtype=np.uint64)
-    weights = np.array([start[x] for x in vocab.tolist()])
+        got = (sample.groupBy("shard").applyInArrow(_shard_task(vocab, weights, bias), "word long, w double")
+               .groupBy("word").agg((F.sum("w") / F.lit(float(shards))).alias("w")).toArrow())   # at most shards * MAX_WEIGHTS rows
+        word, w = got.column("word"), got.column("w").to_numpy()
+        is_bias = word.is_null().to_numpy()
+        bias = float(w[is_bias][0])
+        vocab = word.drop_null().to_numpy().view(np.uint64)
+        order = np.argsort(vocab)
+        vocab, weights = vocab[order], w[~is_bias][order]
     fits = (sample.groupBy("shard").applyInArrow(_scale_task(vocab, weights, bias), "cell int, fit double")
             .groupBy("cell").agg(F.sum("fit").alias("fit")).collect())
     cell = max(fits, key=lambda r: (r.fit, -r.cell)).cell
