@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
-from castlens.llm.frames import cut, fresh
+from castlens.llm.frames import cut, fresh, small_batches
 
 BUCKETS = 1 << 16            # of the literal rank map
 SPREAD = (40503, 5)          # multipliers that deal pairs of ids to buckets
 NO_RANK = 2147483647
 DICTIONARY_WORDS = 1 << 21   # at most so many words are broadcast ...
-DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 4 * 64 bytes each in the worst case
+DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 2 * 64 bytes each in the worst case
 FLUSH_BYTES = 1 << 25        # text that a task counts words of before it hands the counts on
 
 LETTER, DIGIT, BLANK, OTHER = range(4)
@@ -97,20 +97,25 @@ def _ends(pieces: np.ndarray, size: int) -> np.ndarray:
 
 
 class Known:
-    """Sorted hashes of words with the ids of each, as arrays."""
+    """Sorted hashes of words with the ids of each, as arrays that every Python worker can hold: 12 bytes and 2 an id."""
 
     def __init__(self, hashes: np.ndarray, ids: np.ndarray, before: np.ndarray):
         order = np.argsort(hashes)
         count = np.diff(before)[order]
-        self.hashes, self.before = hashes[order], np.concatenate(([0], np.cumsum(count)))
-        self.ids = ids[np.repeat(before[:-1][order] - self.before[:-1], count) + np.arange(len(ids))] if len(ids) else ids
+        starts = np.concatenate(([0], np.cumsum(count)))
+        self.hashes, self.before = hashes[order], starts.astype(np.uint32)
+        self.ids = (ids[np.repeat(before[:-1][order] - starts[:-1], count) + np.arange(len(ids))] if len(ids) else ids).astype(np.uint16)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash, -1 if it is not known."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, i, -1)
+        return find(self.hashes, h)
+
+
+def find(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash among sorted ones, -1 if it is not there."""
+    if not len(hashes):
+        return np.full(len(h), -1)
+    i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[i] == h, i, -1)
 
 
 def known_tokens(ranks: dict[bytes, int]) -> Known:
@@ -157,13 +162,13 @@ def _count(tokens: Known):
     return run
 
 
-def _unknown(part: np.ndarray, at: np.ndarray, tables: list[Known]):
-    """Of a run of texts: pieces before each text, index into the first table that knows each piece, and the
+def _unknown(part: np.ndarray, at: np.ndarray, tables: list[np.ndarray]):
+    """Of a run of texts: pieces before each text, index of each piece in each table of hashes, and the
     distinct unknown pieces by (text, hash) with their spans."""
     s, before = split(part, at)
     e = _ends(s, len(part))
     h = tx.hash_spans(part, s, e)
-    found = [t.find(h) for t in tables]
+    found = [find(t, h) for t in tables]
     lost = np.flatnonzero(np.all([f < 0 for f in found], axis=0))
     doc = np.searchsorted(before, lost, side="right") - 1
     order = np.lexsort((h[lost], doc))
@@ -196,13 +201,13 @@ def _layout(tables):
         parts, count = [], np.zeros(len(off), dtype=np.int64)
         for i, j, part, at in tx.runs(data, off):
             known = tables.value
-            before, found, lost, rank, _, _, _ = _unknown(part, at, known)
+            before, found, lost, rank, _, _, _ = _unknown(part, at, [t.hashes for t in known])
             pieces = int(before[-1])
             begin, size = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64)
             base, pool = 0, []
             for t, f in zip(known, found, strict=True):
                 hit = (f >= 0) & (size == 0)
-                begin[hit] = base + t.before[f[hit]]
+                begin[hit] = base + t.before[f[hit]].astype(np.int64)
                 size[hit] = t.before[f[hit] + 1] - t.before[f[hit]]
                 pool.append(t.ids)
                 base += len(t.ids)
@@ -210,7 +215,7 @@ def _layout(tables):
             begin[lost], size[lost] = base + own_before[own], own_before[own + 1] - own_before[own]
             ends = np.cumsum(size)
             where = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if pieces else 0)
-            ids = np.empty(len(where), np.int32)
+            ids = np.empty(len(where), np.uint16)
             low = 0
             for p in [*pool, own_ids]:
                 mine = (where >= low) & (where < low + len(p))
@@ -219,7 +224,8 @@ def _layout(tables):
             parts.append(ids)
             total = np.concatenate(([0], ends))
             count[i + 1:j + 1] = np.diff(total[before])
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        ids = np.concatenate(parts, dtype=np.int32) if parts else np.zeros(0, np.int32)
+        del parts
         return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(ids, pa.int32()))
     return F.arrow_udf(run, "array<int>").asNondeterministic()
 
@@ -277,6 +283,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     without special tokens. Words are told apart by 64-bit hashes. A column named ``out_col`` is replaced.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     tokens = known_tokens(ranks)
     words = (docs.select(F.col(text_col)).mapInArrow(_count(tokens), "word string, n long")
              .groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= DICTIONARY_BYTES)))
@@ -295,9 +302,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
     common = Known(tx.hash_spans(data, off[:-1], off[1:]), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
                    np.concatenate(([0], np.cumsum(np.array(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))))
-    tables = sc.broadcast([tokens, common])
+    tables, hashes = sc.broadcast([tokens, common]), sc.broadcast([tokens.hashes, common.hashes])
     rare = fresh(docs, "rare")
-    out = docs.withColumn(rare, F.transform(_strangers(tables)(F.col(text_col)), lambda w: merge_words(w, ranks)))
+    out = docs.withColumn(rare, F.transform(_strangers(hashes)(F.col(text_col)), lambda w: merge_words(w, ranks)))
     return out.withColumn(out_col, _layout(tables)(F.col(text_col), F.col(rare))).drop(rare)
 
 

@@ -35,3 +35,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name in have:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python ``rows`` at a time from here on: batches of 10,000 whole texts, Spark's default, take
+    tens of MB each in the executor and again in every Python worker. A lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
