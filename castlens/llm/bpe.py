@@ -162,6 +162,17 @@ def _count(tokens: Known):
     return run
 
 
+def _packed(batches):
+    """(word, ids) -> (hash, packed ids)."""
+    for batch in batches:
+        data, off = tx.utf8(batch.column(0))
+        ids = batch.column(1)
+        before = ids.offsets.to_numpy().astype(np.int64)
+        values = ids.values.to_numpy(zero_copy_only=False)[before[0]:before[-1]].astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(tx.hash_spans(data, off[:-1], off[1:]).view(np.int64)), tx.pack(values, before - before[0])],
+                                         names=["hash", "ids"])
+
+
 def _unknown(part: np.ndarray, at: np.ndarray, tables: list[np.ndarray]):
     """Of a run of texts: pieces before each text, index of each piece in each table of hashes, and the
     distinct unknown pieces by (text, hash) with their spans."""
@@ -295,13 +306,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
         if total > DICTIONARY_WORDS:
             least = 2 << int(r.p)
             break
-    folded = cut(words.where(F.col("n") >= least).select("word", merge_words(F.col("word"), ranks).alias("ids")), "folded")
-    t = folded.toArrow()                                     # bounded by DICTIONARY_WORDS and DICTIONARY_BYTES
-    data, off = tx.utf8(t.column("word"))
-    ids = t.column("ids").combine_chunks()
-    ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    common = Known(tx.hash_spans(data, off[:-1], off[1:]), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
-                   np.concatenate(([0], np.cumsum(np.array(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))))
+    folded = words.where(F.col("n") >= least).select("word", merge_words(F.col("word"), ranks).alias("ids"))
+    folded = cut(folded.mapInArrow(_packed, "hash long, ids binary"), "folded")
+    # bounded by DICTIONARY_WORDS and DICTIONARY_BYTES; in order of the hashes as unsigned numbers
+    t = folded.orderBy(F.col("hash") < 0, "hash").toArrow()
+    common = Known.__new__(Known)
+    common.hashes = t.column("hash").to_numpy().view(np.uint64)
+    common.ids, before = tx.fixed(t.column("ids"), np.uint16)
+    common.before = before.astype(np.uint32)
+    del t, before
     tables, hashes = sc.broadcast([tokens, common]), sc.broadcast([tokens.hashes, common.hashes])
     rare = fresh(docs, "rare")
     out = docs.withColumn(rare, F.transform(_strangers(hashes)(F.col(text_col)), lambda w: merge_words(w, ranks)))
