@@ -1,10 +1,12 @@
 """Embedding near-dedup: iterative quantisation codes, multi-index Hamming tables, rerank on the vectors.
 
-A rotation that makes the signs of centred unit vectors balanced, well-fitting binary codes is learned on a
-bounded sample (two of them, from different starts). Codes are cut into chunks of about log2(vectors per label)
-bits; each chunk indexes a table, and vectors of one label meet where a chunk differs in at most one bit. A
-pair is judged in the first table where it meets, by the whole code first and by the exact cosine of the
-original vectors then. Equal vectors are one class from the start; buckets of any size are cut into tiles.
+Rotations that make the signs of centred unit vectors balanced, well-fitting binary codes are learned on a
+bounded sample, from different starts. The codes, one after another, are cut into chunks of about log2(vectors
+per label) bits; each chunk indexes a table, and vectors of one label meet where a chunk differs in at most one
+bit. There are as many tables, and codes to cut them from, as it takes to let at most MISS of the pairs at the
+threshold go unmet. A pair is judged in the first table where it meets, by the whole code first and by the exact
+cosine of the original vectors then. Equal vectors are one class from the start; buckets of any size are cut
+into tiles.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from castlens.llm.frames import cut, parts
 
 SAMPLE = 20_000              # vectors that the rotations are learned on, those of the smallest id hash
 BITS = 64                    # of a code, or the dimension if that is less
-CODES = 2
+LEAST_BITS = 128             # of all chunks together; wider chunks need more
+MISS = 0.01                  # part of the pairs at the threshold that may meet in no table
 STEPS = 30
 SPARE = 1                    # bits of a chunk beyond log2 of the vectors of a label
 SLACK = 6.0                  # standard deviations above the mean code distance at the threshold that is let through
 TILE = 512
 PAIRS = 1 << 16
-TABLE_BITS = 5               # low bits of a bucket that name its table
+TABLE_BITS = 12              # low bits of a bucket that name its table
 
 
 def unit(rows: list) -> list[np.ndarray | None]:
@@ -61,35 +64,72 @@ def rotation(x: np.ndarray | None, dim: int, code: int) -> tuple[np.ndarray, np.
     return mean, axes[:bits].T @ turn
 
 
-def learn(vectors: list[np.ndarray]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """The rotations of each dimension in a sample."""
-    out = {}
+def chance(flip: float, width: int) -> float:
+    """That a chunk differs in at most one bit, if each bit does so with probability ``flip``."""
+    return (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+
+
+class Tables:
+    """The rotations of each dimension, how many tables there are, and the code distance let through."""
+
+    def __init__(self, width: int, threshold: float):
+        self.width, self.flip = width, math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+        self.models: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        each = chance(self.flip, width)
+        self.count = max(1, LEAST_BITS // width, 1 if each >= 1 else math.ceil(math.log(MISS) / math.log1p(-each)))
+
+    @property
+    def bits(self) -> int:
+        return self.count * self.width
+
+    @property
+    def most(self) -> float:
+        """Greatest distance of codes that is let through."""
+        return self.bits * self.flip + SLACK * math.sqrt(self.bits * self.flip * (1 - self.flip))
+
+    def turns(self, dim: int, x: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Enough rotations of a dimension for all tables."""
+        have = self.models.setdefault(dim, [])
+        while len(have) * min(BITS, dim) < self.bits:
+            have.append(rotation(x, dim, len(have)))
+        return have
+
+    def codes(self, v: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """(vectors, words) of the codes of vectors of one dimension, in 64-bit words."""
+        unit_ = v / np.linalg.norm(v, axis=1, keepdims=True)
+        out = np.zeros((len(v), -(-self.bits // 64) * 64), dtype=np.uint8)
+        at = 0
+        for mean, turn in self.turns(v.shape[1], x):
+            n = min(turn.shape[1], self.bits - at)
+            if n <= 0:
+                break
+            out[:, at:at + n] = (unit_ - mean) @ turn[:, :n] >= 0
+            at += n
+        return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+    def chunk(self, code: np.ndarray, t: int) -> np.ndarray:
+        """The bits of each code that index table ``t``."""
+        word, shift = divmod(t * self.width, 64)
+        v = code[:, word] >> np.uint64(shift)
+        if shift + self.width > 64:
+            v = v | (code[:, word + 1] << np.uint64(64 - shift))
+        return v & np.uint64((1 << self.width) - 1)
+
+    def met(self, apart: np.ndarray) -> np.ndarray:
+        """The first table where codes that differ in these bits meet; the number of tables if there is none."""
+        first = np.full(len(apart), self.count)
+        for t in reversed(range(self.count)):
+            first[np.bitwise_count(self.chunk(apart, t)) <= 1] = t
+        return first
+
+
+def learn(vectors: list[np.ndarray], width: int, threshold: float) -> Tables:
+    """Tables whose rotations are learned on a sample."""
+    tables = Tables(width, threshold)
     for dim in sorted({len(v) for v in vectors}):
         x = np.stack([v for v in vectors if len(v) == dim])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        out[dim] = [rotation(x, dim, c) for c in range(CODES)]
-    return out
-
-
-def encode(v: np.ndarray, models: dict) -> np.ndarray:
-    """(vectors, CODES) of 64-bit codes of vectors of one dimension."""
-    dim = v.shape[1]
-    if dim not in models:
-        models[dim] = [rotation(None, dim, c) for c in range(CODES)]
-    x = v / np.linalg.norm(v, axis=1, keepdims=True)
-    out = np.zeros((len(v), CODES), dtype=np.uint64)
-    for c, (mean, turn) in enumerate(models[dim]):
-        bits = np.zeros((len(v), 64), dtype=np.uint8)
-        bits[:, :turn.shape[1]] = (x - mean) @ turn >= 0
-        out[:, c] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def chunks(bits: int, width: int) -> list[tuple[int, int, int]]:
-    """(code, shift, width) of the tables: each code cut into parts of at least ``width`` bits."""
-    per = max(1, bits // width)
-    cuts = [round(i * bits / per) for i in range(per + 1)]
-    return [(c, a, b - a) for c in range(CODES) for a, b in zip(cuts[:-1], cuts[1:], strict=True)][:1 << TABLE_BITS]
+        tables.turns(dim, x / np.linalg.norm(x, axis=1, keepdims=True))
+    return tables
 
 
 def _classes(batches):
@@ -106,33 +146,28 @@ def _classes(batches):
             names=["id", "label", "ok", "tk", "dim", "vec"])
 
 
-def _index(models: dict, widths: dict):
+def _index(tables: Tables):
     """Rows (bucket, probe, tk, n, code): a vector's own chunk in each table, and the chunks one bit away."""
     def run(batches):
         for batch in batches:
             dims = batch.column(1).to_numpy()
             label = np.array([label_hash(x) for x in batch.column(2).to_pylist()], dtype=np.uint64)
-            n = batch.column(4)
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
                 v = np.stack([np.frombuffer(batch.column(3)[int(i)].as_py(), np.float64) for i in mine])
-                code = encode(v, models)
-                who, bucket, probe = [], [], []
-                for t, (c, shift, width) in enumerate(chunks(min(BITS, int(dim)), widths["width"])):
-                    own = (code[:, c] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    for flip in range(-1, width):
-                        value = own if flip < 0 else own ^ np.uint64(1 << flip)
-                        h = tx.mix(tx.mix(label[mine] + np.uint64(dim), 11) + value, t + 1)
-                        bucket.append((h & ~np.uint64((1 << TABLE_BITS) - 1)) | np.uint64(t))
-                        who.append(mine)
-                        probe.append(np.full(len(mine), flip >= 0))
-                who, bucket, probe = np.concatenate(who), np.concatenate(bucket), np.concatenate(probe)
-                place = np.zeros(batch.num_rows, np.int64)
-                place[mine] = np.arange(len(mine))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), pa.array(probe), batch.column(0).take(pa.array(who)), n.take(pa.array(who)),
-                     tx.pack(code[place[who]].ravel(), np.arange(len(who) + 1) * CODES), pa.array(dims[who].astype(np.int32))],
-                    names=["bucket", "probe", "tk", "n", "code", "dim"])
+                code = tables.codes(v)
+                salt = tx.mix(label[mine] + np.uint64(dim), 11)
+                who = np.tile(mine, tables.width + 1)
+                tk, n = batch.column(0).take(pa.array(who)), batch.column(4).take(pa.array(who))
+                packed = tx.pack(np.tile(code, (tables.width + 1, 1)).ravel(), np.arange(len(who) + 1) * code.shape[1])
+                probe, size = pa.array(np.arange(len(who)) >= len(mine)), pa.array(dims[who].astype(np.int32))
+                for t in range(tables.count):
+                    own = tables.chunk(code, t)
+                    value = np.concatenate([own, *(own ^ np.uint64(1 << flip) for flip in range(tables.width))])
+                    h = tx.mix(np.tile(salt, tables.width + 1) + value, t + 1)
+                    bucket = (h & ~np.uint64((1 << TABLE_BITS) - 1)) | np.uint64(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), probe, tk, n, packed, size],
+                                                     names=["bucket", "probe", "tk", "n", "code", "dim"])
     return run
 
 
@@ -165,9 +200,9 @@ def _meetings(start, i, j, chunk, probe):
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _likely(t: pa.Table, x, y, widths: dict):
+def _likely(t: pa.Table, x, y, tables: Tables):
     """Meetings judged here: of two vectors that meet in no earlier table, with codes close enough."""
-    code = tx.fixed(t.column("code"), np.uint64)[0].reshape(-1, CODES)
+    code = tx.fixed(t.column("code"), np.uint64)[0].reshape(t.num_rows, -1)
     table = t.column("bucket").to_numpy() & ((1 << TABLE_BITS) - 1)
     probe = t.column("probe").to_numpy()
     order = t.column("order").to_numpy()
@@ -175,15 +210,9 @@ def _likely(t: pa.Table, x, y, widths: dict):
     good = (dim[x] == dim[y]) & (~probe[y] | (order[x] < order[y]))     # one bit apart: where the lesser stands itself
     x, y = x[good], y[good]
     apart = code[x] ^ code[y]
-    good = np.bitwise_count(apart).sum(1) <= widths["most"][dim[x]] if len(x) else np.zeros(0, bool)
+    good = np.bitwise_count(apart).sum(1, dtype=np.int64) <= tables.most
     x, y, apart = x[good], y[good], apart[good]
-    first = np.full(len(x), 1 << TABLE_BITS)
-    for d in np.unique(dim[x]):
-        mine = dim[x] == d
-        for k, (c, shift, width) in reversed(list(enumerate(chunks(min(BITS, int(d)), widths["width"])))):
-            near = mine & (np.bitwise_count((apart[:, c] >> np.uint64(shift)) & np.uint64((1 << width) - 1)) <= 1)
-            first[near] = k
-    good = first == table[x]
+    good = tables.met(apart) == table[x]
     return x[good], y[good]
 
 
@@ -191,26 +220,26 @@ def _columns(t: pa.Table):
     return [t.column(c).to_numpy() for c in ("i", "j", "chunk", "probe")]
 
 
-def _prune(widths: dict):
+def _prune(tables: Tables):
     def run(batches):
         for t, start in tx.whole_groups(batches, TILE_KEYS):
             live = np.zeros(t.num_rows, dtype=bool)
             for x, y in _meetings(start, *_columns(t)):
-                x, y = _likely(t, x, y, widths)
+                x, y = _likely(t, x, y, tables)
                 live[x] = live[y] = True
             if live.any():
                 yield from t.filter(pa.array(live)).combine_chunks().to_batches()
     return run
 
 
-def _verify(widths: dict, threshold: float):
+def _verify(tables: Tables, threshold: float):
     def run(batches):
         for t, start in tx.whole_groups(batches, TILE_KEYS, 500):
             values, before = tx.fixed(t.column("vec"), np.float64)
             n = t.column("n").to_numpy()
             links, ends = np.zeros(t.num_rows, dtype=np.int64), []
             for x, y in _meetings(start, *_columns(t)):
-                x, y = _likely(t, x, y, widths)
+                x, y = _likely(t, x, y, tables)
                 for d in np.unique(np.diff(before)[x]):
                     same = np.diff(before)[x] == d
                     p, q = x[same], y[same]
@@ -249,12 +278,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         F.first("vec").alias("vec")), "vectors")
     sample = classes.orderBy(F.xxhash64("tk"), "tk").limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    models = learn([np.frombuffer(x, np.float64) for x in sample])
-    flip = math.acos(min(1.0, threshold)) / math.pi
-    most = np.array([CODES * min(BITS, d) * flip + SLACK * math.sqrt(CODES * min(BITS, d) * flip * (1 - flip)) for d in range(max([*models, 1]) + 4097)])
-    widths = {"width": max(8, math.ceil(math.log2(largest)) + SPARE), "most": most}
+    tables = learn([np.frombuffer(x, np.float64) for x in sample], max(8, math.ceil(math.log2(largest)) + SPARE), threshold)
     index = classes.select("tk", "dim", "label", "vec", "n").mapInArrow(
-        _index(models, widths), "bucket long, probe boolean, tk binary, n long, code binary, dim int")
+        _index(tables), "bucket long, probe boolean, tk binary, n long, code binary, dim int")
     index = cut(index, "index")
     sizes = index.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("own")).where("c > 1 and own > 0")
     met = (index.join(sizes, "bucket").withColumn("g", F.ceil(F.col("c") / TILE).cast("int"))
@@ -263,10 +289,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
            .select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "probe", "tk",
                    F.conv(F.hex(F.substring("tk", 1, 7)), 16, 10).cast("long").alias("order"), "n", "code", "dim"))
     schema = "bucket long, i int, j int, chunk int, probe boolean, tk binary, order long, n long, code binary, dim int"
-    likely = cut(met.repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "tk").mapInArrow(_prune(widths), schema), "likely")
+    likely = cut(met.repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "tk").mapInArrow(_prune(tables), schema), "likely")
     full = likely.join(classes.select("tk", "vec"), "tk").select(*likely.columns, "vec")
     found = cut(full.repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "tk").mapInArrow(
-        _verify(widths, threshold), "tk binary, links long, root binary"), "found")
+        _verify(tables, threshold), "tk binary, links long, root binary"), "found")
     root = components(found.select(F.col("tk").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("tk"), "root")
     links = found.groupBy("tk").agg(F.sum("links").alias("links"))
     known = (classes.select("tk", "low", "n").join(links, "tk", "left").join(root, "tk", "left").withColumn("root", F.coalesce("root", "tk")))

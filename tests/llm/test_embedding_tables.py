@@ -1,0 +1,45 @@
+"""Recall of the embedding tables at widths that only large labels reach."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from castlens.llm import neardup
+
+DIM = 64
+
+
+def close_pairs(seed, n, mean):
+    """(2, n, DIM) unit vectors, pair by pair at cosine 0.93 to 0.95."""
+    r = np.random.default_rng(seed)
+    a = r.standard_normal((n, DIM)) + mean
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = r.standard_normal((n, DIM))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = r.uniform(0.9301, 0.95, (n, 1))
+    return np.stack((a, cosine * a + np.sqrt(1 - cosine**2) * side))
+
+
+def found(spark, seed, mean):
+    a, b = close_pairs(seed, 500, mean)
+    data = [(i, v.tolist(), i // 2 % 2) for i, v in enumerate(np.stack((a, b), axis=1).reshape(-1, DIM))]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    unit = np.array([v for _, v, _ in data])
+    label = np.array([x for _, _, x in data])
+    there = (np.triu(unit @ unit.T, 1) >= 0.93) & (label[:, None] == label)
+    return sum(r.n_links for r in got) / 2 / there.sum()
+
+
+def test_recall_at_the_width_of_millions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPARE", 13)               # 500 vectors a label: 22 bits
+    assert 0.97 <= found(spark, 1, 0.0) <= 1
+
+
+def test_tables_grow_with_the_width():
+    a, b = close_pairs(3, 3000, 0.0)
+    for width in (8, 16, 22, 25):
+        tables = neardup.learn(list(a), width, 0.93)
+        apart = tables.codes(a) ^ tables.codes(b)
+        near = np.bitwise_count(apart).sum(1) <= tables.most
+        assert ((tables.met(apart) < tables.count) & near).mean() > 0.98
