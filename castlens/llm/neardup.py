@@ -33,6 +33,7 @@ SLACK = 6.0                  # standard deviations above the mean code distance
 TILE = 512
 PAIRS = 1 << 16
 TABLE_BITS = 12              # low bits of a bucket that name its table
+PARTNERS = 2000              # vectors of the sample that are given a partner at the threshold
 
 
 def unit(rows: list) -> list[np.ndarray | None]:
@@ -69,12 +70,23 @@ def chance(flip: float, width: int) -> float:
     return (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
 
 
+def partners(x: np.ndarray, threshold: float, axes: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors whose cosine with those of ``x`` is the threshold: towards a random side, or that of a row of ``axes``."""
+    r = np.random.default_rng(x.shape[1])
+    side = r.standard_normal(x.shape) if axes is None else axes[r.integers(0, len(axes), len(x))] - axes[r.integers(0, len(axes), len(x))]
+    side = side - (side * x).sum(1, keepdims=True) * x
+    length = np.linalg.norm(side, axis=1)
+    x, side = x[length > 1e-9], side[length > 1e-9] / length[length > 1e-9, None]
+    return np.stack((x, threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * side))
+
+
 class Tables:
     """The rotations of each dimension, how many tables there are, and the code distance let through."""
 
     def __init__(self, width: int, threshold: float):
         self.width, self.flip = width, math.acos(max(-1.0, min(1.0, threshold))) / math.pi
         self.models: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.far: dict[int, float] = {}
         each = chance(self.flip, width)
         self.count = max(1, LEAST_BITS // width, 1 if each >= 1 else math.ceil(math.log(MISS) / math.log1p(-each)))
 
@@ -82,10 +94,11 @@ class Tables:
     def bits(self) -> int:
         return self.count * self.width
 
-    @property
-    def most(self) -> float:
-        """Greatest distance of codes that is let through."""
-        return self.bits * self.flip + SLACK * math.sqrt(self.bits * self.flip * (1 - self.flip))
+    def most(self, dim: np.ndarray) -> np.ndarray:
+        """Greatest distance of codes that is let through, by dimension."""
+        some, of = np.unique(dim, return_inverse=True)
+        plain = self.bits * self.flip + SLACK * math.sqrt(self.bits * self.flip * (1 - self.flip))
+        return np.array([self.far.get(int(d), plain) for d in some])[of]
 
     def turns(self, dim: int, x: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Enough rotations of a dimension for all tables."""
@@ -124,11 +137,32 @@ class Tables:
 
 
 def learn(vectors: list[np.ndarray], width: int, threshold: float) -> Tables:
-    """Tables whose rotations are learned on a sample."""
+    """Tables that miss at most MISS of the pairs at the threshold, measured on a sample with partners made for it.
+
+    Centred angles are wider than the vectors' own where vectors share a mean, so the bits that change are
+    counted, not modelled: for partners to a random side, and to the sides on which the sample itself differs.
+    """
     tables = Tables(width, threshold)
+    pairs = {}
     for dim in sorted({len(v) for v in vectors}):
         x = np.stack([v for v in vectors if len(v) == dim])
-        tables.turns(dim, x / np.linalg.norm(x, axis=1, keepdims=True))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pairs[dim] = x, [partners(x[:PARTNERS], threshold, axes) for axes in (None, x)] if dim > 1 else []
+    for x, kinds in pairs.values():
+        for one, other in kinds:
+            while len(one) and tables.count < 1 << TABLE_BITS:
+                missed = (tables.met(tables.codes(one, x) ^ tables.codes(other, x)) == tables.count).mean()
+                if missed <= MISS:
+                    break
+                tables.count += max(1, tables.count // 8)
+    tables.count = min(tables.count, 1 << TABLE_BITS)
+    for dim, (x, kinds) in pairs.items():
+        tables.turns(dim, x)
+        for one, other in kinds:
+            if len(one):
+                d = np.bitwise_count(tables.codes(one) ^ tables.codes(other)).sum(1, dtype=np.int64)
+                plain = math.sqrt(d.mean() * max(0.0, 1 - d.mean() / tables.bits))
+                tables.far[dim] = max(tables.far.get(dim, 0.0), d.mean() + SLACK * max(d.std(), plain), float(d.max()))
     return tables
 
 
@@ -210,7 +244,7 @@ def _likely(t: pa.Table, x, y, tables: Tables):
     good = (dim[x] == dim[y]) & (~probe[y] | (order[x] < order[y]))     # one bit apart: where the lesser stands itself
     x, y = x[good], y[good]
     apart = code[x] ^ code[y]
-    good = np.bitwise_count(apart).sum(1, dtype=np.int64) <= tables.most
+    good = np.bitwise_count(apart).sum(1, dtype=np.int64) <= tables.most(dim[x]) if len(x) else np.zeros(0, bool)
     x, y, apart = x[good], y[good], apart[good]
     good = tables.met(apart) == table[x]
     return x[good], y[good]

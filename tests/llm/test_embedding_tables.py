@@ -1,4 +1,4 @@
-"""Recall of the embedding tables at widths that only large labels reach."""
+"""Recall of the embedding tables at widths that only large labels reach, and on vectors that share a mean."""
 
 from __future__ import annotations
 
@@ -36,10 +36,15 @@ def test_recall_at_the_width_of_millions(spark, monkeypatch):
     assert 0.97 <= found(spark, 1, 0.0) <= 1
 
 
+def test_recall_with_a_common_mean(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPARE", 7)                # 16 bits
+    assert 0.97 <= found(spark, 2, 1.5) <= 1
+
+
 def test_tables_grow_with_the_width():
     a, b = close_pairs(3, 3000, 0.0)
     for width in (8, 16, 22, 25):
         tables = neardup.learn(list(a), width, 0.93)
         apart = tables.codes(a) ^ tables.codes(b)
-        near = np.bitwise_count(apart).sum(1) <= tables.most
+        near = np.bitwise_count(apart).sum(1) <= tables.most(np.full(len(a), DIM))
         assert ((tables.met(apart) < tables.count) & near).mean() > 0.98
