@@ -2,9 +2,10 @@
 
 Windows are dealt to shards by their anchor, the least-hashed run of four words in them: equal windows have
 equal anchors, and neighbouring windows of one anchor stay together as a segment of at most 36 words. Segments
-that are equal as a whole need no search: all but the first go. Where an anchor has different segments, their
-words go to the anchor's shard, which builds a compressed FM-index (fmindex.py) over them and streams the same
-segments through backward search; matching statistics of 20 or more give the intervals to report.
+that are equal as a whole need no search: all go but those at the first place. Where an anchor has different
+segments, their words go to the anchor's shard, which builds a compressed FM-index (fmindex.py) over them and
+streams the same segments through backward search; matching statistics of 20 or more give the intervals to
+report. Repeated rows, and rows of one id, may hold a window at the same place; none of them is earlier.
 
 Only first segments are searched, copies having been told apart before; a task reports copies within its own
 rows itself, so a passage of very many documents costs a row per task. Anchors with very many different
@@ -13,6 +14,8 @@ segments are split by the hash of the window, which equal windows share as well.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,16 +84,20 @@ def _runs(batches):
 
 
 def _flushes(batches):
-    """Segments of FLUSH_WORDS words at a time, sorted by anchor, content, document and start; which are first of their content."""
+    """Segments of FLUSH_WORDS words at a time, sorted by anchor, content, document and start, each once; which are first
+    of their content, and which have a place after the first one's."""
     held, words = [], 0
 
     def out():
         doc, pos, anchor, content = (np.concatenate([x[k] for x in held]) for k in range(4))
         order = np.lexsort((pos, doc, content, anchor))
         doc, pos, anchor, content = doc[order], pos[order], anchor[order], content[order]
-        new = np.ones(len(doc), dtype=bool)
+        new, once = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-        return doc, pos, anchor, content, new
+        once[1:] = new[1:] | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])       # repeated rows
+        doc, pos, anchor, content, new = doc[once], pos[once], anchor[once], content[once], new[once]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        return doc, pos, anchor, content, new, (doc > doc[first]) | (pos >> 32 > pos[first] >> 32)
     for n, *cols in _runs(batches):
         held.append(cols)
         words += n
@@ -103,35 +110,36 @@ def _flushes(batches):
 
 def _busy(batches):
     """(anchor, n): anchors with many different segments in a task."""
-    for _, _, anchor, _, new in _flushes(batches):
-        value, n = np.unique(anchor[new], return_counts=True)
+    for _, _, anchor, _, _, later in _flushes(batches):
+        value, n = np.unique(anchor[~later], return_counts=True)
         many = n >= HOT_IN_TASK
         if many.any():
             yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(n[many])], names=["anchor", "n"])
 
 
 def _emit(hot: dict[int, int]):
-    """Segments, those first in their task with the key of their shard; the others are copies already."""
+    """Segments, those at the first place in their task with the key of their shard; the others are copies already."""
     keys = np.array(sorted(hot), dtype=np.uint64)
     split_of = np.array([hot[k] for k in keys.tolist()], dtype=np.int64)
 
     def run(batches):
-        for doc, pos, anchor, content, new in _flushes(batches):
+        for doc, pos, anchor, content, _, later in _flushes(batches):
             split = np.ones(len(doc), np.int64)
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
                 split = np.where(keys[i] == anchor, split_of[i], 1)
             key = np.where(split > 1, tx.mix(anchor + content % split.astype(np.uint64), 3), anchor)
-            key = np.where(new, key, tx.mix(doc.astype(np.uint64), 5))
+            key = np.where(later, tx.mix(doc.astype(np.uint64), 5), key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(doc),
-                 pa.array(pos), pa.array(split.astype(np.int32)), pa.array(~new)],
+                 pa.array(pos), pa.array(split.astype(np.int32)), pa.array(later)],
                 names=["key", "content", "anchor", "doc", "pos", "split", "copy"])
     return run
 
 
 def _words(batches):
     """(anchor, sub, doc, pos, mask, words): the words of the segments to search, in each shard that one of their windows goes to."""
+    before = None
     for batch in batches:
         data, off = tx.utf8(batch.column(1))
         lists = batch.column(3).to_pylist()
@@ -143,6 +151,10 @@ def _words(batches):
             rows = {k: [] for k in ("anchor", "sub", "doc", "pos", "mask", "words")}
             for d in range(i, j):
                 size = first[d - i + 1] - first[d - i]
+                this = ids[d], mark[d], hashlib.md5(part[at[d - i]:at[d - i + 1]].tobytes()).digest()
+                if this == before:                                       # a repeated row brings the same segments
+                    continue
+                before = this
                 for one in lists[d]:
                     start, run = one["pos"] >> 32, (one["pos"] >> 16) & 0xFFFF
                     if start + run + WINDOW - 1 > size:
@@ -161,8 +173,8 @@ def _words(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
 
 
-def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of shards, each shard's in order of their place in the corpus: for each of their windows in the mask,
+def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of shards, with their documents and first words' numbers: for each of their windows in the mask,
     its segment, its number, and whether it also starts earlier. The FM-index is built and searched here."""
     size = np.diff(before)
     n = len(words)
@@ -182,9 +194,16 @@ def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.
     full = np.flatnonzero(matched >= WINDOW)
     if len(full):
         span, of = np.unique(np.stack((lo[full], hi[full]), axis=1), axis=0, return_inverse=True)
-        edges = np.append(index.order, n + len(size))
+        words_of = size + 1                                              # and the separator
+        word = np.arange(len(text)) - np.repeat(before[:-1] + np.arange(len(size)), words_of) + np.repeat(begin, words_of)
+        holder = np.repeat(doc, words_of)
+        order = np.lexsort((word, holder))
+        later = np.append(False, (holder[order][1:] != holder[order][:-1]) | (word[order][1:] != word[order][:-1]))
+        rank = np.zeros(len(text), np.int64)
+        rank[order] = np.cumsum(later)                                   # equal places have equal ranks
+        edges = np.append(rank[index.order], n + len(size))
         least = np.minimum.reduceat(edges, span.ravel())[::2]
-        earlier[full] = least[of.ravel()] < start[full]
+        earlier[full] = least[of.ravel()] < rank[start[full]]
     return seg, number, earlier
 
 
@@ -197,7 +216,7 @@ def _search(batches):
         shard = np.repeat(np.arange(len(start) - 1, dtype=np.uint64), np.diff(start))
         words = words ^ np.repeat(tx.mix(shard, 53), np.diff(before))
         doc, pos = t.column("doc").to_numpy(), t.column("pos").to_numpy()
-        seg, number, earlier = search(words, before, t.column("mask").to_numpy())
+        seg, number, earlier = search(words, before, t.column("mask").to_numpy(), doc, pos >> 32)
         seg, number = seg[earlier], number[earlier]
         if len(seg):
             start = (pos[seg] >> 32) + number
@@ -237,8 +256,11 @@ def repeated_windows(slim: DataFrame) -> DataFrame:
     rows = slim.mapInArrow(_emit(hot), "key long, content long, anchor long, doc long, pos long, split int, copy boolean")
     rows = rows.repartition(n, "key")
     mine = Window.partitionBy("key", "copy")
-    first = F.lag("content").over(mine.orderBy("content", "doc", "pos")).eqNullSafe(F.col("content"))
-    rows = rows.withColumn("again", F.col("copy") | first)
+    equal = Window.partitionBy("key", "copy", "content").orderBy("doc", "pos")
+    start = F.shiftright("pos", 32)
+    rows = (rows.withColumn("same", F.coalesce((F.lag("doc").over(equal) == F.col("doc")) & (F.lag("pos").over(equal) == F.col("pos")), F.lit(False)))
+            .withColumn("first", F.first(F.struct(F.col("doc"), start)).over(equal.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("again", F.col("copy") | (F.struct(F.col("doc"), start) > F.col("first"))).where(~F.col("same")))
     rows = rows.withColumn("kinds", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(mine))
     rows = cut(rows.where(F.col("again") | (F.col("kinds") > 1) | (F.col("split") > 1)).select("doc", "pos", "anchor", "split", "again"), "segments")
     asked = (rows.where(~F.col("again")).withColumn("mark", F.col("pos").bitwiseAND(0xFFFF))
