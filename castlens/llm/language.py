@@ -20,8 +20,8 @@ BITS = 16                    # 2^16 hashed trigrams
 SMOOTH = 0.1                 # added to each count
 ROUNDS, AGAIN = 10, 3        # EM steps over all languages, and after each removal
 MARGIN = 3.0                 # added to the penalty of a language
-MAX_LANGUAGES = 256          # most frequent ones that are learned: 256 KB of model each
-FLUSH_BYTES = 1 << 26
+FLUSH_BYTES = 1 << 26        # of text, or of a task's counts
+CELLS = 1 << 22              # likelihoods of words in languages in memory at a time, but for a longer text
 
 
 def trigrams(part: np.ndarray, at: np.ndarray):
@@ -41,7 +41,7 @@ def trigrams(part: np.ndarray, at: np.ndarray):
 
 
 def _count(batches):
-    """(lang, slot, n): trigram counts by language, over FLUSH_BYTES of text at a time."""
+    """(lang, slot, n): trigram counts by language, over FLUSH_BYTES of text or counts at a time."""
     held: dict[str, np.ndarray] = {}
     size = 0
 
@@ -59,8 +59,12 @@ def _count(batches):
             for lang in set(langs[a:b]):
                 mine = np.flatnonzero(langs[a:b] == lang)
                 took = np.concatenate([g[at_word[first[i]]:at_word[first[i + 1]]] for i in mine])
-                held.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                if lang not in held:
+                    held[lang] = np.zeros(1 << BITS, np.int64)
                 held[lang] += np.bincount(took, minlength=1 << BITS)
+                if len(held) << (BITS + 3) > FLUSH_BYTES:
+                    yield from out()
+                    held, size = {}, 0
             size += len(part)
         if size >= FLUSH_BYTES:
             yield from out()
@@ -68,24 +72,46 @@ def _count(batches):
     yield from out()
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+class Trigrams:
+    """Logarithms of trigram probabilities, a row for each language: of the trigrams that it has, and of any other."""
+
+    def __init__(self):
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.float32]] = []
+
+    def add(self, slot: np.ndarray, n: np.ndarray):
+        row = np.full((1 << BITS) + 1, SMOOTH)
+        row[slot] += n
+        row = np.log(row / row[:-1].sum()).astype(np.float32)
+        self.rows.append((slot.astype(np.uint16 if BITS <= 16 else np.uint32), row[slot], row[-1]))
+
+    def __len__(self):
+        return len(self.rows)
+
+    def __iter__(self):
+        for slot, values, other in self.rows:
+            row = np.full(1 << BITS, other, np.float32)
+            row[slot] = values
+            yield row
+
+
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Trigrams]:
     """Languages in order and the logarithms of their trigram probabilities, from all rows of ``docs``.
 
-    Rows without text or language are left out. The driver gets 2^BITS counts for each language.
+    Rows without text or language are left out. The driver gets the counts that are not 0, 2^BITS at most for each
+    language, however many languages there are.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = known.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("slot", "n")).alias("c"))
-    got = rows.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).toArrow()
-    order = np.argsort(got.column("lang").to_pylist())
-    langs, table = [], np.zeros((len(order), 1 << BITS))
-    for k, i in enumerate(order):
-        langs.append(got.column("lang")[i].as_py())
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c"))
+    got = rows.toArrow()
+    column = got.column("lang").to_pylist()
+    langs, table = [], Trigrams()
+    for i in sorted(range(len(column)), key=lambda i: column[i]):
+        langs.append(column[i])
         c = got.column("c")[i].values
-        table[k, c.field("slot").to_numpy()] = c.field("n").to_numpy()
-    table += SMOOTH
-    return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if langs else table
+        table.add(c.field("slot").to_numpy(), c.field("n").to_numpy())
+    return langs, table
 
 
 def _likelihood(like: np.ndarray, share: np.ndarray, of: np.ndarray):
@@ -153,7 +179,16 @@ def _letters(part: np.ndarray, at: np.ndarray) -> np.ndarray:
     return has
 
 
-def identifier(langs: list[str], table: np.ndarray):
+def _blocks(first: np.ndarray, most: int):
+    """Ranges of texts of at most so many words, or of one longer text; ``first`` has the words before each."""
+    c, n = 0, len(first) - 1
+    while c < n:
+        d = max(c + 1, int(np.searchsorted(first, first[c] + most, side="right")) - 1)
+        yield c, min(d, n)
+        c = min(d, n)
+
+
+def identifier(langs: list[str], table: Trigrams):
     """Arrow UDF: text to (lang, score, languages): prediction, its proportion, and the set with proportions."""
     pair = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
@@ -167,13 +202,19 @@ def identifier(langs: list[str], table: np.ndarray):
             g, start, first = trigrams(part, at)
             if not len(start):
                 continue
-            words = np.stack([np.add.reduceat(row[g], start) for row in table], axis=1).astype(np.float64)
-            share = mixtures(words, first)
             has = _letters(part, at)
-            best = share.argmax(1)
-            for i in np.flatnonzero(has & (share.sum(1) > 0)):
-                lang[a + i], score[a + i] = langs[best[i]], min(1.0, share[i, best[i]])
-                sets[a + i] = [{"lang": langs[j], "share": float(share[i, j])} for j in np.flatnonzero(share[i] > 0)]
+            end = np.append(start, len(g))
+            for c, d in _blocks(first, max(1, CELLS // len(langs))):
+                w, v = first[c], first[d]
+                if w == v:
+                    continue
+                mine, begin = g[end[w]:end[v]], start[w:v] - end[w]
+                words = np.stack([np.add.reduceat(row[mine], begin) for row in table], axis=1).astype(np.float64)
+                share = mixtures(words, first[c:d + 1] - w)
+                best = share.argmax(1)
+                for i in np.flatnonzero(has[c:d] & (share.sum(1) > 0)):
+                    lang[a + c + i], score[a + c + i] = langs[best[i]], min(1.0, share[i, best[i]])
+                    sets[a + c + i] = [{"lang": langs[j], "share": float(share[i, j])} for j in np.flatnonzero(share[i] > 0)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pair)],
                                           names=["lang", "score", "languages"])
     return F.arrow_udf(run, "lang string, score double, languages array<struct<lang:string,share:double>>")
