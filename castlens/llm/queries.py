@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castlens.llm.bpe import decode, encode, load_ranks
-from castlens.llm.fingerprint import chain
+from castlens.llm.fingerprint import fingerprints
 from castlens.llm.frames import fold, table
 from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
@@ -73,7 +73,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
