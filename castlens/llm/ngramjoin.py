@@ -149,7 +149,9 @@ def exact(values: np.ndarray, before: np.ndarray, x: np.ndarray, y: np.ndarray,
     order = np.argsort(x, kind="stable")
     lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
     order = order[(lo * t.denominator >= hi * t.numerator)[order]]
-    cut_at = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1])) if len(order) else []
+    if not len(order):
+        return ok
+    cut_at = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
     for a, b in zip(cut_at, [*cut_at[1:], len(order)], strict=True):
         mine = values[before[x[order[a]]]:before[x[order[a]] + 1]]
         most = max(1, (1 << 20) // max(1, int(size[y[order[a:b]]].max())))

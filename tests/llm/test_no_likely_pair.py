@@ -1,0 +1,42 @@
+"""Similarity joins whose candidates all fail: the size filter, the pruning, or a block of pairs without a likely one."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from castlens.llm import ngramjoin
+from castlens.llm.fingerprint import fingerprints
+from castlens.llm.ngramjoin import exact, jaccard_links, keep_one
+from tests.llm.helpers import jaccard, shingles
+
+BASE = " ".join(f"w{i}" for i in range(100))
+SHORT = " ".join(f"w{i}" for i in range(78))
+
+
+def test_exact_without_a_pair_of_fitting_sizes():
+    values, before = np.arange(30, dtype=np.uint64), np.array([0, 10, 30])
+    none = np.zeros(0, np.int64)
+    assert exact(values, before, none, none, 0.8).tolist() == []
+    assert exact(values, before, np.array([0]), np.array([1]), 0.8).tolist() == [False]
+
+
+def test_two_texts_that_meet_but_are_not_alike(spark):
+    assert jaccard(shingles(BASE), shingles(SHORT)) < 0.8
+    docs = spark.createDataFrame([(1, BASE), (2, SHORT)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_links, r.class_id, r.kept) for r in jaccard_links(docs).orderBy("doc_id").collect()] == \
+        [(1, 0, 1, True), (2, 0, 2, True)]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == [1, 2]
+    assert [(r.n_links, r.class_id) for r in fingerprints(docs).orderBy("doc_id").collect()] == [(0, 1), (0, 2)]
+
+
+def test_blocks_of_pairs_without_a_likely_one(spark, monkeypatch):
+    """One common opening passage makes texts meet; blocks of a few pairs mostly hold no likely one."""
+    monkeypatch.setattr(ngramjoin, "PAIRS", 4)
+    pick = random.Random(3)
+    open_ = [f"o{i}" for i in range(120)]
+    texts = [" ".join(open_ + [f"x{pick.randrange(10**6)}" for _ in range(n)]) for n in (20, 40, 60, 80, 100, 10, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [sum(jaccard(shingles(a), shingles(b)) >= 0.8 for j, b in enumerate(texts) if j != i) for i, a in enumerate(texts)]
+    assert [r.n_links for r in jaccard_links(docs).orderBy("doc_id").collect()] == want
