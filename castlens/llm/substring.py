@@ -68,9 +68,9 @@ def segments(h: np.ndarray, first: np.ndarray):
     return doc[start], start - first[doc[start]], stop - start, best[start], content
 
 
-def _pos(start, run, mark):
-    """Start, number of windows and 16 bits of the text's hash in one number that sorts by start."""
-    return (start.astype(np.int64) << 32) | (run.astype(np.int64) << 16) | mark
+def _pos(start, run):
+    """Start and number of windows in one number that sorts by start."""
+    return (start.astype(np.int64) << 32) | (run.astype(np.int64) << 16)
 
 
 def _runs(batches):
@@ -80,7 +80,7 @@ def _runs(batches):
         for i, j, part, at in tx.runs(data, off):
             ws, we, first = tx.words(part, at)
             doc, start, run, anchor, content = segments(tx.hash_spans(part, ws, we), first)
-            yield len(ws), ids[i + doc], _pos(start, run, mark[i + doc]), anchor, content
+            yield len(ws), ids[i + doc], _pos(start, run), anchor, content, mark[i + doc]
 
 
 def _flushes(batches):
@@ -89,15 +89,15 @@ def _flushes(batches):
     held, words = [], 0
 
     def out():
-        doc, pos, anchor, content = (np.concatenate([x[k] for x in held]) for k in range(4))
-        order = np.lexsort((pos, doc, content, anchor))
-        doc, pos, anchor, content = doc[order], pos[order], anchor[order], content[order]
+        doc, pos, anchor, content, mark = (np.concatenate([x[k] for x in held]) for k in range(5))
+        order = np.lexsort((mark, pos, doc, content, anchor))
+        doc, pos, anchor, content, mark = doc[order], pos[order], anchor[order], content[order], mark[order]
         new, once = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-        once[1:] = new[1:] | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])       # repeated rows
-        doc, pos, anchor, content, new = doc[once], pos[once], anchor[once], content[once], new[once]
+        once[1:] = new[1:] | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (mark[1:] != mark[:-1])    # repeated rows
+        doc, pos, anchor, content, mark, new = doc[once], pos[once], anchor[once], content[once], mark[once], new[once]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        return doc, pos, anchor, content, new, (doc > doc[first]) | (pos >> 32 > pos[first] >> 32)
+        return doc, pos, anchor, content, mark, (doc > doc[first]) | (pos >> 32 > pos[first] >> 32)
     for n, *cols in _runs(batches):
         held.append(cols)
         words += n
@@ -123,7 +123,7 @@ def _emit(hot: dict[int, int]):
     split_of = np.array([hot[k] for k in keys.tolist()], dtype=np.int64)
 
     def run(batches):
-        for doc, pos, anchor, content, _, later in _flushes(batches):
+        for doc, pos, anchor, content, mark, later in _flushes(batches):
             split = np.ones(len(doc), np.int64)
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
@@ -132,13 +132,13 @@ def _emit(hot: dict[int, int]):
             key = np.where(later, tx.mix(doc.astype(np.uint64), 5), key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(doc),
-                 pa.array(pos), pa.array(split.astype(np.int32)), pa.array(later)],
-                names=["key", "content", "anchor", "doc", "pos", "split", "copy"])
+                 pa.array(pos), pa.array(mark), pa.array(split.astype(np.int32)), pa.array(later)],
+                names=["key", "content", "anchor", "doc", "pos", "mark", "split", "copy"])
     return run
 
 
 def _words(batches):
-    """(anchor, sub, doc, pos, mask, words): the words of the segments to search, in each shard that one of their windows goes to."""
+    """(anchor, sub, doc, pos, mark, mask, words): the words of the segments to search, in each shard that one of their windows goes to."""
     before = None
     for batch in batches:
         data, off = tx.utf8(batch.column(1))
@@ -148,7 +148,7 @@ def _words(batches):
             ws, we, first = tx.words(part, at)
             h = tx.hash_spans(part, ws, we)
             total, inverse = _running(h)
-            rows = {k: [] for k in ("anchor", "sub", "doc", "pos", "mask", "words")}
+            rows = {k: [] for k in ("anchor", "sub", "doc", "pos", "mark", "mask", "words")}
             for d in range(i, j):
                 size = first[d - i + 1] - first[d - i]
                 this = ids[d], mark[d], hashlib.md5(part[at[d - i]:at[d - i + 1]].tobytes()).digest()
@@ -165,11 +165,11 @@ def _words(batches):
                     sub = (windows % np.uint64(one["split"])).astype(np.int64)
                     words = h[s:s + run + WINDOW - 1].tobytes()
                     for value in np.unique(sub):
-                        for k, v in zip(rows, (one["anchor"], int(value), ids[d], (start << 32) | (run << 16) | int(mark[d]),
+                        for k, v in zip(rows, (one["anchor"], int(value), ids[d], (start << 32) | (run << 16), mark[d],
                                                int(((sub == value).astype(np.int64) << np.arange(run)).sum()), words), strict=True):
                             rows[k].append(v)
             if rows["doc"]:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
 
 
@@ -208,7 +208,7 @@ def search(words: np.ndarray, before: np.ndarray, mask: np.ndarray, doc: np.ndar
 
 
 def _search(batches):
-    """(doc, pos): runs of windows that start earlier, of the segments of each shard."""
+    """(doc, pos, mark): runs of windows that start earlier, of the segments of each shard."""
     for t, start in tx.whole_groups(batches, ["anchor", "sub"], 2000):
         words, before = tx.fixed(t.column("words"), np.uint64)
         # one index serves some shards: a word is another symbol in each, so a segment that several
@@ -220,8 +220,8 @@ def _search(batches):
         seg, number = seg[earlier], number[earlier]
         if len(seg):
             start = (pos[seg] >> 32) + number
-            yield pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(_pos(start, np.ones(len(seg), np.int64), pos[seg] & 0xFFFF))],
-                                             names=["doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(_pos(start, np.ones(len(seg), np.int64))), t.column("mark").combine_chunks().take(pa.array(seg))],
+                                             names=["doc", "pos", "mark"])
 
 
 def _remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -249,28 +249,28 @@ def _remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def repeated_windows(slim: DataFrame) -> DataFrame:
-    """(id, text, mark) -> (doc, pos): runs of windows that also start earlier."""
+    """(id, text, mark) -> (doc, pos, mark): runs of windows that also start earlier."""
     n = parts(slim)
     found = slim.mapInArrow(_busy, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD_SEGMENTS)
     hot = {r.anchor & 0xFFFFFFFFFFFFFFFF: -(-r.n // SHARD_SEGMENTS) for r in found.collect()}   # at most segments / SHARD_SEGMENTS rows
-    rows = slim.mapInArrow(_emit(hot), "key long, content long, anchor long, doc long, pos long, split int, copy boolean")
+    rows = slim.mapInArrow(_emit(hot), "key long, content long, anchor long, doc long, pos long, mark long, split int, copy boolean")
     rows = rows.repartition(n, "key")
     mine = Window.partitionBy("key", "copy")
-    equal = Window.partitionBy("key", "copy", "content").orderBy("doc", "pos")
+    equal = Window.partitionBy("key", "copy", "content").orderBy("doc", "pos", "mark")
     start = F.shiftright("pos", 32)
-    rows = (rows.withColumn("same", F.coalesce((F.lag("doc").over(equal) == F.col("doc")) & (F.lag("pos").over(equal) == F.col("pos")), F.lit(False)))
+    rows = (rows.withColumn("same", F.coalesce((F.lag("doc").over(equal) == F.col("doc")) & (F.lag("pos").over(equal) == F.col("pos"))
+                                        & (F.lag("mark").over(equal) == F.col("mark")), F.lit(False)))
             .withColumn("first", F.first(F.struct(F.col("doc"), start)).over(equal.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("again", F.col("copy") | (F.struct(F.col("doc"), start) > F.col("first"))).where(~F.col("same")))
     rows = rows.withColumn("kinds", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(mine))
-    rows = cut(rows.where(F.col("again") | (F.col("kinds") > 1) | (F.col("split") > 1)).select("doc", "pos", "anchor", "split", "again"), "segments")
-    asked = (rows.where(~F.col("again")).withColumn("mark", F.col("pos").bitwiseAND(0xFFFF))
-             .groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "anchor", "split")).alias("asked")))
+    rows = cut(rows.where(F.col("again") | (F.col("kinds") > 1) | (F.col("split") > 1)).select("doc", "pos", "mark", "anchor", "split", "again"), "segments")
+    asked = (rows.where(~F.col("again")).groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "anchor", "split")).alias("asked")))
     words = (slim.join(asked.select(F.col("doc").alias("adoc"), F.col("mark").alias("amark"), "asked"),
                        (F.col("id") == F.col("adoc")) & (F.col("mark") == F.col("amark")))
-             .select("id", "text", "mark", "asked").mapInArrow(_words, "anchor long, sub int, doc long, pos long, mask long, words binary"))
+             .select("id", "text", "mark", "asked").mapInArrow(_words, "anchor long, sub int, doc long, pos long, mark long, mask long, words binary"))
     hits = (words.repartition(n, "anchor", "sub").sortWithinPartitions("anchor", "sub", "doc", "pos")
-            .mapInArrow(_search, "doc long, pos long"))
-    return rows.where("again").select("doc", "pos").unionByName(hits)
+            .mapInArrow(_search, "doc long, pos long, mark long"))
+    return rows.where("again").select("doc", "pos", "mark").unionByName(hits)
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,15 +279,15 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A word goes if a window of WINDOW words of its text covers it whose words also start earlier: in a smaller
     integer id, or in the same id at an earlier word. Rows of one id count as one document; null ids are the
     greatest. Windows are judged on the input. Null texts have no words and become empty. Windows are told
-    apart by 64-bit hashes of their words and of their segments. An empty table gives an empty table.
+    apart by 64-bit hashes of their words and of their segments, rows of one id by 64-bit hashes of their texts.
+    An empty table gives an empty table.
     """
     ident, mark, spans, got = (fresh(docs, x) for x in ("ident", "mark", "spans", "got"))
     did, dmark = fresh(docs, "did"), fresh(docs, "dmark")
     full = docs.withColumn(ident, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn(
-        mark, F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFF))
+        mark, F.xxhash64(F.col(text_col)))
     slim = full.select(F.col(ident).alias("id"), F.col(text_col).alias("text"), F.col(mark).alias("mark"))
-    flags = repeated_windows(slim).withColumn("mark", F.col("pos").bitwiseAND(0xFFFF))
-    flags = flags.groupBy(F.col("doc").alias(did), F.col("mark").alias(dmark)).agg(F.collect_list("pos").alias(spans))
+    flags = repeated_windows(slim).groupBy(F.col("doc").alias(did), F.col("mark").alias(dmark)).agg(F.collect_list("pos").alias(spans))
     out = full.join(flags, (F.col(ident) == F.col(did)) & (F.col(mark) == F.col(dmark)), "left")
     out = out.withColumn(got, F.arrow_udf(_remove, "struct<text:string,n_words:bigint,n_removed:bigint>")(F.col(text_col), F.col(spans)))
     new = {text_col: "text", "n_words": "n_words", "n_removed": "n_removed"}

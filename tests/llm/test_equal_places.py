@@ -49,3 +49,12 @@ def test_shards_of_split_anchors_keep_equal_places(spark, monkeypatch):
         text = " ".join([f"x{pick.randint(0, 3)}" for _ in range(12)] + passage + [f"y{pick.randint(0, 3)}" for _ in range(12)])
         data += [(k // 5, text)] * (1 + k % 2)
     check_windows(frame(spark, data, 2))
+
+
+def test_many_rows_without_an_id_keep_their_own_words(spark):
+    """Spans of one text never reach another of the same id, however many there are."""
+    first = " ".join(own(30, "q"))
+    data = [(1, first), (None, first)] + [(None, " ".join(own(30, f"u{k}_"))) for k in range(1500)]
+    got = dedup_substrings(frame(spark, data, 3))
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got.where("n_removed > 0").collect()) == [(0, 30)]
+    check_windows(frame(spark, data, 3))
