@@ -101,5 +101,33 @@ SELECT k.doc_id, count(*) AS n_lines,
        CAST(count(*) FILTER (c.key IS NOT NULL AND k.doc_id <> c.keep) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL OR k.doc_id = c.keep), '')) AS kept_sha256
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+""",
+    "op13_infill": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+c AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN len(u) = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(a, b)], '') AS prefix,
+         array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+  FROM c),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output
+  FROM p),
+m AS (SELECT *, strpos(output, '<P>') AS pp, strpos(output, '<S>') AS ps, strpos(output, '<M>') AS pm FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+              WHEN 'psm' THEN substr(output, 4, ps - 4) || substr(output, pm + 3) || substr(output, ps + 3, pm - ps - 3)
+              ELSE substr(output, pp + 3, pm - pp - 3) || substr(output, pm + 3) || substr(output, 4, pp - 4) END) AS restored_sha256
+FROM m
 """,
 }

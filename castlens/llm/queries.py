@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from castlens.llm.bpe import decode, encode, load_ranks
 from castlens.llm.fingerprint import fingerprints
 from castlens.llm.frames import fold, table
+from castlens.llm.infill import digests
 from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
 from castlens.llm.mixing import plan
@@ -81,6 +82,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality,
     op2_embedding_neardup,
@@ -92,4 +97,5 @@ QUERIES = {f.__name__: f for f in (
     op8_ngram_jaccard_join,
     op9_fingerprints,
     op10_line_dedup,
+    op13_infill,
 )}
