@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castlens.llm import infill, periodic
 from castlens.llm.bpe import decode, encode, load_ranks
 from castlens.llm.fingerprint import fingerprints
 from castlens.llm.frames import fold, table
-from castlens.llm.infill import digests
 from castlens.llm.language import identify
 from castlens.llm.linededup import dedup_lines
 from castlens.llm.mixing import plan
@@ -82,8 +82,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.plant_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return infill.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -97,5 +101,6 @@ QUERIES = {f.__name__: f for f in (
     op8_ngram_jaccard_join,
     op9_fingerprints,
     op10_line_dedup,
+    op11_periodic_runs,
     op13_infill,
 )}
