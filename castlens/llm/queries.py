@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from castlens.llm import infill, periodic
 from castlens.llm.bpe import decode, encode, load_ranks
+from castlens.llm.bytededup import dedup_bytes
 from castlens.llm.fingerprint import fingerprints
 from castlens.llm.frames import fold, table
 from castlens.llm.language import identify
@@ -86,6 +87,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.plant_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_bytes(docs, earlier_only=False).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -102,5 +108,6 @@ QUERIES = {f.__name__: f for f in (
     op9_fingerprints,
     op10_line_dedup,
     op11_periodic_runs,
+    op12_suffix_dedup,
     op13_infill,
 )}
