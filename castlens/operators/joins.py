@@ -5,10 +5,12 @@ Whether a join's side is broadcast is left to AQE, which goes by measured bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from castlens.session import _context
+from castlens.session import _context, scratch_path
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
@@ -36,3 +38,48 @@ def materialize_sum(df: DataFrame, col: str | None) -> tuple[DataFrame, int, int
     cp = df.observe(obs, *aggs).checkpoint(eager=True)
     got = obs.get
     return cp, int(got["n"]), int(got["s"]) if col else 0
+
+
+def staged(df: DataFrame, path: str | None = None, **aggs) -> tuple[DataFrame, dict]:
+    """Write ``df`` as Parquet to ``path``, or a fresh one in the shared folder, and read it again; ``aggs`` are
+    aggregates of its rows, observed by the writing job itself. One job, where a checkpoint takes two; the files' sizes
+    tell the planner how large it is."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "staged")
+    read = spark.read.schema(df.schema)
+    if aggs and _context(spark) is None:
+        df.write.parquet(path)
+        return read.parquet(path), read.parquet(path).agg(*[a.alias(k) for k, a in aggs.items()]).first().asDict()
+    obs = Observation()
+    (df.observe(obs, *[a.alias(k) for k, a in aggs.items()]) if aggs else df).write.parquet(path)
+    return read.parquet(path), obs.get if aggs else {}
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> str:
+    """``df`` as an external table in the shared folder, bucketed and sorted by ``keys``, one file a bucket; its name.
+
+    A join on the keys reads a bucket per task, without a shuffle of this side, and without a sort in a session with
+    ``SORTED_BUCKETS``. A lost executor reads the files again.
+    """
+    name = f"castlens_{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "bucketed")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return name
+
+
+# files of a bucket are read in their sorted order only with this setting, which is off by default because a bucket
+# may have several files; the tables of ``bucketed`` have one
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def bucket_session(spark: SparkSession, buckets: int) -> SparkSession:
+    """A session of the same application for joins with :func:`bucketed` tables, the caller's settings untouched.
+
+    Everything there is laid out in ``buckets`` partitions by the join keys, so there is nothing left for adaptive
+    re-planning or broadcasts to decide, and a chain of such joins runs as the stages of one job.
+    """
+    out = spark.newSession()
+    for name, value in ((SORTED_BUCKETS, "true"), ("spark.sql.shuffle.partitions", str(buckets)), ("spark.sql.adaptive.enabled", "false"),
+                        ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.sources.bucketing.enabled", "true")):
+        out.conf.set(name, value)
+    return out

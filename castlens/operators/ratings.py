@@ -5,8 +5,9 @@ ratings on the title key → partial average per person on the map side →
 shuffle on person → final average → optional global sort. A person holding a
 third of all credits is pre-aggregated per task before the shuffle, so the
 final aggregate only sees one partial row per task for it; a title holding a
-third of all credits is split by AQE's skew-join handling when the join is a
-shuffled join; AQE broadcasts the ratings side when its measured bytes allow.
+third of all credits is split by AQE's skew-join handling when the ratings are
+joined as they are, and by salts of its own when they are an aggregate (one rating
+per title); AQE broadcasts the ratings side when its measured bytes allow.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.constants import ACTING_ROLES
+from castlens.operators.skew import HOT_ROWS, skew_join
 
 
 def role_filter(col: str, roles: str | Sequence[str] | None) -> Column | None:
@@ -47,7 +49,7 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
                               roles: str | Sequence[str] | None = ACTING_ROLES,
                               ratings_title: str | None = None, metric: str = "averageRating",
                               out_col: str = "avgRating", dedupe_order_by: str | None = None,
-                              exact_scale: int | None = None, sort: bool = True) -> DataFrame:
+                              exact_scale: int | None = None, sort: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean of ``metric`` over every (credit, rating) match, per person.
 
     * ``roles`` — one role, a set of roles, or None for every role.
@@ -59,6 +61,8 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
       is then taken over exact integers (``round(x·10^s)``) so the result does
       not depend on summation order (same bits on every engine and run). NaN
       metrics are skipped like nulls there.
+    * ``hot_rows`` — with ``dedupe_order_by``, a title with more credits than that
+      meets its rating in several tasks.
     * ``sort`` — order by the average descending, then person (stable ties).
     """
     rt = ratings_title or title
@@ -69,7 +73,10 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
     if dedupe_order_by is not None:
         r = latest_per_key(r, rt, metric, dedupe_order_by)
     r = r.select(F.col(rt).alias("_t"), F.col(metric).alias("_m"))
-    j = c.join(r, "_t", "inner")
+    if dedupe_order_by is None:
+        j = c.join(r, "_t", "inner")                       # two plain shuffles: AQE splits a hot title
+    else:                                                  # one side is an aggregate of the title: AQE can't
+        j = skew_join(c, r, "_t", spread_by=[person], hot_rows=hot_rows)
     if exact_scale is None:
         agg = F.avg("_m")
     else:

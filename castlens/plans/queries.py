@@ -122,10 +122,10 @@ def bfs_distance_full_all_roles(spark, sf_dir):
 
 
 def bfs_distance_full_indexed(spark, sf_dir):
-    """The all-roles search with a salt for every four edges, so that most persons
-    and many titles are split, and finished levels written two at a time."""
+    """The all-roles search with a salt for every four edges of the most frequent persons and titles, few hops
+    a job, and tables rebuilt from the unreached persons as soon as they are the fewer."""
     return _credits(spark, sf_dir).transform(G.bipartite_edges).transform(
-        G.bfs_distances, BFS_SOURCE, hot_rows=4, compact_levels=2)
+        G.bfs_distances, BFS_SOURCE, hot_rows=4, small_rows=100, hops=2)
 
 
 def bfs_distance_capped(spark, sf_dir):
