@@ -1,3 +1,5 @@
+from castlens.operators.bitmaps import (bitmap_difference, bitmap_intersection, bitmap_keys,
+                                       bitmap_members, distinct_counts, key_bitmaps)
 from castlens.operators.graph import (UNREACHED, bfs_distances, bfs_distances_capped,
                                      bipartite_edges, cast_lists, credits, gather_distances,
                                      graph_nodes, level_histogram, neighbour_slots,
@@ -8,6 +10,7 @@ from castlens.operators.ratings import average_metric_per_person, latest_per_key
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
                                         union_all, union_by_name, with_key, with_midpoint,
                                         with_sql_columns)
+from castlens.operators.skew import hot_keys, skew_join
 from castlens.operators.text import word_count
 
 __all__ = [
@@ -17,5 +20,6 @@ __all__ = [
     "with_sql_columns",
     "average_metric_per_person", "latest_per_key", "role_filter", "first_n", "rename_add_drop",
     "replicate", "set_difference", "union_all", "union_by_name", "with_key", "with_midpoint",
-    "word_count",
+    "word_count", "hot_keys", "skew_join", "bitmap_difference", "bitmap_intersection", "bitmap_keys",
+    "bitmap_members", "distinct_counts", "key_bitmaps",
 ]

@@ -97,6 +97,9 @@ FROM per JOIN s ON per.title = s.title
 GROUP BY 1, 2"""
 
 
+_LINES = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag || l_linestatus) - 1 AS line_no,
+       l_orderkey || chr(9) || l_linenumber || chr(9) || l_partkey || chr(9) || l_returnflag || l_linestatus AS value FROM lineitem"""
+
 ORACLE: dict[str, str] = {
     "avg_metric_role_set": _avg(f"WHERE l.l_returnflag || l.l_linestatus IN {_in(ACTING_ROLES)}"),
     "avg_metric_single_role": _avg(f"WHERE l.l_returnflag || l.l_linestatus = '{SINGLE_ROLE}'"),
@@ -182,6 +185,17 @@ FROM (SELECT s_suppkey, s_acctbal AS low, CAST(s_nationkey AS DOUBLE) AS high FR
     "set_difference": f"""SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)}
 EXCEPT
 SELECT l_orderkey AS tconst FROM lineitem WHERE l_returnflag || l_linestatus = '{SINGLE_ROLE}'""",
+    "bitmap_membership": f"""SELECT l_orderkey AS tconst, l_partkey AS nconst, l_linenumber AS ordering FROM lineitem
+WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)} AND l_orderkey IN (
+  SELECT l_orderkey FROM lineitem WHERE l_returnflag || l_linestatus = '{SINGLE_ROLE}')""",
+    "bitmap_distinct_persons": """SELECT l_returnflag || l_linestatus AS category, count(DISTINCT l_partkey) AS n_persons
+FROM lineitem GROUP BY 1""",
+    "bitmap_common_persons": f"""SELECT l_partkey AS nconst FROM lineitem WHERE l_returnflag || l_linestatus IN {_in(GRAPH_ROLES)}
+INTERSECT SELECT l_partkey AS nconst FROM lineitem WHERE l_returnflag || l_linestatus = '{SINGLE_ROLE}'""",
+    "line_numbers": _LINES,
+    "subset_first_lines": f"SELECT * FROM ({_LINES}) WHERE line_no < 1000",
+    "scan_quarantine": """SELECT 'row' AS kind, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem
+UNION ALL SELECT 'line', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier""",
     "safe_cast_count": f"""SELECT count(*) AS n_tokens, count(x) AS n_numeric, count(*) - count(x) AS n_bad
 FROM (SELECT CASE WHEN regexp_full_match(word, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
              THEN TRY_CAST(word AS DOUBLE) END AS x FROM ({_WORDS}))""",
@@ -190,4 +204,5 @@ FROM (SELECT CASE WHEN regexp_full_match(word, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+
     "sink_text_round_trip": r"""SELECT doc_id, text, ' ' || chr(9) || '\' || text || '\N' || chr(13) || chr(10) || ' ' AS odd,
        '' AS empty, '\N' AS marker FROM documents""",
 }
+ORACLE["bitmap_set_difference"] = ORACLE["set_difference"]
 ORACLE["scan_json_declared"] = ORACLE["scan_json_nested"]

@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from castlens.constants import HEADER_KEY
 from castlens.functions.columns import array_get, concat_key, safe_double, split_get, word_tokens
 from castlens.operators import graph as G
+from castlens.operators.bitmaps import bitmap_difference, bitmap_intersection, bitmap_members, distinct_counts
 from castlens.operators.partitions import partition_summary, repartition
 from castlens.operators.ratings import average_metric_per_person
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
@@ -27,6 +28,7 @@ from castlens.plans.tables import (ACTING_ROLES, BFS_DEPTH, BFS_SOURCE, CHUNK_SI
                                    MONEY_SCALE, REPLICAS, SINGLE_ROLE, SMALL_CHUNK, principals, ratings,
                                    table)
 from castlens.session import scratch_path
+from castlens.sources.lines import number_lines, read_quarantined
 from castlens.streaming.ingest import stage_stream
 from castlens.sources.readers import (read_csv_clean, read_csv_inferred, read_delimited, read_json,
                                       read_text_positional, unescape)
@@ -410,6 +412,61 @@ def set_difference_q(spark, sf_dir):
     return set_difference(graph_titles, single_titles)
 
 
+def bitmap_set_difference(spark, sf_dir):
+    """The same difference over 4 KB bitmaps of title keys."""
+    return bitmap_difference(principals(spark, sf_dir, GRAPH_ROLES).select("tconst"),
+                             principals(spark, sf_dir, SINGLE_ROLE).select("tconst"), "tconst")
+
+
+def bitmap_membership(spark, sf_dir):
+    """Credits of the graph roles on titles that the single role has a credit on too."""
+    return bitmap_members(principals(spark, sf_dir, GRAPH_ROLES).select("tconst", "nconst", "ordering"),
+                          principals(spark, sf_dir, SINGLE_ROLE).select("tconst"), "tconst", spread_by=["nconst", "ordering"])
+
+
+def bitmap_distinct_persons(spark, sf_dir):
+    return distinct_counts(principals(spark, sf_dir), "nconst", ["category"]).withColumnRenamed("n", "n_persons")
+
+
+def bitmap_common_persons(spark, sf_dir):
+    """Persons with credits in both the single role and the graph roles."""
+    return bitmap_intersection(principals(spark, sf_dir, GRAPH_ROLES).select("nconst"),
+                               principals(spark, sf_dir, SINGLE_ROLE).select("nconst"), "nconst")
+
+
+def _credit_lines(spark, sf_dir):
+    """Credits as text lines in many files whose order is that of (title, ordering, person, role)."""
+    path = scratch_path(spark, "ordered_lines")
+    order = ["tconst", "ordering", "nconst", "category"]
+    rows = principals(spark, sf_dir).repartitionByRange(16, *order).sortWithinPartitions(*order)
+    rows.select(F.concat_ws("\t", *order).alias("value")).write.text(path)
+    return path
+
+
+def line_numbers(spark, sf_dir):
+    return number_lines(spark, _credit_lines(spark, sf_dir)).select("line_no", "value")
+
+
+def subset_first_lines(spark, sf_dir):
+    """head -n over many files (the first 1,000 lines are the feature)."""
+    return number_lines(spark, _credit_lines(spark, sf_dir), first=1000).select("line_no", "value")
+
+
+def scan_quarantine(spark, sf_dir):
+    """Credits as lines beside a broken line for every supplier: rows that parse and lines that don't, per kind."""
+    path = scratch_path(spark, "dirty_lines")
+    good = principals(spark, sf_dir).select(F.concat_ws("\t", "tconst", "ordering", "nconst", "category").alias("value"))
+    s = table(spark, sf_dir, "supplier")
+    broken = s.select(F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws("\t", "s_suppkey", F.lit("first"), F.lit("7"), F.lit("AF")))
+                      .when(F.col("s_suppkey") % 3 == 1, F.concat_ws("\t", "s_suppkey", F.lit("1")))
+                      .otherwise(F.concat_ws("\t", "s_suppkey", F.lit("1"), F.lit("7"), F.lit("AF"), F.lit("more"))).alias("value"))
+    good.unionByName(broken).write.text(path)
+    rows, bad = read_quarantined(spark, path, StructType.fromDDL("tconst bigint, ordering int, nconst bigint, category string"))
+    key = F.try_to_number(F.split_part("value", F.lit("\t"), F.lit(1)), F.lit("9999999999")).cast("long")
+    return rows.agg(F.lit("row").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("tconst").alias("keys")).unionByName(
+        bad.agg(F.lit("line").alias("kind"), F.count("line").alias("n"), F.sum(key).alias("keys")))
+
+
 def safe_cast_count(spark, sf_dir):
     """Text → number with bad text counted instead of failing (the mapper's float()), over every token."""
     tokens = table(spark, sf_dir, "documents").select(F.explode(word_tokens("text")).alias("t")).where(F.col("t") != F.lit(""))
@@ -464,5 +521,12 @@ QUERIES: dict[str, Query] = {
     "union_positional": union_positional,
     "stream_stage_to_parquet": stream_stage_to_parquet,
     "set_difference": set_difference_q,
+    "bitmap_set_difference": bitmap_set_difference,
+    "bitmap_membership": bitmap_membership,
+    "bitmap_distinct_persons": bitmap_distinct_persons,
+    "bitmap_common_persons": bitmap_common_persons,
+    "line_numbers": line_numbers,
+    "subset_first_lines": subset_first_lines,
+    "scan_quarantine": scan_quarantine,
     "safe_cast_count": safe_cast_count,
 }
