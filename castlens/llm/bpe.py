@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
-from castlens.llm.frames import cut, fresh, small_batches
+from castlens.llm.frames import cut, fresh, release, small_batches
 
 BUCKETS = 1 << 16            # of the literal rank map
 SPREAD = (40503, 5)          # multipliers that deal pairs of ids to buckets
@@ -203,8 +203,8 @@ def _strangers(tables):
     return F.arrow_udf(run, "array<string>").asNondeterministic()   # evaluated once, where it stands
 
 
-def _layout(tables):
-    """Arrow UDF: text and the ids of its strangers -> the ids of all its pieces."""
+def _layout(hashes, tables):
+    """Arrow UDF: text and the ids of its strangers -> the ids of all its pieces. tables: ids and offsets of the known words."""
     def run(texts: pa.Array, folded: pa.Array) -> pa.Array:
         data, off = tx.utf8(texts)
         outer, inner = folded.offsets.to_numpy().astype(np.int64), folded.values
@@ -212,16 +212,16 @@ def _layout(tables):
         parts, count = [], np.zeros(len(off), dtype=np.int64)
         for i, j, part, at in tx.runs(data, off):
             known = tables.value
-            before, found, lost, rank, _, _, _ = _unknown(part, at, [t.hashes for t in known])
+            before, found, lost, rank, _, _, _ = _unknown(part, at, hashes.value)
             pieces = int(before[-1])
             begin, size = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64)
             base, pool = 0, []
-            for t, f in zip(known, found, strict=True):
+            for (t_ids, t_before), f in zip(known, found, strict=True):
                 hit = (f >= 0) & (size == 0)
-                begin[hit] = base + t.before[f[hit]].astype(np.int64)
-                size[hit] = t.before[f[hit] + 1] - t.before[f[hit]]
-                pool.append(t.ids)
-                base += len(t.ids)
+                begin[hit] = base + t_before[f[hit]].astype(np.int64)
+                size[hit] = t_before[f[hit] + 1] - t_before[f[hit]]
+                pool.append(t_ids)
+                base += len(t_ids)
             own = outer[i] + rank                          # strangers stand in the same order here as there
             begin[lost], size[lost] = base + own_before[own], own_before[own + 1] - own_before[own]
             ends = np.cumsum(size)
@@ -308,17 +308,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
             break
     folded = words.where(F.col("n") >= least).select("word", merge_words(F.col("word"), ranks).alias("ids"))
     folded = cut(folded.mapInArrow(_packed, "hash long, ids binary"), "folded")
+    release(docs.sparkSession)
     # bounded by DICTIONARY_WORDS and DICTIONARY_BYTES; in order of the hashes as unsigned numbers
     t = folded.orderBy(F.col("hash") < 0, "hash").toArrow()
-    common = Known.__new__(Known)
-    common.hashes = t.column("hash").to_numpy().view(np.uint64)
-    common.ids, before = tx.fixed(t.column("ids"), np.uint16)
-    common.before = before.astype(np.uint32)
-    del t, before
-    tables, hashes = sc.broadcast([tokens, common]), sc.broadcast([tokens.hashes, common.hashes])
+    hashes = sc.broadcast([tokens.hashes, t.column("hash").to_numpy().view(np.uint64)])
+    ids, before = tx.fixed(t.column("ids"), np.uint16)
+    del t
+    tables = sc.broadcast([(tokens.ids, tokens.before), (ids, before.astype(np.uint32))])
+    del ids, before
     rare = fresh(docs, "rare")
     out = docs.withColumn(rare, F.transform(_strangers(hashes)(F.col(text_col)), lambda w: merge_words(w, ranks)))
-    return out.withColumn(out_col, _layout(tables)(F.col(text_col), F.col(rare))).drop(rare)
+    return out.withColumn(out_col, _layout(hashes, tables)(F.col(text_col), F.col(rare))).drop(rare)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

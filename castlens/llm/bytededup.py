@@ -18,11 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
-from castlens.llm.frames import cut, fresh, parts, small_batches
+from castlens.llm.frames import cut, fresh, parts, release, small_batches
 from castlens.llm.suffixes import factors, suffix_ranks
 
 WINDOW = 200
@@ -344,11 +344,6 @@ def _remove(texts: pa.Array, hits: pa.Array) -> pa.Array:
                                       names=["kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of steps whose results are written go when the driver's JVM collects its garbage: ask for it."""
-    spark._jvm.System.gc()
-
-
 def repeated_ranges(slim: DataFrame, earlier_only: bool) -> DataFrame:
     """(id, mark, text) -> (id, mark, pos, ranges): segments with the ranges of their windows that start elsewhere too."""
     spark, n = slim.sparkSession, parts(slim)

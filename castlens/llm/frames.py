@@ -19,6 +19,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of steps whose results are written go when the driver's JVM collects its garbage: ask for it, so
+    that the disks hold those of one step and not of all."""
+    spark._jvm.System.gc()
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
