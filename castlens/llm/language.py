@@ -225,7 +225,8 @@ def identify(docs: DataFrame, learn: DataFrame, *, text_col: str = "text", lang_
     """``docs`` with a struct ``out_col``: lang, score and languages, learned from the rows of ``learn``.
 
     Texts that are null or hold no letter get ``und``, score 0 and no languages, and so do all if nothing could
-    be learned. Ties go to the first language in order; equal texts get equal results.
+    be learned. Ties go to the first language in order; repeated rows and equal texts get equal results, a very long
+    text is read whole, an empty table stays empty. A column already named ``out_col`` is replaced.
     """
     langs, table = fit(learn, text_col=text_col, lang_col=lang_col)
     return docs.withColumn(out_col, identifier(langs, table)(F.col(text_col)))

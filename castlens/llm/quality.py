@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
-from castlens.llm.labelled import MAX_DOCS, training_shards
+from castlens.llm.labelled import MAX_DOCS, training_shards, used_shards
 
 BITS = 18                                   # 2^18 hashed features
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
@@ -92,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "q
 
     Without labels there is nothing to learn: the weights are 0 and every score is 0.5.
     """
-    sample, shards, n = training_shards(docs, labels, label_col, keep, id_col=id_col, text_col=text_col, max_docs=max_docs)
-    used = sample.select("shard").distinct().count() if n else 0
+    sample, _, n = training_shards(docs, labels, label_col, keep, id_col=id_col, text_col=text_col, max_docs=max_docs)
+    used = used_shards(sample) if n else 0
     weights, bias = np.zeros(1 << BITS), 0.0
     if used:
         got = sample.groupBy("shard").applyInArrow(_task, "slot int, w double")
@@ -125,6 +125,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: Column, *, id_col: s
     """``docs`` with ``out_col``, the probability (0 to 1) that a text has label 1.
 
     ``keep`` says which labelled ids (column ``id``) may be learned from. Null, empty and blank texts get the
-    score of the bias alone; equal texts get equal scores; an empty table stays empty.
+    score of the bias alone; a very long text is scored whole; repeated rows and equal texts get equal scores;
+    rows without an id are scored like others and never learned from; an empty table stays empty. A column
+    already named ``out_col`` is replaced.
     """
     return docs.withColumn(out_col, scorer(*fit(docs, labels, keep, id_col=id_col, text_col=text_col))(F.col(text_col)))

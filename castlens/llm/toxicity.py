@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
-from castlens.llm.labelled import MAX_DOCS, training_shards
+from castlens.llm.labelled import MAX_DOCS, training_shards, used_shards
 
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 2, 20, 64, 0.5, 1e-3
 HELD = 5                   # one document in so many is kept from the weights, to set their scale and the bias
@@ -168,15 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, label_col: str = "t
 
     Without labels of both kinds there are no weights, and the score is the share of positive labels.
     """
-    sample, shards, n = training_shards(docs, labels, label_col, keep, id_col=id_col, text_col=text_col, max_docs=max_docs)
+    sample, _, n = training_shards(docs, labels, label_col, keep, id_col=id_col, text_col=text_col, max_docs=max_docs)
     rate = (sample.agg(F.avg("label")).first()[0] or 0.0) if n else 0.0
     none = np.zeros(0, np.uint64), np.zeros(0)
     if rate in (0.0, 1.0):
         return *none, -40.0 if rate == 0 else 40.0
     vocab, weights, bias = *none, float(np.log(rate / 20))
+    used = used_shards(sample)
     for _ in range(ROUNDS):
         got = (sample.groupBy("shard").applyInArrow(_shard_task(vocab, weights, bias), "word long, w double")
-               .groupBy("word").agg((F.sum("w") / F.lit(float(shards))).alias("w")).toArrow())   # at most shards * MAX_WEIGHTS rows
+               .groupBy("word").agg((F.sum("w") / F.lit(float(used))).alias("w")).toArrow())   # at most used * MAX_WEIGHTS rows
         word, w = got.column("word"), got.column("w").to_numpy()
         is_bias = word.is_null().to_numpy()
         bias = float(w[is_bias][0])
@@ -223,7 +224,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, *, id_col:
     """``docs`` with a struct column ``out_col``: score (0 to 1) and offending sentences.
 
     ``keep`` says which labelled ids (column ``id``) may be learned from. Null and empty texts get the score
-    of an empty sentence; equal texts get equal scores; an empty table stays empty.
+    of an empty sentence; a very long text is scored whole; repeated rows and equal texts get equal scores; rows
+    without an id are scored like others and never learned from; an empty table stays empty. A column already
+    named ``out_col`` is replaced.
     """
     model = fit(docs, labels, keep, id_col=id_col, text_col=text_col)
     return docs.withColumn(out_col, scorer(*model)(F.col(text_col)))
