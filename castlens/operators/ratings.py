@@ -44,6 +44,31 @@ def latest_per_key(df: DataFrame, key: str, value: str, order_by: str) -> DataFr
     return df.groupBy(key).agg(last.getField("v").alias(value))
 
 
+def matched_metrics(credits: DataFrame, ratings: DataFrame, *, title: str = "tconst", person: str = "nconst",
+                    role: str = "category", roles: str | Sequence[str] | None = None, ratings_title: str | None = None,
+                    metric: str = "averageRating", dedupe_order_by: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(person, _m): the metric of every (credit, rating) match; see :func:`average_metric_per_person`."""
+    rt = ratings_title or title
+    cond = role_filter(role, roles)
+    c = credits if cond is None else credits.where(cond)
+    c = c.select(F.col(title).alias("_t"), F.col(person).alias(person))
+    if dedupe_order_by is None:                            # two plain shuffles: AQE splits a hot title
+        return c.join(ratings.select(F.col(rt).alias("_t"), F.col(metric).alias("_m")), "_t", "inner").drop("_t")
+    r = latest_per_key(ratings, rt, metric, dedupe_order_by).select(F.col(rt).alias("_t"), F.col(metric).alias("_m"))
+    return skew_join(c, r, "_t", spread_by=[person], hot_rows=hot_rows).drop("_t")   # an aggregate: AQE can't
+
+
+def exact_units(metric: str, scale: int) -> Column:
+    """The metric as an exact integer, ``round(x·10^scale)``; null for null and NaN."""
+    value = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+    return F.round(value * F.lit(10 ** scale)).cast("decimal(38,0)")
+
+
+def units_average(units: Column, n: Column, scale: int) -> Column:
+    """The mean of ``n`` metrics from the sum of their units; null without any."""
+    return F.try_divide(units.cast("double"), n.cast("double")) / F.lit(float(10 ** scale))
+
+
 def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title: str = "tconst",
                               person: str = "nconst", role: str = "category",
                               roles: str | Sequence[str] | None = ACTING_ROLES,
@@ -65,25 +90,13 @@ def average_metric_per_person(credits: DataFrame, ratings: DataFrame, *, title:
       meets its rating in several tasks.
     * ``sort`` — order by the average descending, then person (stable ties).
     """
-    rt = ratings_title or title
-    cond = role_filter(role, roles)
-    c = credits if cond is None else credits.where(cond)
-    c = c.select(F.col(title).alias("_t"), F.col(person).alias(person))
-    r = ratings
-    if dedupe_order_by is not None:
-        r = latest_per_key(r, rt, metric, dedupe_order_by)
-    r = r.select(F.col(rt).alias("_t"), F.col(metric).alias("_m"))
-    if dedupe_order_by is None:
-        j = c.join(r, "_t", "inner")                       # two plain shuffles: AQE splits a hot title
-    else:                                                  # one side is an aggregate of the title: AQE can't
-        j = skew_join(c, r, "_t", spread_by=[person], hot_rows=hot_rows)
+    j = matched_metrics(credits, ratings, title=title, person=person, role=role, roles=roles, ratings_title=ratings_title,
+                        metric=metric, dedupe_order_by=dedupe_order_by, hot_rows=hot_rows)
     if exact_scale is None:
         agg = F.avg("_m")
     else:
-        scale = 10 ** exact_scale
-        j = j.withColumn("_m", F.nanvl(F.col("_m").cast("double"), F.lit(None).cast("double")))
-        units = F.round(F.col("_m") * F.lit(scale)).cast("decimal(38,0)")
-        agg = F.try_divide(F.sum(units).cast("double"), F.count("_m").cast("double")) / F.lit(float(scale))
+        units = exact_units("_m", exact_scale)
+        agg = units_average(F.sum(units), F.count(units), exact_scale)
     out = j.groupBy(person).agg(agg.alias(out_col))
     if sort:
         out = out.orderBy(F.col(out_col).desc_nulls_last(), F.col(person).asc())

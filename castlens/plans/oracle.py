@@ -196,6 +196,20 @@ INTERSECT SELECT l_partkey AS nconst FROM lineitem WHERE l_returnflag || l_lines
     "subset_first_lines": f"SELECT * FROM ({_LINES}) WHERE line_no < 1000",
     "scan_quarantine": """SELECT 'row' AS kind, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem
 UNION ALL SELECT 'line', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier""",
+    "avg_metric_incremental": _avg(""),
+    "adjacency_round_trip": "SELECT DISTINCT l_orderkey AS title, l_partkey AS person FROM lineitem",
+    "adjacency_chunk_report": """SELECT l_partkey AS person, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_titles,
+       min(l_orderkey) AS first_title, max(l_orderkey) AS last_title, true AS bounded FROM lineitem GROUP BY 1""",
+    "neighbours_of_source": f"""SELECT a.l_partkey AS person, b.l_partkey AS neighbour, count(DISTINCT a.l_orderkey) AS n_titles
+FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey = {BFS_SOURCE} AND b.l_partkey <> a.l_partkey GROUP BY 1, 2""",
+    "scan_json_variant": """SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+    "json_variant_profile": """SELECT key, kind, count(*) AS n FROM (
+  SELECT event_id % 4 AS shape FROM events) JOIN (VALUES
+  (0, 'event', 'OBJECT'), (0, 'type', 'STRING'), (0, 'value', 'DECIMAL'), (0, 'props', 'OBJECT'),
+  (1, 'event_id', 'BIGINT'), (1, 'user_id', 'BIGINT'), (1, 'type', 'STRING'), (1, 'value', 'STRING'), (1, 'k', 'BIGINT'),
+  (3, 'event', 'OBJECT'), (3, 'kind', 'OBJECT'), (3, 'amount', 'DECIMAL'), (3, 'props', 'ARRAY')) v(shape, key, kind) USING (shape)
+GROUP BY 1, 2
+UNION ALL SELECT 'bad line', 'TEXT', count(*) FROM supplier""",
     "safe_cast_count": f"""SELECT count(*) AS n_tokens, count(x) AS n_numeric, count(*) - count(x) AS n_bad
 FROM (SELECT CASE WHEN regexp_full_match(word, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
              THEN TRY_CAST(word AS DOUBLE) END AS x FROM ({_WORDS}))""",

@@ -17,13 +17,17 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from castlens.constants import HEADER_KEY
 from castlens.functions.columns import array_get, concat_key, safe_double, split_get, word_tokens
 from castlens.operators import graph as G
+from castlens.operators.adjacency import compressed_rows, decoded, neighbours
 from castlens.operators.bitmaps import bitmap_difference, bitmap_intersection, bitmap_members, distinct_counts
+from castlens.operators.incremental import add_batch, compact_states, metric_states, read_states, state_averages
+from castlens.operators.joins import staged
 from castlens.operators.partitions import partition_summary, repartition
 from castlens.operators.ratings import average_metric_per_person
 from castlens.operators.shaping import (first_n, rename_add_drop, replicate, set_difference,
                                         union_all, union_by_name, with_key, with_midpoint,
                                         with_sql_columns)
 from castlens.operators.text import word_count
+from castlens.operators.variants import read_variant_lines, variant_columns, variant_profile
 from castlens.plans.tables import (ACTING_ROLES, BFS_DEPTH, BFS_SOURCE, CHUNK_SIZE, GRAPH_ROLES,
                                    MONEY_SCALE, REPLICAS, SINGLE_ROLE, SMALL_CHUNK, principals, ratings,
                                    table)
@@ -467,6 +471,78 @@ def scan_quarantine(spark, sf_dir):
         bad.agg(F.lit("line").alias("kind"), F.count("line").alias("n"), F.sum(key).alias("keys")))
 
 
+def avg_metric_incremental(spark, sf_dir):
+    """Averages over all roles from three landing batches: one replayed before and one after it was merged."""
+    path, credits, rated = scratch_path(spark, "average_states"), principals(spark, sf_dir), ratings(spark, sf_dir)
+
+    def land(batch):
+        part = credits.where(F.pmod(F.col("ordering"), F.lit(3)) == batch)
+        add_batch(metric_states(part, rated, exact_scale=MONEY_SCALE), batch, path)
+    land(0)
+    land(1)
+    land(1)
+    compact_states(spark, path)
+    land(0)
+    land(2)
+    return state_averages(read_states(spark, path), exact_scale=MONEY_SCALE)
+
+
+def adjacency_round_trip(spark, sf_dir):
+    """Casts of all titles as compressed rows of at most four persons, decoded again."""
+    casts = compressed_rows(G.credits(principals(spark, sf_dir)), "title", "person", chunk_keys=SMALL_CHUNK)
+    return decoded(casts, "person", ["title"])
+
+
+def adjacency_chunk_report(spark, sf_dir):
+    """Sizes of the compressed titles of each person: titles, span, and whether every chunk keeps its bounds."""
+    titles = compressed_rows(G.credits(principals(spark, sf_dir)), "person", "title", chunk_keys=SMALL_CHUNK)
+    bounded = (F.col("n") <= SMALL_CHUNK) & (F.octet_length("packed") == F.col("n") * F.col("width"))
+    return titles.groupBy("person").agg(F.sum("n").alias("n_titles"), F.min("first").alias("first_title"),
+                                        F.max("last").alias("last_title"), F.every(bounded).alias("bounded"))
+
+
+def neighbours_of_source(spark, sf_dir):
+    """Whom the search's source shares titles with, over all roles, read from compressed rows of both directions."""
+    c = G.credits(principals(spark, sf_dir))
+    titles_of, _ = staged(compressed_rows(c, "person", "title"))
+    casts, _ = staged(compressed_rows(c, "title", "person"))
+    return neighbours(titles_of, casts, spark.range(BFS_SOURCE, BFS_SOURCE + 1).select(F.col("id").alias("person")))
+
+
+def _mixed_events(spark, sf_dir):
+    """Events as JSON lines in four shapes (nested, flat with numbers as text, array, partly renamed), and a broken
+    line for every supplier."""
+    ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    nested = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user")).alias("event"),
+                                F.col("event_type").alias("type"), "value", F.struct("k").alias("props")))
+    flat = F.to_json(F.struct("event_id", "user_id", F.col("event_type").alias("type"), F.col("value").cast("string").alias("value"), "k"))
+    listed = F.concat(F.lit("["), F.concat_ws(",", "event_id", "user_id", F.concat(F.lit('"'), "event_type", F.lit('"')),
+                                              F.col("value").cast("string"), "k"), F.lit("]"))
+    renamed = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user")).alias("event"),
+                                 F.struct(F.col("event_type").alias("name")).alias("kind"), F.col("value").alias("amount"), F.array("k").alias("props")))
+    shape = F.pmod(F.col("event_id"), F.lit(4))
+    lines = ev.select(F.when(shape == 0, nested).when(shape == 1, flat).when(shape == 2, listed).otherwise(renamed).alias("value"))
+    broken = table(spark, sf_dir, "supplier").select(F.concat(F.lit('{"event_id": '), F.col("s_suppkey")).alias("value"))
+    path = scratch_path(spark, "mixed_events")
+    lines.unionByName(broken).write.text(path)
+    return read_variant_lines(spark, path)
+
+
+def scan_json_variant(spark, sf_dir):
+    """Fields of records in four shapes, by path and type, in one pass without a schema."""
+    return variant_columns(_mixed_events(spark, sf_dir), {
+        "event_id": ("bigint", ["$.event.id", "$.event_id", "$[0]"]), "user_id": ("bigint", ["$.event.user", "$.user_id", "$[1]"]),
+        "event_type": ("string", ["$.type", "$.kind.name", "$[2]"]), "value": ("double", ["$.value", "$.amount", "$[3]"]),
+        "k": ("bigint", ["$.props.k", "$.k", "$.props[0]", "$[4]"])})
+
+
+def json_variant_profile(spark, sf_dir):
+    """Which top-level fields the records have, as what, and how many lines are no JSON."""
+    lines = _mixed_events(spark, sf_dir)
+    bad = lines.where(F.col("bad_line").isNotNull()).agg(F.lit("bad line").alias("key"), F.lit("TEXT").alias("kind"), F.count("bad_line").alias("n"))
+    return variant_profile(lines).where(F.col("key").isNotNull()).unionByName(bad)
+
+
 def safe_cast_count(spark, sf_dir):
     """Text → number with bad text counted instead of failing (the mapper's float()), over every token."""
     tokens = table(spark, sf_dir, "documents").select(F.explode(word_tokens("text")).alias("t")).where(F.col("t") != F.lit(""))
@@ -528,5 +604,11 @@ QUERIES: dict[str, Query] = {
     "line_numbers": line_numbers,
     "subset_first_lines": subset_first_lines,
     "scan_quarantine": scan_quarantine,
+    "avg_metric_incremental": avg_metric_incremental,
+    "adjacency_round_trip": adjacency_round_trip,
+    "adjacency_chunk_report": adjacency_chunk_report,
+    "neighbours_of_source": neighbours_of_source,
+    "scan_json_variant": scan_json_variant,
+    "json_variant_profile": json_variant_profile,
     "safe_cast_count": safe_cast_count,
 }
