@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions over the bytes of distinct words.
 
-``merge_words`` is the fold: a word starts as the array of its bytes (as their ids); each step looks up the ranks
-of neighbours in a literal rank map and joins the leftmost pair of least rank.
+``merge_words`` is the fold: a word starts as the array of its bytes (as their ids) with the ranks of neighbours
+from a literal rank map; each step joins the leftmost pair of least rank and looks up its new neighbours.
 Words come from the corpus: those that occur twice or more are folded once each and their ids broadcast as a
 dictionary of bounded size; the rest are folded where they stand, once for each document that holds them.
 Splitting texts into words and laying ids out per document is numpy work inside Arrow tasks. Texts never
@@ -25,7 +25,9 @@ from castlens.llm.frames import cut, fresh, release, small_batches
 
 BUCKETS = 1 << 16            # of the literal rank map
 SPREAD = (40503, 5)          # multipliers that deal pairs of ids to buckets
-NO_RANK = 2147483647
+EDGE = 1 << 16               # an id beyond all ranks
+PLACE_AT, RANK_AT = 17, 46   # bits of the fold's state: id, place of the first byte, rank
+NO_RANK = (1 << 17) - 1
 DICTIONARY_WORDS = 1 << 21   # at most so many words are broadcast ...
 DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 2 * 64 bytes each in the worst case
 FLUSH_BYTES = 1 << 25        # text that a task counts words of before it hands the counts on
@@ -241,50 +243,70 @@ def _layout(hashes, tables):
     return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    """The ranks as a literal: for each pair of tokens that joins to a token, (left << 16 | right) and the rank of
-    the joined one, in buckets so that a look-up compares one or two keys."""
-    if max(ranks.values()) >= 1 << 16:
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal: for each pair of tokens that joins to a token, the joined one's rank (as its complement,
+    which no pair equals) and then (left << 16 | right), in buckets so that a look-up compares a few numbers."""
+    if max(ranks.values()) >= EDGE:
         raise ValueError("ranks must be below 65536")
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    values: list[list[int]] = [[] for _ in range(BUCKETS)]
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
-                slot = (left * SPREAD[0] + right * SPREAD[1]) % BUCKETS
-                keys[slot].append(left << 16 | right)
-                values[slot].append(rank)
-    return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<array<{t}>>")
-                 for x, t in ((keys, "bigint"), (values, "int")))
+                buckets[(left * SPREAD[0] + right * SPREAD[1]) % BUCKETS] += [~rank, left << 16 | right]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def merge_words(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word (one piece of the split), by folding ranked merges over the ids of its bytes.
+    """The ids of a word (one piece of the split), by folding ranked merges over the ids of its bytes. Null gives null.
 
-    The literal map stands in the expression once: plans that name it stay small.
+    The fold's state is a number a token: the rank of joining it to the next one, its first byte's place and its id.
+    The least number is the leftmost pair of least rank; a merge looks up the ranks of its two new neighbours only.
+    The literal map stands in the expression once: every copy would be sent to, and read by, each task.
     """
-    keys, values = rank_map(ranks)
     bytes_ = F.lit([ranks[bytes([b])] for b in range(256)])
-
-    def rank(left: Column, right: Column) -> Column:
-        slot = (left * SPREAD[0] + right * SPREAD[1]).bitwiseAND(BUCKETS - 1).cast("int")
-        at = F.array_position(F.get(keys, slot), left * 65536 + right)
-        return F.coalesce(F.get(F.get(values, slot), (at - 1).cast("int")), F.lit(NO_RANK))
-
-    def step(ids: Column, _: Column) -> Column:
-        def join(links: Column) -> Column:
-            low = F.array_min(links)
-            i = F.array_position(links, low).cast("int")
-            joined = F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low.cast("bigint")), F.slice(ids, i + 2, F.size(ids)))
-            return F.when(low == NO_RANK, ids).otherwise(joined)
-        links = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank)
-        return F.when(F.size(ids) < 2, ids).otherwise(F.get(F.transform(F.array(links), join), 0))
-
-    size, digits = F.octet_length(word), F.hex(word)
-    begin = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(
-        bytes_, F.conv(F.substring(digits, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("int")).cast("bigint"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step, lambda ids: ids.cast("array<int>"))
+    edge = F.lit(NO_RANK << RANK_AT | EDGE).cast("bigint")      # before the first and after the last token: joins nothing
+
+    def fold(table: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            bucket = F.get(table, (left * SPREAD[0] + right * SPREAD[1]).bitwiseAND(BUCKETS - 1).cast("int"))
+            found = F.get(bucket, (F.array_position(bucket, F.shiftleft(left, 16).bitwiseOR(right)) - 2).cast("int"))
+            return F.coalesce(F.bitwise_not(found), F.lit(NO_RANK).cast("bigint"))
+
+        def token(link: Column) -> Column:
+            return link.bitwiseAND((1 << PLACE_AT) - 1)
+
+        def begin(ids: Column) -> Column:
+            links = F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), RANK_AT).bitwiseOR(
+                F.shiftleft(i.cast("bigint"), PLACE_AT)).bitwiseOR(x))
+            return F.concat(F.array(edge), links, F.array(edge))
+
+        def step(links: Column, _: Column) -> Column:
+            def join(low: Column) -> Column:
+                joined = F.shiftright(low, RANK_AT)
+                place = low.bitwiseAND((1 << RANK_AT) - (1 << PLACE_AT))
+
+                def at(i: Column) -> Column:                    # of the left one, from 1
+                    left = F.shiftleft(rank(joined, token(F.get(links, i + 1))), RANK_AT).bitwiseOR(place).bitwiseOR(joined)
+
+                    def renew(x: Column, j: Column) -> Column:
+                        before = F.shiftleft(rank(token(x), joined), RANK_AT).bitwiseOR(x.bitwiseAND((1 << RANK_AT) - 1))
+                        return F.when(j == i - 1, left).when(j == i - 2, before).otherwise(x)
+                    return F.array_remove(F.transform(links, renew), F.get(links, i))
+                return F.when(joined == NO_RANK, links).otherwise(_let(F.array_position(links, low).cast("int"), at))
+            return _let(F.array_min(links), join)
+
+        latin = F.decode(word.cast("binary"), "ISO-8859-1")       # a character a byte
+        first = F.transform(F.split(latin, ""), lambda c: F.get(bytes_, F.ascii(c)).cast("bigint"))
+        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+        return F.aggregate(steps, _let(first, begin), step,
+                           lambda links: F.transform(F.slice(links, F.lit(2), F.size(links) - 2), lambda x: token(x).cast("int")))
+    return _let(rank_map(ranks), fold)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
