@@ -4,8 +4,8 @@
 from a literal rank map; each step joins the leftmost pair of least rank and looks up its new neighbours.
 Words come from the corpus: those that occur twice or more are folded once each and their ids broadcast as a
 dictionary of bounded size; the rest are folded where they stand, once for each document that holds them.
-Splitting texts into words and laying ids out per document is numpy work inside Arrow tasks. Texts never
-move between tasks. Decoding joins the pieces of the ids in SQL.
+Splitting texts into words and laying ids out per document is numpy work inside Arrow tasks, done once a text; only the
+ids of words folded in place are filled in after. Texts never move between tasks. Decoding joins the pieces of the ids in SQL.
 """
 
 from __future__ import annotations
@@ -175,72 +175,84 @@ def _packed(batches):
                                          names=["hash", "ids"])
 
 
-def _unknown(part: np.ndarray, at: np.ndarray, tables: list[np.ndarray]):
-    """Of a run of texts: pieces before each text, index of each piece in each table of hashes, and the
-    distinct unknown pieces by (text, hash) with their spans."""
+def _lay(part: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]):
+    """Of a run of texts: the ids of all pieces with EDGE + k for the k-th stranger of a text, the ids before each text,
+    the strangers (distinct unknown pieces of a text, in order of their hashes) before each text, and their spans."""
     s, before = split(part, at)
     e = _ends(s, len(part))
     h = tx.hash_spans(part, s, e)
-    found = [find(t, h) for t in tables]
-    lost = np.flatnonzero(np.all([f < 0 for f in found], axis=0))
+    pieces = len(s)
+    begin, size = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64)
+    base = 0
+    for t, (t_ids, t_before) in zip(hashes, tables, strict=True):
+        left = np.flatnonzero(size == 0)
+        f = find(t, h[left])
+        left, f = left[f >= 0], f[f >= 0]
+        begin[left] = base + t_before[f].astype(np.int64)
+        size[left] = t_before[f + 1].astype(np.int64) - t_before[f]
+        base += len(t_ids)
+    lost = np.flatnonzero(size == 0)
     doc = np.searchsorted(before, lost, side="right") - 1
     order = np.lexsort((h[lost], doc))
     lost, doc = lost[order], doc[order]
     new = np.ones(len(lost), dtype=bool)
     new[1:] = (h[lost][1:] != h[lost][:-1]) | (doc[1:] != doc[:-1])
-    return before, found, lost, np.cumsum(new) - 1, doc[new], s[lost[new]], e[lost[new]]
-
-
-def _strangers(tables):
-    """Arrow UDF: the distinct words of a text that no table knows, in order of their hashes."""
+    strangers = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=len(at) - 1))))
+    begin[lost], size[lost] = base, 1
+    ends = np.cumsum(size)
+    where = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if pieces else 0)
+    ids = np.empty(len(where), np.int32)
+    low = 0
+    for t_ids, _ in tables:
+        mine = (where >= low) & (where < low + len(t_ids))
+        ids[mine] = t_ids[where[mine] - low]
+        low += len(t_ids)
+    ids[ends[lost] - 1] = EDGE + np.cumsum(new) - 1 - strangers[doc]
+    return ids, np.concatenate(([0], ends))[before], strangers, s[lost[new]], e[lost[new]]
+
+
+def _known(hashes, tables):
+    """Arrow UDF: an array a text. Its first element has the ids as ``_lay`` gives them, each other one a stranger."""
     def run(texts: pa.Array) -> pa.Array:
         data, off = tx.utf8(texts)
-        words, count = [], np.zeros(len(off), dtype=np.int64)
+        words, parts = [pa.array([], pa.string())], [np.zeros(0, np.int32)]
+        n_words, n_ids = np.zeros(len(off) - 1, dtype=np.int64), np.zeros(len(off) - 1, dtype=np.int64)
         for i, j, part, at in tx.runs(data, off):
-            _, _, _, _, doc, s, e = _unknown(part, at, tables.value)
+            ids, ids_before, strangers, s, e = _lay(part, at, hashes.value, tables.value)
             words.append(_take_spans(part, s, e))
-            count[i + 1:j + 1] = np.bincount(doc, minlength=j - i)
-        words = pa.concat_arrays(words) if words else pa.array([], pa.string())
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), words)
-    return F.arrow_udf(run, "array<string>").asNondeterministic()   # evaluated once, where it stands
-
-
-def _layout(hashes, tables):
-    """Arrow UDF: text and the ids of its strangers -> the ids of all its pieces. tables: ids and offsets of the known words."""
-    def run(texts: pa.Array, folded: pa.Array) -> pa.Array:
-        data, off = tx.utf8(texts)
-        outer, inner = folded.offsets.to_numpy().astype(np.int64), folded.values
-        own_ids, own_before = inner.values.to_numpy(zero_copy_only=False).astype(np.int32), inner.offsets.to_numpy().astype(np.int64)
-        parts, count = [], np.zeros(len(off), dtype=np.int64)
-        for i, j, part, at in tx.runs(data, off):
-            known = tables.value
-            before, found, lost, rank, _, _, _ = _unknown(part, at, hashes.value)
-            pieces = int(before[-1])
-            begin, size = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64)
-            base, pool = 0, []
-            for (t_ids, t_before), f in zip(known, found, strict=True):
-                hit = (f >= 0) & (size == 0)
-                begin[hit] = base + t_before[f[hit]].astype(np.int64)
-                size[hit] = t_before[f[hit] + 1] - t_before[f[hit]]
-                pool.append(t_ids)
-                base += len(t_ids)
-            own = outer[i] + rank                          # strangers stand in the same order here as there
-            begin[lost], size[lost] = base + own_before[own], own_before[own + 1] - own_before[own]
-            ends = np.cumsum(size)
-            where = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if pieces else 0)
-            ids = np.empty(len(where), np.uint16)
-            low = 0
-            for p in [*pool, own_ids]:
-                mine = (where >= low) & (where < low + len(p))
-                ids[mine] = p[where[mine] - low]
-                low += len(p)
             parts.append(ids)
-            total = np.concatenate(([0], ends))
-            count[i + 1:j + 1] = np.diff(total[before])
-        ids = np.concatenate(parts, dtype=np.int32) if parts else np.zeros(0, np.int32)
-        del parts
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(ids, pa.int32()))
-    return F.arrow_udf(run, "array<int>").asNondeterministic()
+            n_words[i:j], n_ids[i:j] = np.diff(strangers), np.diff(ids_before)
+        before = np.concatenate(([0], np.cumsum(n_words + 1)))
+        first = np.zeros(before[-1], dtype=bool)
+        first[before[:-1]] = True
+        words = pa.concat_arrays(words).take(pa.array(np.cumsum(~first) - 1, mask=first))
+        size = np.zeros(len(first), np.int64)
+        size[first] = n_ids
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.StructArray.from_arrays([words, ids], names=["word", "ids"]))
+    return F.arrow_udf(run, "array<struct<word:string,ids:array<int>>>").asNondeterministic()   # evaluated once, where it stands
+
+
+def _fill(texts: pa.Array) -> pa.Array:
+    """The ids of texts with those of their strangers, which were folded in between, in their places."""
+    outer, inner = texts.offsets.to_numpy().astype(np.int64), texts.values
+    own, ids = inner.field("own"), inner.field("ids")
+    own_before, own = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy(zero_copy_only=False)
+    off, ids = ids.offsets.to_numpy().astype(np.int64)[outer], ids.values.to_numpy(zero_copy_only=False)
+    parts, count = [np.zeros(0, np.int32)], np.zeros(len(off), dtype=np.int64)
+    for i, j, part, at in tx.runs(ids[off[0]:off[-1]], off - off[0]):
+        marks = np.flatnonzero(part >= EDGE)
+        word = part[marks] - EDGE + 1 + outer[i + np.searchsorted(at, marks, side="right") - 1]
+        n = own_before[word + 1] - own_before[word]
+        size = np.ones(len(part), np.int64)
+        size[marks] = n
+        total = np.concatenate(([0], np.cumsum(size)))
+        out = np.repeat(part, size)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(total[marks], n) + place] = own[np.repeat(own_before[word], n) + place]
+        parts.append(out)
+        count[i + 1:j + 1] = np.diff(total[at])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -313,7 +325,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     """``docs`` with an array column of token ids of each text (null and empty texts: an empty array).
 
     Ids are those of byte-level BPE by ``ranks`` (which must hold every single byte) on each piece of the split,
-    without special tokens. Words are told apart by 64-bit hashes. A column named ``out_col`` is replaced.
+    without special tokens. Words are told apart by 64-bit hashes. A column named ``out_col`` is replaced. Rows that come
+    twice are encoded twice, an empty table gives an empty one, a rank above 65,535 is a ValueError.
     """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
@@ -338,13 +351,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     del t
     tables = sc.broadcast([(tokens.ids, tokens.before), (ids, before.astype(np.uint32))])
     del ids, before
-    rare = fresh(docs, "rare")
-    out = docs.withColumn(rare, F.transform(_strangers(hashes)(F.col(text_col)), lambda w: merge_words(w, ranks)))
-    return out.withColumn(out_col, _layout(hashes, tables)(F.col(text_col), F.col(rare))).drop(rare)
+    laid = fresh(docs, "laid")
+    out = docs.withColumn(laid, F.transform(_known(hashes, tables)(F.col(text_col)), lambda x: F.struct(
+        merge_words(x["word"], ranks).alias("own"), x["ids"].alias("ids"))))
+    return out.withColumn(out_col, F.arrow_udf(_fill, "array<int>").asNondeterministic()(F.col(laid))).drop(laid)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of token ids: their binary pieces one after another."""
+    """The bytes of an array of token ids: their binary pieces one after another; of an empty array none, of null null."""
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
