@@ -31,21 +31,27 @@ STEPS = 30
 SPARE = 1                    # bits of a chunk beyond log2 of the vectors of a label
 SLACK = 6.0                  # standard deviations above the mean code distance at the threshold that is let through
 TILE = 512
+TINY = 1e-140               # largest parts below this, or above its inverse, are scaled before they are squared
 PAIRS = 1 << 16
 TABLE_BITS = 12              # low bits of a bucket that name its table
 PARTNERS = 2000              # vectors of the sample that are given a partner at the threshold
 
 
 def unit(rows: list) -> list[np.ndarray | None]:
-    """Vectors in double precision; None for those that link with nothing (null, empty, zero, null or non-finite parts)."""
+    """Vectors in double precision; None for those that link with nothing (null, empty, zero, null or non-finite parts).
+
+    Vectors whose squares would leave the range of doubles are multiplied by a power of two, which keeps their angles.
+    """
     out: list[np.ndarray | None] = []
     for v in rows:
         if v is None or not len(v) or any(x is None for x in v):
             out.append(None)
             continue
         a = np.asarray(v, dtype=np.float64)
-        norm = np.linalg.norm(a) if np.isfinite(a).all() else 0.0
-        out.append(a if norm > 0 and np.isfinite(norm) else None)
+        top = float(np.abs(a).max()) if np.isfinite(a).all() else 0.0
+        if top > 0 and not TINY < top < 1 / TINY:
+            a = np.ldexp(a, -math.frexp(top)[1])
+        out.append(a if top > 0 else None)
     return out
 
 

@@ -48,3 +48,15 @@ def test_tables_grow_with_the_width():
         apart = tables.codes(a) ^ tables.codes(b)
         near = np.bitwise_count(apart).sum(1) <= tables.most(np.full(len(a), DIM))
         assert ((tables.met(apart) < tables.count) & near).mean() > 0.98
+
+
+def test_norms_beyond_doubles(spark):
+    """Finite vectors link whatever their length; zero vectors and those with infinite parts link with nothing."""
+    base = np.random.default_rng(4).standard_normal((3, 8))
+    data = [(3 * k + i, (v * size).tolist(), 1) for i, v in enumerate(base) for k, size in enumerate((1.0, 1e200, 1e-200, 1e-310))]
+    data += [(100, [0.0] * 8, 1), (101, [float("inf")] + [1.0] * 7, 1)]
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].n_links for i in (100, 101)] == [0, 0]
+    for i in range(3):
+        same = [got[3 * k + i] for k in range(4)]
+        assert all(r.n_links == 3 and r.component_id == i for r in same)
