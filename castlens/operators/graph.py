@@ -288,12 +288,13 @@ def bfs_distances_capped(credit_rows: DataFrame, source, max_depth: int = 6,
     get ``unreached``. Persons without any co-credit are absent; so is the
     source when it has none (then every listed person is ``unreached``).
     """
-    # one aggregation gives both the distinct edges and, through the credit
-    # counts, the titles with two or more credit rows (whose persons are nodes)
+    # distinct edges with their credit counts, and from them the nodes: persons with more titles than those of which
+    # they have the only credit row. Such a title's one person comes from its aggregate, so no edge is joined.
     per_pair, _ = staged(credit_rows.groupBy("title", "person").agg(F.count(F.lit(1)).alias("c")))
-    multi = per_pair.groupBy("title").agg(F.sum("c").alias("n")).where(F.col("n") >= 2).select("title")
-    nodes = skew_join(per_pair, multi, "title", "left_semi", spread_by=["person"],
-                      hot_rows=kw.get("hot_rows", HOT_ROWS)).select("person").distinct()
+    titled = per_pair.where(F.col("title").isNotNull())
+    lone = titled.groupBy("title").agg(F.sum("c").alias("n"), F.min("person").alias("person")).where(F.col("n") == 1)
+    nodes = (titled.select("person", F.lit(1).alias("one")).unionByName(lone.select("person", F.lit(-1).alias("one")))
+             .groupBy("person").agg(F.sum("one").alias("shared")).where(F.col("shared") > 0).select("person"))
     dist = bfs_distances(per_pair, source, max_depth=max_depth, distinct_edges=True, **kw)
     return (nodes.join(dist, "person", "left")
             .select("person", F.coalesce(F.col("distance"), F.lit(unreached)).cast(IntegerType()).alias("distance")))

@@ -1,0 +1,21 @@
+"""The persons of the capped search come from aggregates: no edge meets its title again in a join."""
+
+from __future__ import annotations
+
+import pytest
+
+from castlens.operators import graph as G
+
+
+def test_nodes_of_the_capped_search_need_no_join_of_edges(spark, monkeypatch):
+    rows = [("t1", "a"), ("t1", "b"), ("t2", "b"), ("t2", "c"), ("t3", "d"), ("t4", "e"), ("t4", "e"), ("t5", "f"), ("t5", "f"),
+            ("t6", "f"), ("t7", "g"), ("t8", "g"), (None, "h"), (None, "i"), ("t9", None), ("t9", "j"), ("t3b", "c")]
+    edges = spark.createDataFrame(rows, "title string, person string")
+
+    def joined(*_, **__):
+        pytest.fail("the nodes are found by a join of the edges")
+    monkeypatch.setattr(G, "skew_join", joined)
+    got = {r.person: r.distance for r in G.bfs_distances_capped(edges.where("person IS NOT NULL"), "a", max_depth=1).collect()}
+    assert got == {"a": 0, "b": 1, "c": 10000, "e": 10000, "f": 10000}
+    assert {r.person for r in G.bfs_distances_capped(edges, "a", max_depth=1).collect()} == {"a", "b", "c", "e", "f", "j", None}
+    assert G.bfs_distances_capped(edges.limit(0), "a").collect() == []
