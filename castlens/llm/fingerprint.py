@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
 from castlens.llm.components import components
-from castlens.llm.frames import cut, parts
+from castlens.llm.frames import among, cut, parts, release, small_batches
 from castlens.llm.ngramjoin import TILE, TILE_KEYS, TOLERANCE, _likely, _pairs, _sets, exact, least_matches
 
 HASHES = 128
@@ -58,29 +58,53 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+DEALT = "part int, last boolean, id long, tk string, text string, n_links long, class_id long"
+
+
 def _deal(bounds: np.ndarray, heads: dict, back: dict):
-    """Rows (range, last, id, tk, text); the first row of a range comes once more, as last of the range before."""
+    """Rows as DEALT, without links; the first row of a range comes once more, as last of the range before."""
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             known = np.array(ids.is_valid())
             value = np.array(ids.fill_null(0), dtype=np.int64)
             at = np.where(known, np.searchsorted(-bounds, -value, side="left"), len(bounds)).astype(np.int32)
-            names = ["part", "last", "id", "tk", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), *batch.columns], names=names)
+            names = ["part", "last", "id", "tk", "text", "n_links", "class_id"]
+            none = [pa.nulls(len(at), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), *batch.columns, *none], names=names)
             tks = batch.column(1)
             maybe = np.isin(value, [h[0] or 0 for h in heads.values()])
             for i in np.flatnonzero(maybe):
                 if heads.get(int(at[i])) == (ids[i].as_py(), tks[i].as_py()):
                     one = batch.slice(int(i), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([back[int(at[i])]], pa.int32()), pa.array([True]), *one.columns], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([back[int(at[i])]], pa.int32()), pa.array([True]), *one.columns, *[pa.nulls(1, pa.int64())] * 2], names=names)
     return run
 
 
+def _linked(batches):
+    """The texts of a stream of DEALT with the links of their notes, rows (n_links, class_id) that stand before the texts of
+    their id and md5, and without the notes."""
+    note = None                       # part, id, tk, n_links, class_id
+    for batch in batches:
+        part, _, ids, tks, _, links, least = batch.columns
+        is_note = np.array(links.is_valid())
+        if is_note.any() or note:
+            n, c = [], []
+            for row in zip(part.to_pylist(), ids.to_pylist(), tks.to_pylist(), links.to_pylist(), least.to_pylist(), strict=True):
+                note = row if row[3] is not None else note
+                met = note is not None and note[:3] == row[:3]
+                n.append(note[3] if met else None)
+                c.append(note[4] if met else None)
+            batch = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n, pa.int64()), pa.array(c, pa.int64())],
+                                               names=batch.schema.names).filter(pa.array(~is_note))
+        if batch.num_rows:
+            yield batch
+
+
 def _read(batches):
     """Each row with the one after it in its range."""
-    held = None                       # part, last, id, text, signature, tk of the row before
-    for batch in batches:
+    held = None                       # part, last, id, text, signature, tk, links of the row before
+    for batch in _linked(batches):
         data, off = tx.utf8(batch.column(4))
         cols = [batch.column(i) for i in range(3)]
         for i, j, _, _ in tx.runs(data, off, RUN):
@@ -89,13 +113,14 @@ def _read(batches):
             part, last = cols[0].slice(i, j - i).to_pylist(), cols[1].slice(i, j - i).to_pylist()
             ids = cols[2].slice(i, j - i).to_pylist()
             tks = batch.column(3).slice(i, j - i).to_pylist()
+            links = list(zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in (5, 6)), strict=True))
             if held:
-                tks = [held[5], *tks]
+                tks, links = [held[5], *tks], [held[6], *links]
                 part, last, ids, texts = [held[0], *part], [held[1], *last], [held[2], *ids], [held[3], *texts]
                 sig = np.concatenate((held[4], sig))
             # a first row may come to the range before more than once (repeated rows): only the first is read
             here = [x for x in range(len(ids) - 1) if not last[x] and part[x] == part[x + 1]]
-            held = part[-1], last[-1], ids[-1], texts[-1], sig[-1:], tks[-1]
+            held = part[-1], last[-1], ids[-1], texts[-1], sig[-1:], tks[-1], links[-1]
             if not here:
                 continue
             size = [len(texts[x]) for x in here]
@@ -106,23 +131,28 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[x] for x in here], cols[2].type), pa.array([tks[x] for x in here], pa.string()), pa.array(size, pa.int64()),
                  pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(_hex(own)), pa.array(_hex(esig)),
-                 pa.array(likeness(own, esig)), pa.array(likeness(own, after))], names=["id", "tk", *COLUMNS])
+                 pa.array(likeness(own, esig)), pa.array(likeness(own, after)),
+                 *(pa.array([links[x][c] for x in here], pa.int64()) for c in (0, 1))], names=["id", "tk", *COLUMNS, "n_links", "class_id"])
 
 
 def chain(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See ``_chain``; without the md5 of the text."""
-    return _chain(docs, id_col, text_col).drop("tk").withColumnRenamed("id", id_col)
+    return _chain(docs, id_col, text_col).drop("tk", "n_links", "class_id").withColumnRenamed("id", id_col)
 
 
-def _chain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _chain(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame | None = None) -> DataFrame:
     """One row per document: its integer id, md5 of its text, code points, and fingerprints beside the next document's.
 
     The next document is that of the next lower id (rows of one id: the greater md5 of the text first; null ids
     come last), and the first again after the last; a table of one row is its own next. The edited text has
     the last third of the code points (rounded down) replaced by the first as many of the next text, or by
     all of it if it is shorter. Null texts count as empty; an empty table gives an empty table.
+
+    ``linked`` (tk, n_links, class_id), one row a text at most, goes to the ranges as a note for each id and text, so the
+    fingerprints are not moved to meet it; both columns are null for a text that is not in it.
     """
     n = parts(docs)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tk"),
                        F.col(text_col).alias("text"))
     cuts = [(i + 1) / n for i in range(n - 1)]
@@ -137,10 +167,13 @@ def _chain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = {r.part: (r.top["id"], r.top["tk"]) for r in tops}
     order = sorted(heads)
     back = {p: order[i - 1] for i, p in enumerate(order)}
-    rows = slim.mapInArrow(_deal(bounds, heads, back), "part int, last boolean, id long, tk string, text string")
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("id"), F.desc("tk"))
+    rows = slim.mapInArrow(_deal(bounds, heads, back), DEALT)
+    if linked is not None:
+        notes = slim.select("id", "tk").distinct().join(linked, "tk").withColumn("part", F.arrow_udf(range_of, "int")(F.col("id")))
+        rows = rows.unionByName(notes.select("part", F.lit(False).alias("last"), "id", "tk", F.lit(None).cast("string").alias("text"), "n_links", "class_id"))
+    rows = rows.repartition(n, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("id"), F.desc("tk"), F.desc_nulls_last("n_links"))
     return rows.mapInArrow(_read, "id long, tk string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                                  "near_edited double, near_next double")
+                                  "near_edited double, near_next double, n_links long, class_id long")
 
 
 def _marks(batches):
@@ -227,6 +260,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     near is the most similar other text that is linked, null if there is none or without ``nearest``.
     """
     n = parts(docs)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("tk"),
                        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = cut(slim.mapInArrow(_marks, "tk binary, id long, sig binary").groupBy("tk").agg(
@@ -242,11 +276,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     likely = cut(rows.repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(
         _prune(least), "bucket long, i int, j int, chunk int, tk binary, n long, sig binary"), "near")
     wanted = likely.select("tk").distinct().join(texts.select("tk", F.col("top.id").alias("wid")), "tk").withColumnRenamed("tk", "wtk")
-    sets = (slim.join(wanted, (F.col("tk") == F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")))
+    release(docs.sparkSession)
+    sets = (among(slim, likely).join(wanted, (F.col("tk") == F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")))
             .groupBy("tk", "id").agg(F.first("text").alias("text")).select("tk", "text").mapInArrow(_sets(SHINGLE), "tk binary, shingles binary"))
     found = cut(likely.join(sets, "tk").repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
                 .select(*TILE_KEYS, "chunk", "tk", "n", "sig", "shingles")
                 .mapInArrow(_judge(least, threshold, nearest), "tk binary, links long, root binary, near binary, jaccard double"), "judged")
+    release(docs.sparkSession)
     root = components(found.select(F.col("tk").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("tk"), "root")
     links = found.groupBy("tk").agg(F.sum("links").alias("links"), F.max(F.when(F.col("jaccard") > 0, F.struct("jaccard", "near"))).alias("best"))
     out = (texts.select("tk", "n", "top").join(links, "tk", "left").join(root, "tk", "left").withColumn("root", F.coalesce("root", "tk")))
@@ -263,7 +299,9 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", threshold: float
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``chain`` with n_links and class_id of ``classes``: its own id for a row that is linked to nothing."""
-    linked = classes(docs, id_col=id_col, text_col=text_col).where("n_links > 0").select(F.lower(F.hex("tk")).alias("ltk"), "n_links", "class_id")
-    out = _chain(docs, id_col, text_col).join(linked, F.col("tk") == F.col("ltk"), "left")
+    linked = cut(classes(docs, id_col=id_col, text_col=text_col).where("n_links > 0")
+                 .select(F.lower(F.hex("tk")).alias("tk"), F.col("n_links").cast("long").alias("n_links"), "class_id"), "linked")
+    release(docs.sparkSession)
+    out = _chain(docs, id_col, text_col, linked)
     return out.select(F.col("id").alias(id_col), *COLUMNS, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.when(F.col("ltk").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+                      F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -29,6 +29,23 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+KEY_BITS = 8                 # bits of the bitmap for each key: one in nine of the other rows passes
+WORDS = 1 << 20              # its size is bounded: 8 MB of bits
+
+
+def among(rows: DataFrame, keys: DataFrame, col: str = "tk") -> DataFrame:
+    """``rows`` without most of those whose ``col`` is not in ``keys``, and with all others: a bitmap of the keys' hashes
+    is broadcast, so that a join that follows moves few rows in vain. With more keys than the bitmap holds, more pass."""
+    n = keys.agg(F.approx_count_distinct(col)).first()[0]
+    words = min(WORDS, 1 << max(0, n * KEY_BITS // 64).bit_length())
+    at = F.pmod(F.xxhash64(col), F.lit(64 * words).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    word, bits = fresh(rows, "word"), fresh(rows, "bits")
+    held = keys.groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    met = rows.join(F.broadcast(held), F.shiftright(at, 6) == F.col(word))
+    return met.where(F.col(bits).bitwiseAND(bit) != 0).drop(word, bits)
+
+
 def fold(col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
