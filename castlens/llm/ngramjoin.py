@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from castlens.llm import textops as tx
 from castlens.llm.components import components
-from castlens.llm.frames import cut, fresh, parts
+from castlens.llm.frames import among, cut, fresh, parts, release, small_batches
 
 BANDS, ROWS = 32, 4          # a pair of similarity 0.8 shares no band with probability 5e-8
 HASHES = BANDS * ROWS
@@ -201,6 +201,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies included. A class is what links reach; its id is the least id in it, null ids last. Texts without
     a word (null, empty, white space) are linked to nothing, not even to copies, and have null class_id.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("tk"),
                        F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     id_type = slim.schema["id"].dataType.simpleString()
@@ -220,13 +221,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.join(texts.select("tk", "n", "sig"), "tk").select("bucket", "i", "j", "chunk", "tk", "n", "sig")
     likely = cut(rows.repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(_prune(least), TILE_SCHEMA), "likely")
     wanted = likely.select("tk").distinct().join(texts.select("tk", F.col("top.id").alias("wid")), "tk").withColumnRenamed("tk", "wtk")
-    bodies = (slim.join(wanted, (F.col("tk") == F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")))
+    release(docs.sparkSession)
+    bodies = (among(slim, likely).join(wanted, (F.col("tk") == F.col("wtk")) & F.col("id").eqNullSafe(F.col("wid")))
               .groupBy("tk", "id").agg(F.first("text").alias("text")).select("tk", "text"))
     sets = bodies.mapInArrow(_sets(k), "tk binary, shingles binary")
     found = (likely.join(sets, "tk").repartition(n, *TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
              .select(*TILE_KEYS, "chunk", "tk", "n", "sig", "shingles")
              .mapInArrow(_verify(least, threshold), "tk binary, links long, root binary"))
     found = cut(found, "found")
+    release(docs.sparkSession)
     root = components(found.select(F.col("tk").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("tk"), "root")
     links = found.groupBy("tk").agg(F.sum("links").alias("links"))
     all_texts = (texts.select("tk", "n", "has", "top").join(links, "tk", "left").join(root, "tk", "left")
@@ -259,11 +262,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that agree in id and text are one document, of which one row stays.
     """
     classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, k=k, threshold=threshold)
-    tk, wtk, wid = fresh(docs, "tk"), fresh(docs, "wtk"), fresh(docs, "wid")
+    tk, key = fresh(docs, "tk"), fresh(docs, "key")
     full = docs.withColumn(tk, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    ids = full.select(F.col(id_col).alias(wid), F.col(tk).alias(wtk)).distinct()
-    stay = (ids.join(classes, F.col(wtk) == F.col("tk"))
-            .where(~F.col("has_words") | (F.col(wid).eqNullSafe(F.col("class_id")) & (F.col("tk") == F.col("class_tk"))))
-            .select(wid, wtk))
-    out = full.join(stay, full[id_col].eqNullSafe(F.col(wid)) & (F.col(tk) == F.col(wtk)), "left_semi")
-    return out.dropDuplicates([id_col, tk]).select(*docs.columns)
+    # id and text as one column, whose nulls compare as equal: join and duplicates share one shuffle of the texts
+    full = full.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(tk).alias("tk"))).drop(tk)
+    mine = F.col(key)
+    stay = (full.select(key).distinct().join(classes, mine["tk"] == F.col("tk"))
+            .where(~F.col("has_words") | (mine["id"].eqNullSafe(F.col("class_id")) & (F.col("tk") == F.col("class_tk"))))
+            .select(key))
+    return full.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
