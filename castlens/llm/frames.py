@@ -21,7 +21,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files of steps whose results are written go when the driver's JVM collects its garbage: ask for it, so
-    that the disks hold those of one step and not of all."""
+    that the disks hold those of one step and not of all. The last event of a query holds its plan, and so its shuffle
+    files, until another query's events come: one without a shuffle goes before."""
+    spark.range(1).collect()
     spark._jvm.System.gc()
 
 
