@@ -30,6 +30,8 @@ PLACE_AT, RANK_AT = 17, 46   # bits of the fold's state: id, place of the first
 NO_RANK = (1 << 17) - 1
 DICTIONARY_WORDS = 1 << 21   # at most so many words are broadcast ...
 DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 2 * 64 bytes each in the worst case
+PART_WORDS = 1 << 18         # of the dictionary come to the driver at a time ...
+PIECE_WORDS = 1 << 16        # ... as rows of so many
 FLUSH_BYTES = 1 << 25        # text that a task counts words of before it hands the counts on
 
 LETTER, DIGIT, BLANK, OTHER = range(4)
@@ -175,6 +177,37 @@ def _packed(batches):
                                          names=["hash", "ids"])
 
 
+def _pieces(batches):
+    """(hash, packed ids), in order -> (hashes, sizes, ids): the arrays of PIECE_WORDS words or a few more in a row."""
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)],
+                                          names=["hashes", "sizes", "ids"])
+    held, n = [], 0
+    for batch in batches:
+        ids, before = tx.fixed(batch.column(1), np.uint16)
+        held.append((batch.column(0).to_numpy(), np.diff(before).astype(np.uint8), ids))
+        n += batch.num_rows
+        if n >= PIECE_WORDS:
+            yield out(held)
+            held, n = [], 0
+    if n:
+        yield out(held)
+
+
+def _dictionary(folded: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of (hash, ids), in order as unsigned numbers, the ids one after another and the ids before each word.
+
+    Bounded by DICTIONARY_WORDS and DICTIONARY_BYTES. ``n`` words come a part after another, each a job of its own, so
+    the driver's JVM never holds more than one of them."""
+    order = [F.col("hash") < 0, F.col("hash")]
+    ranges = folded.repartitionByRange(n // PART_WORDS + 1, *order).sortWithinPartitions(*order)
+    rows = ranges.mapInArrow(_pieces, "hashes binary, sizes binary, ids binary").toLocalIterator()
+    held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint16))]
+    held += [(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.sizes, np.uint8), np.frombuffer(r.ids, np.uint16)) for r in rows]
+    hashes, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    return hashes, ids, np.concatenate((np.zeros(1, np.uint32), np.cumsum(sizes, dtype=np.uint32)))
+
+
 def _lay(part: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]):
     """Of a run of texts: the ids of all pieces with EDGE + k for the k-th stranger of a text, the ids before each text,
     the strangers (distinct unknown pieces of a text, in order of their hashes) before each text, and their spans."""
@@ -330,6 +363,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
+    release(docs.sparkSession)
     tokens = known_tokens(ranks)
     words = (docs.select(F.col(text_col)).mapInArrow(_count(tokens), "word string, n long")
              .groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= DICTIONARY_BYTES)))
@@ -344,13 +378,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     folded = words.where(F.col("n") >= least).select("word", merge_words(F.col("word"), ranks).alias("ids"))
     folded = cut(folded.mapInArrow(_packed, "hash long, ids binary"), "folded")
     release(docs.sparkSession)
-    # bounded by DICTIONARY_WORDS and DICTIONARY_BYTES; in order of the hashes as unsigned numbers
-    t = folded.orderBy(F.col("hash") < 0, "hash").toArrow()
-    hashes = sc.broadcast([tokens.hashes, t.column("hash").to_numpy().view(np.uint64)])
-    ids, before = tx.fixed(t.column("ids"), np.uint16)
-    del t
-    tables = sc.broadcast([(tokens.ids, tokens.before), (ids, before.astype(np.uint32))])
-    del ids, before
+    own, ids, before = _dictionary(folded, min(total, DICTIONARY_WORDS))
+    hashes = sc.broadcast([tokens.hashes, own])
+    tables = sc.broadcast([(tokens.ids, tokens.before), (ids, before)])
+    del own, ids, before
+    release(docs.sparkSession)
     laid = fresh(docs, "laid")
     out = docs.withColumn(laid, F.transform(_known(hashes, tables)(F.col(text_col)), lambda x: F.struct(
         merge_words(x["word"], ranks).alias("own"), x["ids"].alias("ids"))))
