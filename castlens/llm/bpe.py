@@ -32,6 +32,7 @@ DICTIONARY_WORDS = 1 << 21   # at most so many words are broadcast ...
 DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 2 * 64 bytes each in the worst case
 PART_WORDS = 1 << 18         # of the dictionary come to the driver at a time ...
 PIECE_WORDS = 1 << 16        # ... as rows of so many
+RUN_SIZE = 1 << 18           # bytes of text, or ids, that arrays are made for at a time; one longer text is its own run
 FLUSH_BYTES = 1 << 25        # text that a task counts words of before it hands the counts on
 
 LETTER, DIGIT, BLANK, OTHER = range(4)
@@ -149,7 +150,7 @@ def _count(tokens: Known):
         held, size = [], 0
         for batch in batches:
             data, off = tx.utf8(batch.column(0))
-            for _, _, part, at in tx.runs(data, off):
+            for _, _, part, at in tx.runs(data, off, RUN_SIZE):
                 s, _ = split(part, at)
                 e = _ends(s, len(part))
                 h = tx.hash_spans(part, s, e)
@@ -250,7 +251,7 @@ def _known(hashes, tables):
         data, off = tx.utf8(texts)
         words, parts = [pa.array([], pa.string())], [np.zeros(0, np.int32)]
         n_words, n_ids = np.zeros(len(off) - 1, dtype=np.int64), np.zeros(len(off) - 1, dtype=np.int64)
-        for i, j, part, at in tx.runs(data, off):
+        for i, j, part, at in tx.runs(data, off, RUN_SIZE):
             ids, ids_before, strangers, s, e = _lay(part, at, hashes.value, tables.value)
             words.append(_take_spans(part, s, e))
             parts.append(ids)
@@ -273,7 +274,7 @@ def _fill(texts: pa.Array) -> pa.Array:
     own_before, own = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy(zero_copy_only=False)
     off, ids = ids.offsets.to_numpy().astype(np.int64)[outer], ids.values.to_numpy(zero_copy_only=False)
     parts, count = [np.zeros(0, np.int32)], np.zeros(len(off), dtype=np.int64)
-    for i, j, part, at in tx.runs(ids[off[0]:off[-1]], off - off[0]):
+    for i, j, part, at in tx.runs(ids[off[0]:off[-1]], off - off[0], RUN_SIZE):
         marks = np.flatnonzero(part >= EDGE)
         word = part[marks] - EDGE + 1 + outer[i + np.searchsorted(at, marks, side="right") - 1]
         n = own_before[word + 1] - own_before[word]
