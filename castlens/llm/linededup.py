@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castlens.llm import textops as tx
-from castlens.llm.frames import cut, fresh, parts
+from castlens.llm.frames import cut, fresh, parts, small_batches
 
 SEGMENT = 1 << 20            # bits of a filter that are merged together
 LINES_PER_DOC = 16           # for sizing only
 BITS_PER_LINE = 8
+RUN_SIZE = 1 << 18           # bytes of text that arrays are made for at a time; one longer text is its own run
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30   # 128 KB to 128 MB; a filter at its bound only suspects more lines
 
 
@@ -71,7 +72,7 @@ def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
 def _text_hashes(texts: pa.Array, min_chars: int):
     """Runs of texts: first text, and (text, line hash) of the distinct long lines of each text."""
     data, off = tx.utf8(texts)
-    for a, _, part, at in tx.runs(data, off):
+    for a, _, part, at in tx.runs(data, off, RUN_SIZE):
         low = tx.LOWER[part]
         doc, _, _, ks, ke, long = line_keys(low, at, min_chars)
         doc, ks, ke = doc[long], ks[long], ke[long]
@@ -150,7 +151,7 @@ def _dropper(min_chars: int):
         bad = [None if x is None else set(x) for x in drops.to_pylist()]
         kept = texts.to_pylist()
         lines, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for a, b, part, at in tx.runs(data, off):
+        for a, b, part, at in tx.runs(data, off, RUN_SIZE):
             np.add.at(lines, a + np.searchsorted(at, np.flatnonzero(part == 10), side="right") - 1, 1)
             for i in range(a, b):
                 if bad[i]:
@@ -180,6 +181,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts stay null. Rows that come twice stay twice. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bits = filter_bits(docs.count())
     n = parts(docs)

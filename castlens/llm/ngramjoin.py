@@ -31,6 +31,8 @@ STEP = 16                    # signature values that are compared at a time
 TOLERANCE = 1e-6
 TILE = 512                   # members of a bucket that are compared with as many others in one group
 PAIRS = 1 << 17              # pairs in memory at a time
+RUN_SIZE = 1 << 18           # bytes of text that arrays are made for at a time; one longer text is its own run
+WHOLE = 1 << 13              # pairs whose whole signatures are compared at a time
 SEED = 0x8A5CD789635D2DFF
 
 
@@ -55,7 +57,7 @@ def _features(k: int):
     def run(batches):
         for batch in batches:
             data, off = tx.utf8(batch.column(1))
-            for i, j, part, at in tx.runs(data, off):
+            for i, j, part, at in tx.runs(data, off, RUN_SIZE):
                 ws, we, first = tx.words(part, at)
                 h, before = tx.shingles(tx.hash_spans(part, ws, we), first, k)
                 sig = tx.minhash(h, before, a, b)
@@ -106,8 +108,11 @@ def _likely(sig: np.ndarray, band: np.ndarray, x: np.ndarray, y: np.ndarray, lea
         matches += (sig[x, n - STEP:n] == sig[y, n - STEP:n]).sum(1, dtype=np.int16)
         live = matches >= m
         x, y, matches = x[live], y[live], matches[live]
-    same = (sig[x].reshape(-1, BANDS, ROWS) == sig[y].reshape(-1, BANDS, ROWS)).all(2)
-    first = same.argmax(1) == band[x] if len(x) else np.zeros(0, bool)
+    first = np.zeros(len(x), dtype=bool)
+    for a in range(0, len(x), WHOLE):
+        i, j = x[a:a + WHOLE], y[a:a + WHOLE]
+        same = (sig[i].reshape(-1, BANDS, ROWS) == sig[j].reshape(-1, BANDS, ROWS)).all(2)
+        first[a:a + WHOLE] = same.argmax(1) == band[i]
     return x[first], y[first]
 
 
@@ -134,7 +139,7 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             data, off = tx.utf8(batch.column(1))
-            for i, j, part, at in tx.runs(data, off):
+            for i, j, part, at in tx.runs(data, off, RUN_SIZE):
                 ws, we, first = tx.words(part, at)
                 values, before = tx.distinct_per_text(*tx.shingles(tx.hash_spans(part, ws, we), first, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), tx.pack(values, before)], names=["tk", "shingles"])

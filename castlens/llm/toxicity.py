@@ -24,6 +24,7 @@ MIN_DF = 3                 # documents of a shard that hold a feature before it
 MAX_DF = 0.3               # part of a shard's documents, or twice the positive ones, that may hold a feature with a weight
 MAX_WEIGHTS = 1 << 16      # heaviest weights that a shard hands on
 SPAN = 0.5                 # sentences at or above it are reported
+TALLY = 1 << 18            # features of texts that are held before their documents are counted
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[48:58] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -69,26 +70,42 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _frequencies(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted feature hashes, the texts that hold each, and how many features and sentences there are in all."""
+    vocab, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, waiting, total, sentences_ = [], 0, 0, 0
+    for _, b, part, at in tx.runs(data, off):
+        h, first, doc, _, _ = sentences(part, at)
+        total, sentences_ = total + len(h), sentences_ + len(first)
+        before = np.searchsorted(np.repeat(doc, np.diff(np.append(first, len(h)))), np.arange(len(at)))
+        held.append(tx.distinct_per_text(h, before)[0])
+        waiting += len(held[-1])
+        if waiting >= TALLY or b == len(off) - 1:
+            both, of = np.unique(np.concatenate([vocab, *held]), return_inverse=True)
+            count = np.bincount(of[len(vocab):], minlength=len(both))
+            count[of[:len(vocab)]] += df
+            vocab, df, held, waiting = both, count, [], 0
+    return vocab, df, total, sentences_
+
+
 def fit_shard(texts: pa.Array, y: np.ndarray, known: np.ndarray, start: np.ndarray, bias: float):
     """Feature hashes, their weights and the bias, by AdaGrad on the noisy-or likelihood of one shard's documents.
 
     ``known`` and ``start`` are the hashes and weights to begin with.
     """
     data, off = tx.utf8(texts)
-    hs, firsts, docs, distinct, words = [], [], [], [], 0
-    for a, _, part, at in tx.runs(data, off):
-        h, first, doc, _, _ = sentences(part, at)
-        before = np.searchsorted(np.repeat(doc, np.diff(np.append(first, len(h)))), np.arange(len(at)))
-        distinct.append(tx.distinct_per_text(h, before)[0])
-        hs.append(h), firsts.append(first + words), docs.append(doc + a)
-        words += len(h)
+    vocab, df, words, n = _frequencies(data, off)
     if not words:
         return known, start, bias
-    vocab, df = np.unique(np.concatenate(distinct), return_counts=True)
     vocab = vocab[(df >= MIN_DF) & (df <= max(MAX_DF * len(y), 2 * y.sum())) & (vocab != 0)]
-    first, sdoc = np.concatenate(firsts), np.concatenate(docs)
-    idx = np.concatenate([_lookup(h, vocab).astype(np.int32) for h in hs])
-    del hs, distinct, firsts, docs
+    # the hashes are worked out again, a run at a time: all of them take several times what their indexes do
+    first, sdoc, idx, at_word, at_sentence = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(words, np.int32), 0, 0
+    for a, _, part, at in tx.runs(data, off):
+        h, begin, doc, _, _ = sentences(part, at)
+        first[at_sentence:at_sentence + len(begin)] = begin + at_word
+        sdoc[at_sentence:at_sentence + len(begin)] = doc + a
+        idx[at_word:at_word + len(h)] = _lookup(h, vocab)
+        at_word, at_sentence = at_word + len(h), at_sentence + len(begin)
     v = len(vocab)
     w, acc, b, acc_b = np.zeros(v + 1), np.full(v + 1, CALM), bias, 1.0
     w[:v] = np.append(start, 0.0)[_lookup(vocab, known)]
