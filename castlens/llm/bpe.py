@@ -5,7 +5,8 @@ from a literal rank map; each step joins the leftmost pair of least rank and loo
 Words come from the corpus: those that occur twice or more are folded once each and their ids broadcast as a
 dictionary of bounded size; the rest are folded where they stand, once for each document that holds them.
 Splitting texts into words and laying ids out per document is numpy work inside Arrow tasks, done once a text; only the
-ids of words folded in place are filled in after. Texts never move between tasks. Decoding joins the pieces of the ids in SQL.
+ids of words folded in place are filled in after, in SQL, so a task needs one Python worker. Texts never move between
+tasks. Decoding joins the pieces of the ids in SQL.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ DICTIONARY_BYTES = 64        # ... none longer than this: 8 + 4 + 2 * 64 bytes e
 PART_WORDS = 1 << 18         # of the dictionary come to the driver at a time ...
 PIECE_WORDS = 1 << 16        # ... as rows of so many
 RUN_SIZE = 1 << 18           # bytes of text, or ids, that arrays are made for at a time; one longer text is its own run
-FLUSH_BYTES = 1 << 25        # text that a task counts words of before it hands the counts on
+HELD_WORDS = 1 << 18         # counts that a task holds before it adds up those of equal words, and hands them on if most differ
 
 LETTER, DIGIT, BLANK, OTHER = range(4)
 
@@ -47,7 +48,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 @functools.cache
 def _classes() -> np.ndarray:
     """The class of every code point: letter, digit, blank, other."""
-    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    code = np.arange(0x110000, dtype="<u4")
+    chars = code[(code < 0xD800) | (code >= 0xE000)].tobytes().decode("utf-32-le")   # no object a character
     out = np.full(0x110000, OTHER, dtype=np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (BLANK, r"\s+")):
         for m in regex.finditer(pattern, chars):
@@ -138,13 +140,15 @@ def _take_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
 
 
 def _count(tokens: Known):
-    """(word, n) of the words that are no tokens themselves, counted over FLUSH_BYTES of text at a time."""
-    def out(held):
+    """(word, n) of the words that are no tokens themselves, counted over about HELD_WORDS of them at a time."""
+    def added(held):
         h = np.concatenate([x[0] for x in held])
         n = np.concatenate([x[2] for x in held])
-        words = pa.concat_arrays([x[1] for x in held])
-        _, first, of = np.unique(h, return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.array(np.bincount(of, n).astype(np.int64))], names=["word", "n"])
+        h, first, of = np.unique(h, return_index=True, return_inverse=True)
+        return h, pa.concat_arrays([x[1] for x in held]).take(pa.array(first)), np.bincount(of, n).astype(np.int64)
+
+    def out(_, words, n):
+        return pa.RecordBatch.from_arrays([words, pa.array(n)], names=["word", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -158,12 +162,15 @@ def _count(tokens: Known):
                 new = tokens.find(h) < 0
                 if new.any():
                     held.append((h[new], _take_spans(part, s[first[new]], e[first[new]]), n[new]))
-                size += len(part)
-                if size >= FLUSH_BYTES and held:
-                    yield out(held)
-                    held, size = [], 0
+                    size += len(held[-1][0])
+                if size >= HELD_WORDS:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD_WORDS:
+                        yield out(*held.pop())
+                        size = 0
         if held:
-            yield out(held)
+            yield out(*added(held))
     return run
 
 
@@ -245,48 +252,30 @@ def _lay(part: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], tables: lis
     return ids, np.concatenate(([0], ends))[before], strangers, s[lost[new]], e[lost[new]]
 
 
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+
+
 def _known(hashes, tables):
-    """Arrow UDF: an array a text. Its first element has the ids as ``_lay`` gives them, each other one a stranger."""
+    """Arrow UDF: the strangers of each text, and its ids as ``_lay`` gives them, in parts: that of a stranger is one by itself."""
     def run(texts: pa.Array) -> pa.Array:
         data, off = tx.utf8(texts)
-        words, parts = [pa.array([], pa.string())], [np.zeros(0, np.int32)]
-        n_words, n_ids = np.zeros(len(off) - 1, dtype=np.int64), np.zeros(len(off) - 1, dtype=np.int64)
+        words, ids, sizes = [pa.array([], pa.string())], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        n_words, n_parts = np.zeros(len(off) - 1, dtype=np.int64), np.zeros(len(off) - 1, dtype=np.int64)
         for i, j, part, at in tx.runs(data, off, RUN_SIZE):
-            ids, ids_before, strangers, s, e = _lay(part, at, hashes.value, tables.value)
+            got, before, strangers, s, e = _lay(part, at, hashes.value, tables.value)
+            marks = np.flatnonzero(got >= EDGE)
+            first = np.zeros(len(got) + 1, dtype=bool)
+            first[before] = first[marks] = first[marks + 1] = True
+            first = np.flatnonzero(first[:-1])
             words.append(_take_spans(part, s, e))
-            parts.append(ids)
-            n_words[i:j], n_ids[i:j] = np.diff(strangers), np.diff(ids_before)
-        before = np.concatenate(([0], np.cumsum(n_words + 1)))
-        first = np.zeros(before[-1], dtype=bool)
-        first[before[:-1]] = True
-        words = pa.concat_arrays(words).take(pa.array(np.cumsum(~first) - 1, mask=first))
-        size = np.zeros(len(first), np.int64)
-        size[first] = n_ids
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-        return pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.StructArray.from_arrays([words, ids], names=["word", "ids"]))
-    return F.arrow_udf(run, "array<struct<word:string,ids:array<int>>>").asNondeterministic()   # evaluated once, where it stands
-
-
-def _fill(texts: pa.Array) -> pa.Array:
-    """The ids of texts with those of their strangers, which were folded in between, in their places."""
-    outer, inner = texts.offsets.to_numpy().astype(np.int64), texts.values
-    own, ids = inner.field("own"), inner.field("ids")
-    own_before, own = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy(zero_copy_only=False)
-    off, ids = ids.offsets.to_numpy().astype(np.int64)[outer], ids.values.to_numpy(zero_copy_only=False)
-    parts, count = [np.zeros(0, np.int32)], np.zeros(len(off), dtype=np.int64)
-    for i, j, part, at in tx.runs(ids[off[0]:off[-1]], off - off[0], RUN_SIZE):
-        marks = np.flatnonzero(part >= EDGE)
-        word = part[marks] - EDGE + 1 + outer[i + np.searchsorted(at, marks, side="right") - 1]
-        n = own_before[word + 1] - own_before[word]
-        size = np.ones(len(part), np.int64)
-        size[marks] = n
-        total = np.concatenate(([0], np.cumsum(size)))
-        out = np.repeat(part, size)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(total[marks], n) + place] = own[np.repeat(own_before[word], n) + place]
-        parts.append(out)
-        count[i + 1:j + 1] = np.diff(total[at])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            ids.append(got)
+            sizes.append(np.diff(first, append=len(got)))
+            n_words[i:j], n_parts[i:j] = np.diff(strangers), np.diff(np.searchsorted(first, before))
+        parts = pa.ListArray.from_arrays(_offsets(np.concatenate(sizes)), pa.array(np.concatenate(ids), pa.int32()))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_offsets(n_words), pa.concat_arrays(words)),
+                                           pa.ListArray.from_arrays(_offsets(n_parts), parts)], names=["words", "parts"])
+    return F.arrow_udf(run, "struct<words:array<string>,parts:array<array<int>>>").asNondeterministic()   # evaluated once, where it stands
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -355,6 +344,13 @@ def merge_words(word: Column, ranks: dict[bytes, int]) -> Column:
     return _let(rank_map(ranks), fold)
 
 
+def _filled(laid: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of a text from what ``_known`` gives: its strangers are folded once each and stand in for their parts."""
+    def fill(own: Column) -> Column:
+        return F.transform(laid["parts"], lambda x: F.when(F.get(x, 0) >= EDGE, F.get(own, F.get(x, 0) - EDGE)).otherwise(x))
+    return F.flatten(_let(F.transform(laid["words"], lambda w: merge_words(w, ranks)), fill))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with an array column of token ids of each text (null and empty texts: an empty array).
 
@@ -385,9 +381,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text_col: str = "text",
     del own, ids, before
     release(docs.sparkSession)
     laid = fresh(docs, "laid")
-    out = docs.withColumn(laid, F.transform(_known(hashes, tables)(F.col(text_col)), lambda x: F.struct(
-        merge_words(x["word"], ranks).alias("own"), x["ids"].alias("ids"))))
-    return out.withColumn(out_col, F.arrow_udf(_fill, "array<int>").asNondeterministic()(F.col(laid))).drop(laid)
+    out = docs.withColumn(laid, _known(hashes, tables)(F.col(text_col)))
+    return out.withColumn(out_col, _filled(F.col(laid), ranks)).drop(laid)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
